@@ -13,7 +13,7 @@ from fleetlens.sources.cleaned import cleaned_tickets
 from fleetlens.sources.proxy import TICKETS_AS_OF
 from fleetlens.sources.tables import Tables
 
-CENTER = 17
+CENTER = 59
 NARROW = Filters(segments=("LE", "SME"), statuses=("ACTIVE",), date_from="1996-02-01", date_to="2001-07-15")
 NARROW_SQL = f"""CenterID IN (SELECT CenterID FROM center_details
     WHERE {segment('hub_master_segment')} IN ('LE', 'SME') AND TRIM(Status) = 'ACTIVE')
@@ -108,12 +108,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("T6_sla_worklist_page", f"""
 WITH w AS ({WORKLIST_SQL}), f AS (SELECT * FROM w WHERE risk = 'BREACHED'
-  AND (CAST(ticket AS VARCHAR) LIKE '%cable%' OR LOWER(category) LIKE '%cable%' OR LOWER(assignee) LIKE '%cable%'
-    OR CAST(center_id AS VARCHAR) LIKE '%cable%'))
+  AND (CAST(ticket AS VARCHAR) LIKE '%agent 5%' OR LOWER(category) LIKE '%agent 5%' OR LOWER(assignee) LIKE '%agent 5%'
+    OR CAST(center_id AS VARCHAR) LIKE '%agent 5%'))
 SELECT *, (SELECT COUNT(*) FROM f) AS total_rows FROM f
 ORDER BY days_over DESC NULLS LAST, ticket DESC NULLS LAST, center_id NULLS FIRST, created, days_over, category LIMIT 15 OFFSET 15""")
 def _(t: Tables) -> DataFrame:
-    return tk.worklist(t, TICKETS_AS_OF, search="CABLE", risk="breached", page=1)
+    return tk.worklist(t, TICKETS_AS_OF, search="AGENT 5", risk="breached", page=1)
 
 
 @query("T7_monthly_trend", f"""
