@@ -15,7 +15,7 @@ from fleetlens.operators import devices as dv
 from fleetlens.operators import uptime as up
 from fleetlens.operators.explore import empties_last, page_of, rank_counts
 from fleetlens.operators.tickets import center_ticket_stats
-from fleetlens.sources.cleaned import center_dimension, cleaned_tickets, one_row_per_center
+from fleetlens.sources.cleaned import center_dimension, one_row_per_center
 from fleetlens.sources.tables import Tables
 
 
@@ -26,7 +26,7 @@ def scope(tables: Tables, filters: Filters = Filters(), dated: bool = True) -> D
 def kpis(tables: Tables, filters: Filters = Filters()) -> DataFrame:
     """Distinct centers, cities, active deployments and centers with an open ticket."""
     with_open = (
-        cleaned_tickets(tables.tickets)
+        tables.cleaned()
         .filter(F.col("CenterID").isNotNull() & cl.is_open("status"))
         .select("CenterID", F.lit(True).alias("has_open"))
         .distinct()
@@ -196,23 +196,26 @@ def window_profile(tables: Tables, as_of: datetime, center_id: int) -> DataFrame
 
 
 def center_360(
-    tables: Tables, as_of: datetime, heartbeats_as_of: datetime | None = None, single_row: bool = False
+    tables: Tables, as_of: datetime, heartbeats_as_of: datetime | None = None, single_row: bool = False,
+    stats: DataFrame | None = None, devices: DataFrame | None = None,
 ) -> DataFrame:
     """Every center with telemetry, tickets, uptime and device count.
 
-    Each side is aggregated to one row per center before it joins, tickets in a single pass.
+    Each side is aggregated to one row per center before it joins, tickets in a single pass. Per-center
+    ticket statistics and the device index are taken from ``stats`` and ``devices`` where they are at hand.
     """
     seen_at = heartbeats_as_of or as_of
     dimension = center_dimension(tables.centers)
     base = one_row_per_center(dimension) if single_row else dimension
-    stats = center_ticket_stats(cleaned_tickets(tables.tickets), as_of)
+    stats = center_ticket_stats(tables.cleaned(), as_of) if stats is None else stats
+    devices = dv.device_index(tables, as_of) if devices is None else devices
     scores = up.lifecycle(up.score(up.births(tables), stats, as_of))
     zero, blank = F.lit(0).cast("bigint"), F.lit("")
     joined = (
         base.join(dv.center_telemetry(tables.heartbeats, seen_at), "center_id", "left")
         .join(stats.select("center_id", "tickets_total", "open_tickets", "swapped"), "center_id", "left")
         .join(scores, "center_id", "left")
-        .join(dv.per_center(dv.device_index(tables, as_of)), "center_id", "left")
+        .join(dv.per_center(devices), "center_id", "left")
     )
 
     def or_zero(c: str) -> Column:

@@ -69,13 +69,15 @@ def device_index(tables: Tables, as_of: datetime) -> DataFrame:
     )
 
 
-def filtered_devices(tables: Tables, as_of: datetime, filters: Filters = Filters()) -> DataFrame:
+def filtered_devices(
+    tables: Tables, as_of: datetime, filters: Filters = Filters(), index: DataFrame | None = None
+) -> DataFrame:
     """Device index under the filters: type and status directly, center attributes through the mapped
     center, the date range on the device's own creation date."""
     types = list(filters.device_types)
     excluded = list(filters.device_status_exclude)
     df = where(
-        device_index(tables, as_of),
+        device_index(tables, as_of) if index is None else index,
         F.col("type").isin(types) if types else None,
         ~F.col("status").isin(excluded) if excluded else None,
         filters.dates("birthday"),

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from fleetlens.functions.text import digits_only
 from fleetlens.operators import tickets as tk
 from fleetlens.operators.explore import RAW_SOURCES, raw_rows, side_by_side
-from fleetlens.sources.cleaned import cleaned_tickets
 from fleetlens.sources.tables import Tables
 
 _NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType, T.BinaryType)
@@ -90,7 +89,7 @@ def digits_resolution(facts: DataFrame, key: str, tables: Tables) -> DataFrame:
     """Rows whose reference, reduced to digits, names a known ticket."""
     reference = facts.select(F.col(key).alias("raw"), digits_only(key).alias("k"))
     by_key = reference.groupBy("k").agg(F.count("*").alias("n"), F.count("raw").alias("given"))
-    known = cleaned_tickets(tables.tickets).select(F.col("ticketNumber").cast("string").alias("k"), F.lit(True).alias("hit"))
+    known = tables.cleaned().select(F.col("ticketNumber").cast("string").alias("k"), F.lit(True).alias("hit"))
     return by_key.join(known.filter("k IS NOT NULL").distinct(), "k", "left").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum("given"), F.lit(0)).alias("has_reference"),
@@ -136,7 +135,7 @@ def yearly_service(tables: Tables) -> DataFrame:
 
 def yearly_support(tables: Tables) -> DataFrame:
     """Support tickets per year, technical ones, and centers."""
-    dated = tk.with_sla(cleaned_tickets(tables.tickets).filter("CreatedAt IS NOT NULL"))
+    dated = tk.with_sla(tables.cleaned().filter("CreatedAt IS NOT NULL"))
     return dated.groupBy(F.year("CreatedAt").alias("yr")).agg(
         F.count("*").alias("tickets"),
         F.count_if("is_tech").alias("tech_failure_tickets"),

@@ -21,7 +21,7 @@ from fleetlens.sources.tables import Tables
 def scope(tables: Tables, filters: Filters = Filters(), *extra: str) -> DataFrame:
     """Cleaned tickets under the filters. Filters apply after the copies are collapsed."""
     extras = (*extra, "HubName") if filters.hub else extra
-    df = where(cleaned_tickets(tables.tickets, *extras), filters.one_hub(), filters.dates("CreatedAt"))
+    df = where(tables.cleaned(*extras), filters.one_hub(), filters.dates("CreatedAt"))
     return by_center(df, tables.centers, filters)
 
 
@@ -276,7 +276,7 @@ def center_ticket_stats(tickets: DataFrame, as_of: datetime, with_segment: bool
 
 
 def per_center(tables: Tables, as_of: datetime) -> DataFrame:
-    stats = center_ticket_stats(cleaned_tickets(tables.tickets, "hub_master_segment"), as_of, with_segment=True)
+    stats = center_ticket_stats(tables.cleaned("hub_master_segment"), as_of, with_segment=True)
     return stats.select("center_id", "tickets_total", "open_tickets", "swapped", "segment")
 
 
@@ -289,7 +289,7 @@ def failure_tickets(tickets: DataFrame) -> DataFrame:
 def failures_by_center(tables: Tables) -> DataFrame:
     """First failure, number of failures and most frequent category per center."""
     by_category = (
-        failure_tickets(cleaned_tickets(tables.tickets))
+        failure_tickets(tables.cleaned())
         .groupBy(F.col("CenterID").alias("cid"), "IssueCategory")
         .agg(F.min("CreatedAt").alias("first"), F.count("*").alias("n"))
     )
@@ -301,7 +301,7 @@ def failures_by_center(tables: Tables) -> DataFrame:
 
 def center_totals(tables: Tables, center_id: int) -> DataFrame:
     """Drill-down headline of one center."""
-    df = cleaned_tickets(tables.tickets, "hub_master_segment").filter(F.col("CenterID") == center_id)
+    df = tables.cleaned("hub_master_segment").filter(F.col("CenterID") == center_id)
     return df.agg(
         F.count("*").alias("total_tickets"),
         F.count_if(cl.is_open("status")).alias("open_tickets"),
@@ -311,7 +311,7 @@ def center_totals(tables: Tables, center_id: int) -> DataFrame:
 
 def center_tickets(tables: Tables, center_id: int, only_open: bool = False) -> DataFrame:
     """Newest tickets of one center: 25 open ones, or 50 of any status."""
-    df = cleaned_tickets(tables.tickets, "priority", "subject", "TicketLink").filter(F.col("CenterID") == center_id)
+    df = tables.cleaned("priority", "subject", "TicketLink").filter(F.col("CenterID") == center_id)
     if only_open:
         df = df.filter(cl.is_open("status"))
     return (
@@ -332,7 +332,7 @@ def center_tickets(tables: Tables, center_id: int, only_open: bool = False) -> D
 def account_ticket_stats(tables: Tables, as_of: datetime, filters: Filters = Filters()) -> DataFrame:
     """Tickets, open breaches and compliance of the curated accounts' hubs. The date range does not apply."""
     hubs = F.broadcast(account_hubs(tables.spark).select(F.col("hub_id").alias("HubID")).distinct())
-    df = cleaned_tickets(tables.tickets, "HubID").join(hubs, "HubID", "left_semi")
+    df = tables.cleaned("HubID").join(hubs, "HubID", "left_semi")
     df = measured(by_center(df, tables.centers, filters), as_of)
     within = F.col("resolved") & (F.col("res_days") <= F.col("sla_days"))
     return df.agg(

@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 from fleetlens.filters import Filters, where
 from fleetlens.functions import time as tm
 from fleetlens.operators.tickets import center_ticket_stats, failure_tickets
-from fleetlens.sources.cleaned import cleaned_tickets
 from fleetlens.sources.tables import Tables
 
 
 def failure_intervals(tables: Tables, as_of: datetime) -> DataFrame:
     """One interval per failure ticket; an open ticket lasts until ``as_of``."""
-    return failure_tickets(cleaned_tickets(tables.tickets)).select(
+    return failure_tickets(tables.cleaned()).select(
         F.col("CenterID").alias("center_id"),
         F.col("CreatedAt").alias("start"),
         F.coalesce("ClosedAt", tm.moment(as_of)).alias("end"),
@@ -117,13 +116,17 @@ def score(born: DataFrame, stats: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def scored(tables: Tables, as_of: datetime, filters: Filters = Filters()) -> DataFrame:
-    return score(births(tables, filters), center_ticket_stats(cleaned_tickets(tables.tickets), as_of), as_of)
+def scored(
+    tables: Tables, as_of: datetime, filters: Filters = Filters(), stats: DataFrame | None = None
+) -> DataFrame:
+    """Scores of the centers that pass the filters; ``stats`` are per-center ticket statistics, if at hand."""
+    known = center_ticket_stats(tables.cleaned(), as_of) if stats is None else stats
+    return score(births(tables, filters), known, as_of)
 
 
 def scored_by_window(tables: Tables, as_of: datetime) -> DataFrame:
     """The same scores with the birth taken from deployment windows."""
-    return score(window_births(tables), center_ticket_stats(cleaned_tickets(tables.tickets), as_of), as_of)
+    return score(window_births(tables), center_ticket_stats(tables.cleaned(), as_of), as_of)
 
 
 def reliability(scores: DataFrame, limit: int | None = None) -> DataFrame:

@@ -17,6 +17,9 @@ from fleetlens.operators import tickets as tk
 from fleetlens.operators import uptime as up
 from fleetlens.sources.tables import Tables
 
+# Ticket columns the queries show or filter on, beyond the core ones.
+TICKET_EXTRAS = ("HubID", "HubName", "TicketLink", "assignee", "hub_master_segment", "priority", "subject")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees, as the session names it; a local one only where none is set."""
@@ -36,9 +39,14 @@ def build_marts(
         df.write.mode("overwrite").parquet(paths[name])
         return spark.read.parquet(paths[name])
 
-    center_360 = write("center_360", ct.center_360(tables, as_of, heartbeats_as_of))
-    devices = write("devices", dv.filtered_devices(tables, as_of, filters))
-    scores = write("scores", up.scored(tables, as_of, filters))
+    # Copies are collapsed once; everything about tickets reads the result.
+    cleaned = write("cleaned_tickets", tables.cleaned(*TICKET_EXTRAS))
+    tables = tables.replacing({"cleaned_tickets": cleaned})
+    stats = write("center_tickets", tk.center_ticket_stats(cleaned, as_of))
+    index = write("device_index", dv.device_index(tables, as_of))
+    center_360 = write("center_360", ct.center_360(tables, as_of, heartbeats_as_of, stats=stats, devices=index))
+    devices = write("devices", dv.filtered_devices(tables, as_of, filters, index))
+    scores = write("scores", up.scored(tables, as_of, filters, stats))
     write("reliability", ct.named(up.reliability(scores), center_360))
     write("fleet_uptime", up.fleet(scores))
     write("sla_kpis", tk.sla_kpis(tables, as_of, filters))

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python line of every column costs several driver round trips each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -32,6 +34,10 @@ def local_session(cpus: str | int | None = None) -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", os.environ.get("FLEETLENS_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        # Test tables are single small files: join and shuffle them as a cluster would the real ones,
+        # instead of working in the one task that scans the file.
+        .config("spark.sql.autoBroadcastJoinThreshold", "1000000")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in SETTINGS.items():

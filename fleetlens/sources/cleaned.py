@@ -9,7 +9,7 @@ from fleetlens.functions.classify import segment_group
 from fleetlens.functions.text import blank_to_null, clean
 
 # Columns every metric may rest on. They decide, in this order, between copies created at the same time.
-_TICKET_CORE = ("ticketNumber", "CenterID", "CreatedAt", "ClosedAt", "status", "IssueCategory")
+TICKET_CORE = ("ticketNumber", "CenterID", "CreatedAt", "ClosedAt", "status", "IssueCategory")
 
 
 def cleaned_tickets(tickets: DataFrame, *extra: str) -> DataFrame:
@@ -20,8 +20,8 @@ def cleaned_tickets(tickets: DataFrame, *extra: str) -> DataFrame:
     filter is pushed into the map side as a group limit, so a ticket with very many copies is reduced
     before the shuffle.
     """
-    extras = sorted(set(extra) - set(_TICKET_CORE))
-    assigned = tickets.filter(blank_to_null("assignee").isNotNull()).select(*_TICKET_CORE, *extras)
+    extras = sorted(set(extra) - set(TICKET_CORE))
+    assigned = tickets.filter(blank_to_null("assignee").isNotNull()).select(*TICKET_CORE, *extras)
     order = [
         F.col("CreatedAt").desc_nulls_last(),
         F.col("ClosedAt").desc_nulls_last(),

@@ -9,7 +9,9 @@ kept as text, 1970 timestamps and serials that resolve to nothing.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import datetime
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -302,14 +304,23 @@ def duckdb_view(name: str) -> str:
     return _REFERENCE.sub(r"\1", text)
 
 
+def _loader(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
+    @cache
+    def load(name: str) -> DataFrame:
+        if name in BASE_TABLES:
+            return spark.read.parquet(f"{folder}/{name}.parquet")
+        text = _DAYS.sub(r"datediff(\1, \2)", VIEWS[name])
+        inputs = {n: load(n) for n in sorted(set(_REFERENCE.findall(text)))}
+        return spark.sql(_REFERENCE.sub(r"{\1}", text.replace("{", "{{").replace("}", "}}")), **inputs)
+
+    return load
+
+
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A base table or one of the views, over the tables in ``folder``."""
-    if name in BASE_TABLES:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
-    text = _DAYS.sub(r"datediff(\1, \2)", VIEWS[name])
-    inputs = {n: view(spark, folder, n) for n in set(_REFERENCE.findall(text))}
-    return spark.sql(_REFERENCE.sub(r"{\1}", text.replace("{", "{{").replace("}", "}}")), **inputs)
+    return _loader(spark, folder)(name)
 
 
 def proxy_tables(spark: SparkSession, folder: str) -> Tables:
-    return Tables(spark, lambda name: view(spark, folder, name))
+    """The logical tables over ``folder``; each base table is opened once."""
+    return Tables(spark, _loader(spark, folder))

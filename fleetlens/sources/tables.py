@@ -7,6 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.sources.cleaned import TICKET_CORE, cleaned_tickets
+
 # Logical table -> default physical name.
 TABLE_NAMES = {
     "center_details": "center_details",
@@ -23,9 +25,25 @@ TABLE_NAMES = {
 class Tables:
     """Lazy access to the logical tables; each one is resolved on first use only."""
 
-    def __init__(self, spark: SparkSession, load: Callable[[str], DataFrame]):
+    def __init__(
+        self, spark: SparkSession, load: Callable[[str], DataFrame], given: Mapping[str, DataFrame] | None = None
+    ):
         self.spark = spark
-        self._load = load
+        self._given = dict(given or {})
+        self._read = load
+
+    def _load(self, table: str) -> DataFrame:
+        return self._given[table] if table in self._given else self._read(table)
+
+    def replacing(self, frames: Mapping[str, DataFrame]) -> Tables:
+        """The same tables with some taken from ``frames``, such as a materialised mart."""
+        return Tables(self.spark, self._read, {**self._given, **frames})
+
+    def cleaned(self, *extra: str) -> DataFrame:
+        """Cleaned tickets with the core columns and ``extra``; from the mart once there is one."""
+        if "cleaned_tickets" in self._given:
+            return self._given["cleaned_tickets"].select(*TICKET_CORE, *sorted(set(extra) - set(TICKET_CORE)))
+        return cleaned_tickets(self.tickets, *extra)
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str, names: Mapping[str, str] | None = None) -> Tables:
@@ -39,7 +57,7 @@ class Tables:
 
     @classmethod
     def from_frames(cls, spark: SparkSession, frames: Mapping[str, DataFrame]) -> Tables:
-        return cls(spark, lambda t: frames[t])
+        return cls(spark, frames.__getitem__)
 
     def scan(self, table: str, *columns: str) -> DataFrame:
         """A table by name, narrowed to ``columns`` when given."""
