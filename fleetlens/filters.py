@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from fleetlens import config
 from fleetlens.functions.classify import segment_group
 from fleetlens.functions.text import clean, col
 
+if TYPE_CHECKING:
+    from fleetlens.sources.tables import Tables
+
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 
 # Filter dimension -> column, on the raw center table and on the normalised dimension.
@@ -142,10 +146,10 @@ DEFAULT_FILTERS = Filters(
 )
 
 
-def by_center(facts: DataFrame, centers: DataFrame, filters: Filters) -> DataFrame:
+def by_center(facts: DataFrame, tables: Tables, filters: Filters) -> DataFrame:
     """Keep fact rows whose center passes the center attributes; a no-op without such a filter."""
     condition = filters.center()
     if condition is None:
         return facts
-    passing = centers.filter(condition).select("CenterID").distinct()
+    passing = tables.centers.filter(condition).select("CenterID").distinct()
     return facts.join(passing, "CenterID", "left_semi")

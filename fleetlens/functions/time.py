@@ -52,9 +52,10 @@ def days_between(start: Column | str, end: Column | str) -> Column:
 
 
 def whole_days_between(start: Column | str, end: Column | str) -> Column:
-    """Full 24-hour days from ``start`` to ``end``, never negative."""
+    """Full 24-hour days from ``start`` to ``end``, never negative; NULL if either is unknown."""
     seconds = second_number(end) - second_number(start)
-    return F.greatest(F.lit(0).cast("bigint"), F.floor(seconds / 86400).cast("bigint"))
+    # greatest() alone would turn an unknown difference into 0.
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0).cast("bigint"), F.floor(seconds / 86400).cast("bigint")))
 
 
 def months_between_starts(start: Column | str, end: Column | str) -> Column:

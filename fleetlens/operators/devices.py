@@ -26,20 +26,19 @@ def serial_map(heartbeats: DataFrame, centers: DataFrame) -> DataFrame:
     One row per serial. Columns a center table lacks are skipped.
     """
     center_serials = [c for c in ("DeviceID", "MacSerialID") if c in centers.columns]
-    candidates = [heartbeats.select(F.lit(0).alias("rank"), F.col("DeviceID").alias("serial"), "CenterID")]
+    found = heartbeats.select(F.lit(0).alias("rank"), F.col("DeviceID").alias("serial"), "CenterID")
     if center_serials:
         choices = F.array(
             *(F.struct(F.lit(i).alias("rank"), F.col(c).alias("serial")) for i, c in enumerate(center_serials, 1))
         )
-        candidates.append(centers.select(F.explode(choices).alias("s"), "CenterID").select("s.*", "CenterID"))
-    found = candidates[0]
-    for more in candidates[1:]:
-        found = found.unionByName(more)
-    found = found.withColumn("serial", F.upper(trimmed("serial"))).filter(
+        found = found.unionByName(
+            centers.select(F.explode(choices).alias("s"), "CenterID").select("s.*", "CenterID")
+        )
+    serials = found.withColumn("serial", F.upper(trimmed("serial"))).filter(
         (F.col("serial") != "") & F.col("CenterID").isNotNull()
     )
-    best = F.min(F.struct("rank", F.col("CenterID").alias("center_id")))
-    return found.groupBy("serial").agg(best["center_id"].alias("center_id"))
+    by_source = [F.min(F.when(F.col("rank") == i, F.col("CenterID"))) for i in range(len(center_serials) + 1)]
+    return serials.groupBy("serial").agg(F.coalesce(*by_source).alias("center_id"))
 
 
 def tracked(devices: DataFrame) -> DataFrame:
@@ -149,31 +148,30 @@ def batch_cohorts(devices: DataFrame, failures: DataFrame) -> DataFrame:
             F.sum(F.when(failed, F.col("n") * F.col("n_fail")).otherwise(0)).alias("failures"),
         )
     )
-    issues = by_days.filter(F.coalesce("top_cat", F.lit("")) != "").groupBy("batch_year", "top_cat").agg(F.sum("failed").alias("n"))
-    top = issues.groupBy("batch_year").agg(
-        F.min(F.struct((-F.col("n")).alias("rank"), "top_cat"))["top_cat"].alias("top_issue")
-    )
-    stats = (
-        by_days.groupBy("batch_year", "ttff")
-        .agg(*(F.sum(c).alias(c) for c in ("devices", "failed", "failures")))
-        .groupBy("batch_year")
+    # One pass serves both breakdowns: by day count for the statistics, by category for the top issue.
+    sums = [F.sum(c).alias(c) for c in ("devices", "failed", "failures")]
+    parts = by_days.groupingSets(
+        [["batch_year", "ttff"], ["batch_year", "top_cat"]], "batch_year", "ttff", "top_cat"
+    ).agg(*sums, (F.grouping("ttff") == 0).alias("by_day"))
+    by_day, ttff, counted = F.col("by_day"), F.col("ttff"), F.col("failed") > 0
+    named_issue = ~by_day & counted & (F.coalesce("top_cat", F.lit("")) != "")
+
+    def total(c: str, condition: Column = F.lit(True)) -> Column:
+        return F.coalesce(F.sum(F.when(by_day & condition, F.col(c))), F.lit(0))
+
+    leading = F.min(F.when(named_issue, F.struct((-F.col("failed")).alias("rank"), "top_cat")))
+    return (
+        parts.groupBy("batch_year")
         .agg(
-            F.sum("devices").alias("devices"),
-            F.sum("failed").alias("_failed"),
-            F.sum("failures").alias("_failures"),
-            F.round(F.expr("percentile(ttff, 0.5, devices)"), 0).cast("bigint").alias("median_ttff_days"),
-            F.coalesce(F.sum(F.when(F.col("ttff") < 7, F.col("devices"))), F.lit(0)).alias("early_fails"),
+            total("devices").alias("devices"),
+            F.round(total("failed") / total("devices") * 100, 1).alias("ftf_rate_pct"),
+            F.round(F.expr("percentile(CASE WHEN by_day THEN ttff END, 0.5, devices)"), 0).cast("bigint").alias("median_ttff_days"),
+            total("devices", ttff < 7).alias("early_fails"),
+            F.round(total("failures") / total("devices"), 2).alias("avg_failures"),
+            F.coalesce(leading["top_cat"], F.lit("")).alias("top_issue"),
         )
+        .orderBy("batch_year")
     )
-    return stats.join(top, "batch_year", "left").select(
-        "batch_year",
-        "devices",
-        F.round(F.col("_failed") / F.col("devices") * 100, 1).alias("ftf_rate_pct"),
-        "median_ttff_days",
-        "early_fails",
-        F.round(F.col("_failures") / F.col("devices"), 2).alias("avg_failures"),
-        F.coalesce("top_issue", F.lit("")).alias("top_issue"),
-    ).orderBy("batch_year")
 
 
 def cohorts(tables: Tables, as_of: datetime, filters: Filters = Filters()) -> DataFrame:
@@ -211,7 +209,7 @@ def center_telemetry(heartbeats: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def heartbeat_scope(tables: Tables, filters: Filters = Filters()) -> DataFrame:
-    return by_center(tables.heartbeats, tables.centers, filters)
+    return by_center(tables.heartbeats, tables, filters)
 
 
 def telemetry_kpis(tables: Tables, as_of: datetime, filters: Filters = Filters()) -> DataFrame:

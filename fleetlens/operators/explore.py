@@ -85,9 +85,9 @@ def raw_rows(tables: Tables, source: str, filters: Filters = Filters()) -> DataF
     if source == "center_details":
         return where(df, filters.center(), filters.dates("deploymentdate"))
     if source == "heartbeats":
-        return by_center(df, tables.centers, filters)
+        return by_center(df, tables, filters)
     if source == "support_tickets":
-        return where(by_center(df, tables.centers, filters), filters.dates("CreatedAt"))
+        return where(by_center(df, tables, filters), filters.dates("CreatedAt"))
     return where(df, filters.register())
 
 

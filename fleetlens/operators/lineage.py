@@ -218,7 +218,12 @@ def numeric_order(rows: DataFrame, c: str) -> DataFrame:
 
 
 def build_register(issues: DataFrame, changelog: DataFrame) -> DataFrame:
-    """Issues fanned out over their changes."""
-    return issues.join(changelog, ["project_key", "issue_key"], "left")
-
+    """Issues fanned out over their changes; an issue without any keeps one row.
 
+    Issues with changes are joined by an inner join, which adaptive execution can split where one issue
+    holds very many changes; an outer join could not be split on that side.
+    """
+    keys = ["project_key", "issue_key"]
+    changed = issues.join(changelog, keys)
+    unchanged = issues.join(changelog.select(*keys).distinct(), keys, "left_anti")
+    return changed.unionByName(unchanged, allowMissingColumns=True)

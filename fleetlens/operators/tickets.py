@@ -22,7 +22,7 @@ def scope(tables: Tables, filters: Filters = Filters(), *extra: str) -> DataFram
     """Cleaned tickets under the filters. Filters apply after the copies are collapsed."""
     extras = (*extra, "HubName") if filters.hub else extra
     df = where(tables.cleaned(*extras), filters.one_hub(), filters.dates("CreatedAt"))
-    return by_center(df, tables.centers, filters)
+    return by_center(df, tables, filters)
 
 
 def with_sla(tickets: DataFrame) -> DataFrame:
@@ -333,7 +333,7 @@ def account_ticket_stats(tables: Tables, as_of: datetime, filters: Filters = Fil
     """Tickets, open breaches and compliance of the curated accounts' hubs. The date range does not apply."""
     hubs = F.broadcast(account_hubs(tables.spark).select(F.col("hub_id").alias("HubID")).distinct())
     df = tables.cleaned("HubID").join(hubs, "HubID", "left_semi")
-    df = measured(by_center(df, tables.centers, filters), as_of)
+    df = measured(by_center(df, tables, filters), as_of)
     within = F.col("resolved") & (F.col("res_days") <= F.col("sla_days"))
     return df.agg(
         F.count("*").alias("total_tickets"),

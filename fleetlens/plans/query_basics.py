@@ -142,7 +142,7 @@ def _(t: Tables) -> DataFrame:
 SELECT status, COUNT(*) AS n FROM support_tickets WHERE CenterID IN (SELECT CenterID FROM center_details WHERE {ATTRIBUTES_SQL})
 GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    return by_center(t.tickets, t.centers, ATTRIBUTES).groupBy("status").agg(F.count("*").alias("n"))
+    return by_center(t.tickets, t, ATTRIBUTES).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("F6_center_rows", """

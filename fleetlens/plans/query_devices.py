@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame
 from fleetlens.filters import DEFAULT_FILTERS, Filters
 from fleetlens.operators import devices as dv
 from fleetlens.plans.check_sql import SEEN_AS_OF, age_band, named, stamp, whole
-from fleetlens.plans.query_tickets import CENTER
 from fleetlens.plans.registry import query
 from fleetlens.sources.proxy import EVENTS_AS_OF, TICKETS_AS_OF
 from fleetlens.sources.tables import Tables
 
+DEVICE_CENTER = 13
 DEVICES_SQL = """SELECT key, summary, serial, type, category, status, CAST(birthday AS VARCHAR) AS birthday, age_days, center_id
 FROM o_devices"""
 CHOSEN = Filters(
@@ -172,9 +172,9 @@ def _(t: Tables) -> DataFrame:
     return dv.telemetry_explorer(t, EVENTS_AS_OF, search="7", sort_by="battery", sort_dir="asc", page=1, size=40)
 
 
-@query("D13_center_devices", f"""{DEVICES_SQL} WHERE center_id = {CENTER} ORDER BY COALESCE(age_days, 0) DESC, key LIMIT 100""")
+@query("D13_center_devices", f"""{DEVICES_SQL} WHERE center_id = {DEVICE_CENTER} ORDER BY COALESCE(age_days, 0) DESC, key LIMIT 100""")
 def _(t: Tables) -> DataFrame:
-    return dv.center_devices(t, TICKETS_AS_OF, CENTER)
+    return dv.center_devices(t, TICKETS_AS_OF, DEVICE_CENTER)
 
 
 @query("D14_filtered_devices", f"{DEVICES_SQL} WHERE {CHOSEN_SQL}")

@@ -80,7 +80,7 @@ VIEWS = {
 SELECT c.c_custkey AS CenterID,
   CASE WHEN {_CENTER} % 43 = 0 THEN NULL ELSE c.c_name END AS Centername,
   {_hub_id(_CENTER)} AS HubID, {_hub(_CENTER)} AS HubName,
-  CASE WHEN r.copy = 1 AND {_CENTER} % 35 = 0 THEN 'City 99' ELSE {_city(_CENTER)} END AS City,
+  CASE WHEN c.copy = 1 AND {_CENTER} % 35 = 0 THEN 'City 99' ELSE {_city(_CENTER)} END AS City,
   {_state(_CENTER)} AS State,
   CASE WHEN {_CENTER} % 7 = 0 THEN NULL ELSE {_text(f'560000 + {_CENTER} % 211')} END AS PinCode,
   CASE WHEN {_CENTER} % 31 = 0 THEN NULL WHEN n.n_nationkey % 5 = 0 THEN g.r_name
@@ -97,9 +97,8 @@ SELECT c.c_custkey AS CenterID,
   CASE WHEN {_CENTER} % 6 = 0 THEN 'F2P_CENTER' ELSE 'PAID' END AS Spoke_Center_Segment,
   CASE WHEN {_CENTER} % 41 = 0 THEN NULL ELSE DATE '1995-01-01' + CAST({_CENTER} % 1500 AS INT) END AS deploymentdate,
   CASE WHEN {_CENTER} % 4 = 0 THEN DATE '2000-01-01' + CAST({_CENTER} % 300 AS INT) END AS deactivationdate
-FROM @customer c JOIN @nation n ON c.c_nationkey = n.n_nationkey JOIN @region g ON n.n_regionkey = g.r_regionkey
-CROSS JOIN (SELECT 0 AS copy UNION ALL SELECT 1 AS copy) r
-WHERE r.copy = 0 OR {_CENTER} % 5 = 0""",
+FROM (SELECT *, 0 AS copy FROM @customer UNION ALL SELECT *, 1 AS copy FROM @customer WHERE c_custkey % 5 = 0) c
+JOIN @nation n ON c.c_nationkey = n.n_nationkey JOIN @region g ON n.n_regionkey = g.r_regionkey""",
     "support_tickets": f"""
 SELECT CASE WHEN orderkey % 1009 = 7 THEN NULL ELSE orderkey * 10 + line END AS ticketNumber,
   CASE WHEN part % 997 = 5 THEN NULL ELSE k END AS CenterID, {_hub_id('k')} AS HubID, {_hub('k')} AS HubName,
@@ -245,12 +244,13 @@ SELECT c_custkey AS centerid, CASE WHEN c_custkey % 12 = 0 THEN NULL ELSE '{"doN
   CAST(c_custkey % 7 AS STRING) || '"' ELSE '' END || '}' END AS preferences
 FROM @customer""",
     "source_config": """
-SELECT c_custkey AS centerid, n.name,
-  CASE n.id WHEN 0 THEN '{"RESTING":"MODE ' || CAST(c_custkey % 3 AS STRING) || '"}' WHEN 1 THEN 'TYPE ' || CAST(c_custkey % 4 AS STRING)
+SELECT c_custkey AS centerid, name,
+  CASE id WHEN 0 THEN '{"RESTING":"MODE ' || CAST(c_custkey % 3 AS STRING) || '"}' WHEN 1 THEN 'TYPE ' || CAST(c_custkey % 4 AS STRING)
     ELSE '{"value":"V' || CAST(c_custkey % 6 AS STRING) || '"}' END AS value
-FROM @customer CROSS JOIN (SELECT 0 AS id, 'CASE_SUBMISSION' AS name UNION ALL SELECT 1, 'ENABLE_CASES_TYPE'
-  UNION ALL SELECT 2, 'PRODUCT_OFFERING' UNION ALL SELECT 3, 'REPORT_TEMPLATE' UNION ALL SELECT 4, 'UNUSED') n
-WHERE (c_custkey + n.id) % 3 <> 0""",
+FROM (SELECT c_custkey, 0 AS id, 'CASE_SUBMISSION' AS name FROM @customer UNION ALL
+  SELECT c_custkey, 1, 'ENABLE_CASES_TYPE' FROM @customer UNION ALL SELECT c_custkey, 2, 'PRODUCT_OFFERING' FROM @customer
+  UNION ALL SELECT c_custkey, 3, 'REPORT_TEMPLATE' FROM @customer UNION ALL SELECT c_custkey, 4, 'UNUSED' FROM @customer) n
+WHERE (c_custkey + id) % 3 <> 0""",
     "source_zones": "SELECT 'State ' || CAST(n_nationkey AS STRING) || ' ' AS state, r_name AS Zone FROM @nation JOIN @region ON n_regionkey = r_regionkey",
     "source_hub_sheet": "SELECT c_custkey AS hubid, 'Hub seg ' || CAST(c_custkey % 4 AS STRING) AS master_segment, 'Hub svc' AS service_type FROM @customer WHERE c_custkey < 50",
     "source_spoke_sheet": "SELECT c_custkey AS centerid, 'Spoke seg ' || CAST(c_custkey % 6 AS STRING) AS master_segment, 'Spoke svc' AS service_type FROM @customer",
