@@ -201,7 +201,8 @@ def center_360(
 ) -> DataFrame:
     """Every center with telemetry, tickets, uptime and device count.
 
-    Each side is aggregated to one row per center before it joins, tickets in a single pass. Per-center
+    Each side is aggregated to one row per center before it joins; tickets are read once, for volumes and
+    uptime alike, and the scores are computed on the joined row. Per-center
     ticket statistics and the device index are taken from ``stats`` and ``devices`` where they are at hand.
     """
     seen_at = heartbeats_as_of or as_of
@@ -209,27 +210,32 @@ def center_360(
     base = one_row_per_center(dimension) if single_row else dimension
     stats = center_ticket_stats(tables.cleaned(), as_of) if stats is None else stats
     devices = dv.device_index(tables, as_of) if devices is None else devices
-    scores = up.lifecycle(up.score(up.births(tables), stats, as_of))
     zero, blank = F.lit(0).cast("bigint"), F.lit("")
     joined = (
         base.join(dv.center_telemetry(tables.heartbeats, seen_at), "center_id", "left")
-        .join(stats.select("center_id", "tickets_total", "open_tickets", "swapped"), "center_id", "left")
-        .join(scores, "center_id", "left")
+        .join(stats, "center_id", "left")
+        .join(up.births(tables), "center_id", "left")
         .join(dv.per_center(devices), "center_id", "left")
     )
 
     def or_zero(c: str) -> Column:
         return F.coalesce(c, zero).alias(c)
 
-    return joined.select(
+    return up.with_scores(joined, as_of).select(
         "center_id", F.coalesce("center", blank).alias("center"), "hub_id", "hub", "city", "state",
         F.coalesce("pin", blank).alias("pin"), "country", "segment", "status", "billable", "machine_type", "device_id",
         "mac_serial_id", "deployment_date", or_zero("devices"), or_zero("online"), "last_seen", "avg_csq",
         "avg_battery", or_zero("low_battery"), or_zero("open_tickets"), or_zero("tickets_total"), or_zero("swapped"),
-        "lifecycle_years", "downtime_days", "uptime_pct", "mtbf_hrs", or_zero("failures"), or_zero("register_devices"),
+        *up.lifecycle_columns(), or_zero("failures"), or_zero("register_devices"),
     )
 
 
+def center_names(tables: Tables, as_of: datetime) -> DataFrame:
+    """Name and device count per center, without the rest of the mart."""
+    dimension = center_dimension(tables.centers).select("center_id", F.coalesce("center", F.lit("")).alias("center"))
+    return dimension.join(dv.per_center(dv.device_index(tables, as_of)), "center_id", "left")
+
+
 EXPLORER_SORT_KEYS = (
     "center", "state", "devices", "open_tickets", "swapped", "lifecycle_years", "downtime_days", "uptime_pct",
     "tickets_total", "register_devices", "mtbf_hrs", "failures",
@@ -238,16 +244,22 @@ EXPLORER_SORT_KEYS = (
 
 def explorer(
     mart: DataFrame, filters: Filters = Filters(), search: str = "", sort_by: str = "devices",
-    sort_dir: str = "desc", page: int = 0, size: int = 15,
+    sort_dir: str = "desc", page: int = 0, size: int = 15, dimension: DataFrame | None = None,
 ) -> DataFrame:
-    """One page of the mart. Open tickets tie-break on the worst uptime; the id makes the order total."""
+    """One page of the mart. Open tickets tie-break on the worst uptime; the id makes the order total.
+
+    The filters rest on center attributes alone, so the total can be counted over the bare center dimension;
+    give it where the mart is not yet a table.
+    """
     key = sort_by if sort_by in EXPLORER_SORT_KEYS else "devices"
-    rows = where(mart, filters.center_row(), contains_text(("center", "center_id", "hub", "state"), search, min_length=1))
+    found = (filters.center_row(), contains_text(("center", "center_id", "hub", "state"), search, min_length=1))
+    rows = where(mart, *found)
+    counted = None if dimension is None else where(dimension, *found)
     order = [empties_last(key, sort_dir, is_text=key in ("center", "state"))]
     if key == "open_tickets":
         order.append(F.col("uptime_pct").asc_nulls_last())
     order += [F.col("center_id").asc_nulls_last(), F.col("city").asc()]
-    return page_of(rows, order, page, max(5, size), largest=100)
+    return page_of(rows, order, page, max(5, size), largest=100, counted=counted)
 
 
 def named(rows: DataFrame, mart: DataFrame) -> DataFrame:

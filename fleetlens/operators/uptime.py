@@ -98,24 +98,28 @@ def health_score(uptime: Column, mtbf: Column, failures: Column) -> Column:
     return F.round(0.5 * uptime + spacing + count, 0)
 
 
-def score(born: DataFrame, stats: DataFrame, as_of: datetime) -> DataFrame:
-    """Score every born center; one without failures has been up all its life."""
+def with_scores(rows: DataFrame, as_of: datetime) -> DataFrame:
+    """Add the scores to rows that carry birth, downtime_hrs and failures; without a birth they are NULL."""
     life, down, failures = F.col("life_hrs"), F.col("downtime_hrs"), F.col("failures")
     zero = F.lit(0).cast("bigint")
+    born = F.col("birth").isNotNull()
     return (
-        born.join(stats.select("center_id", "downtime_hrs", "failures"), "center_id", "left")
-        .select(
-            "center_id",
-            tm.hours_between("birth", tm.moment(as_of)).alias("life_hrs"),
-            F.coalesce("downtime_hrs", zero).alias("downtime_hrs"),
-            F.coalesce("failures", zero).alias("failures"),
-        )
-        .withColumn("uptime_pct", uptime_percent(life, down))
-        .withColumn("mtbf_hrs", mtbf_hours(life, down, failures))
+        rows.withColumns({
+            "life_hrs": tm.hours_between("birth", tm.moment(as_of)),
+            "downtime_hrs": F.when(born, F.coalesce(down, zero)),
+            "failures": F.when(born, F.coalesce(failures, zero)),
+        })
+        .withColumns({"uptime_pct": uptime_percent(life, down), "mtbf_hrs": mtbf_hours(life, down, failures)})
         .withColumn("health_score", health_score(F.col("uptime_pct"), F.col("mtbf_hrs"), failures))
     )
 
 
+def score(born: DataFrame, stats: DataFrame, as_of: datetime) -> DataFrame:
+    """Score every born center; one without failures has been up all its life."""
+    joined = born.join(stats.select("center_id", "downtime_hrs", "failures"), "center_id", "left")
+    return with_scores(joined, as_of).drop("birth")
+
+
 def scored(
     tables: Tables, as_of: datetime, filters: Filters = Filters(), stats: DataFrame | None = None
 ) -> DataFrame:
@@ -163,12 +167,14 @@ def health_watchlist(scores: DataFrame, limit: int | None = None) -> DataFrame:
     return rows.limit(limit) if limit else rows
 
 
-def lifecycle(scores: DataFrame) -> DataFrame:
-    return scores.select(
-        "center_id",
+def lifecycle_columns() -> list[Column]:
+    return [
         F.round(F.col("life_hrs") / 24 / 365, 2).alias("lifecycle_years"),
         F.round(F.col("downtime_hrs") / 24, 1).alias("downtime_days"),
-        "uptime_pct",
-        "mtbf_hrs",
-        "failures",
-    )
+        F.col("uptime_pct"),
+        F.col("mtbf_hrs"),
+    ]
+
+
+def lifecycle(scores: DataFrame) -> DataFrame:
+    return scores.select("center_id", *lifecycle_columns(), "failures")

@@ -400,7 +400,7 @@ FROM o_scored s LEFT JOIN (SELECT center_id, MIN(COALESCE(center, '')) AS name F
 LEFT JOIN (SELECT center_id, COUNT(*) AS devices FROM o_devices GROUP BY 1) d ON s.center_id = d.center_id""")
 def _(t: Tables) -> DataFrame:
     rows = up.reliability(up.scored(t, TICKETS_AS_OF)).select("centerid", "failures")
-    return ct.named(rows, ct.center_360(t, TICKETS_AS_OF, EVENTS_AS_OF))
+    return ct.named(rows, ct.center_names(t, TICKETS_AS_OF))
 
 
 # Explorer helpers

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fleetlens.filters import Filters
 from fleetlens.operators import centers as ct
@@ -12,6 +13,7 @@ from fleetlens.functions.classify import segment_group
 from fleetlens.plans.check_sql import AS_OF, age_band, is_open, named, segment, stamp
 from fleetlens.plans.query_tickets import CENTER
 from fleetlens.plans.registry import query
+from fleetlens.sources.cleaned import center_dimension
 from fleetlens.sources.proxy import EVENTS_AS_OF, TICKETS_AS_OF
 from fleetlens.sources.tables import Tables
 
@@ -215,7 +217,6 @@ SELECT center_id, MIN(center) AS center, COUNT(*) AS n FROM (
   ORDER BY center_id, center NULLS FIRST) GROUP BY center_id""")
 def _(t: Tables) -> DataFrame:
     mart = ct.center_360(t, TICKETS_AS_OF, EVENTS_AS_OF, single_row=True)
-    from pyspark.sql import functions as F
     return mart.groupBy("center_id").agg(F.min("center").alias("center"), F.count("*").alias("n"))
 
 
@@ -235,9 +236,10 @@ SELECT *, (SELECT COUNT(*) FROM f) AS total_rows FROM f ORDER BY {order} LIMIT 1
       OR LOWER(state) LIKE '%state 1%')""", 15))
 def _(t: Tables) -> DataFrame:
     mart = ct.center_360(t, TICKETS_AS_OF, EVENTS_AS_OF)
-    return ct.explorer(mart, BROWSED, "State 1", "open_tickets", "desc", page=1)
+    return ct.explorer(mart, BROWSED, "State 1", "open_tickets", "desc", page=1, dimension=center_dimension(t.centers))
 
 
 @query("N12_center_explorer_default", _explorer("devices DESC NULLS LAST, center_id NULLS LAST, city", "TRUE"))
 def _(t: Tables) -> DataFrame:
-    return ct.explorer(ct.center_360(t, TICKETS_AS_OF, EVENTS_AS_OF), sort_by="no such key")
+    mart = ct.center_360(t, TICKETS_AS_OF, EVENTS_AS_OF)
+    return ct.explorer(mart, sort_by="no such key", dimension=center_dimension(t.centers))

@@ -151,7 +151,8 @@ def _(t: Tables) -> DataFrame:
 @query("G5_located_devices", _points() + """
 SELECT center_id, COALESCE(serial, '') AS serial FROM o_devices WHERE center_id IN (SELECT center_id FROM points)""")
 def _(t: Tables) -> DataFrame:
-    return geo.located_devices(dv.device_index(t, TICKETS_AS_OF), geo.map_points(_mart(t), t.geo_store, dimension=center_dimension(t.centers)))
+    dimension = center_dimension(t.centers)
+    return geo.located_devices(dv.device_index(t, TICKETS_AS_OF), geo.locate(dimension, t.geo_store, dimension))
 
 
 @query("G6_telemetry_points", """
