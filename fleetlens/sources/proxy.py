@@ -14,6 +14,7 @@ from datetime import datetime
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from fleetlens.sources.tables import Tables
 
@@ -304,11 +305,18 @@ def duckdb_view(name: str) -> str:
     return _REFERENCE.sub(r"\1", text)
 
 
+@cache
+def _schema(path: str) -> T.StructType:
+    """Schema of a test table; looked up once per process, which saves a footer job per query."""
+    return SparkSession.getActiveSession().read.parquet(path).schema
+
+
 def _loader(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
     @cache
     def load(name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return spark.read.parquet(f"{folder}/{name}.parquet")
+            path = f"{folder}/{name}.parquet"
+            return spark.read.schema(_schema(path)).parquet(path)
         text = _DAYS.sub(r"datediff(\1, \2)", VIEWS[name])
         inputs = {n: load(n) for n in sorted(set(_REFERENCE.findall(text)))}
         return spark.sql(_REFERENCE.sub(r"{\1}", text.replace("{", "{{").replace("}", "}}")), **inputs)

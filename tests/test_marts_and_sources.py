@@ -52,6 +52,17 @@ def test_export_reports_its_cap(tables, tmp_path):
     assert len(lines) == 10 and lines[0]["CenterID"] == "0"
 
 
+def test_bounded_export_equals_the_plain_one(spark, tables, tmp_path):
+    t = tables.replacing({"support_tickets": tables.tickets})
+    assert ex._key_bound(ex.raw_rows(t, "support_tickets"), "ticketNumber", t.tickets.count(), 500) is not None
+    ex.raw_export(t, "support_tickets", str(tmp_path / "c"), max_rows=500)
+    plain = ex.raw_export_rows(t, "support_tickets", max_rows=500)
+    written = spark.read.option("header", True).csv(str(tmp_path / "c"))
+    assert written.count() == 500
+    assert rows(written.selectExpr("cast(ticketNumber AS bigint) AS n", "cast(CenterID AS bigint) AS c").fillna(-1)) == rows(
+        plain.selectExpr("ticketNumber AS n", "CenterID AS c").fillna(-1))
+
+
 def test_raw_tickets_keep_their_copies(tables):
     assert ex.raw_rows(tables, "support_tickets").count() == tables.tickets.count() > tables.cleaned().count()
 
