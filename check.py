@@ -36,6 +36,8 @@ def main(folder: str, prefixes: list[str]) -> int:
     for path in glob.glob(f"{folder}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     spark = local_session()
+    if os.environ.get("CHECK_TIME_ZONE"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_TIME_ZONE"])
     failed = []
     for name, q in load().items():
         if prefixes and not any(name.startswith(p) for p in prefixes):

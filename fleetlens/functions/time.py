@@ -64,12 +64,22 @@ def months_between_starts(start: Column | str, end: Column | str) -> Column:
     return (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)
 
 
-def month_label(ts: Column | str) -> Column:
-    return F.date_format(col(ts), "yyyy-MM")
+def stamp_label(ts: Column | str) -> Column:
+    """'2001-08-02 05:30:00'. Text of the timestamp itself; formatting would go through the session zone."""
+    return F.substring(col(ts).cast("string"), 1, 19)
 
 
 def date_label(ts: Column | str) -> Column:
-    return F.date_format(col(ts), "yyyy-MM-dd")
+    return F.substring(col(ts).cast("string"), 1, 10)
+
+
+def month_label(ts: Column | str) -> Column:
+    return F.substring(col(ts).cast("string"), 1, 7)
+
+
+def has_time_of_day(ts: Column | str) -> Column:
+    c = col(ts)
+    return c.cast("timestamp_ntz") != c.cast("date").cast("timestamp_ntz")
 
 
 def before(as_of: Column, amount: int, unit: str) -> Column:

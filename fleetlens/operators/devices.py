@@ -268,7 +268,7 @@ def telemetry_explorer(
         F.col("DeviceID").alias("device"),
         F.coalesce("Centername", F.lit("")).alias("center"),
         F.coalesce("HubName", F.lit("")).alias("hub"),
-        F.date_format("LastTimeStamp", "yyyy-MM-dd HH:mm:ss").alias("last_seen"),
+        tm.stamp_label("LastTimeStamp").alias("last_seen"),
         F.coalesce("BatteryLevel", F.lit("")).alias("battery"),
         whole_number("CSQ").alias("csq"),
         decimal_number("Latency").alias("latency"),

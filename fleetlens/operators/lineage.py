@@ -180,7 +180,7 @@ def build_heartbeats(heartbeats: DataFrame, devices: DataFrame, centers: DataFra
         .join(centers.select("CenterID", "Centername", "HubID", "HubName"), "CenterID")
         .select(
             "CenterID", "Centername", "HubID", "HubName", "DeviceID", "CSQ",
-            F.date_format(seen, "yyyy-MM-dd HH:mm:ss").alias("LastTimeStamp"),
+            tm.stamp_label(seen).alias("LastTimeStamp"),
             *(json_scalar("lastHeartbeatData", f).alias(f) for f in HEARTBEAT_FIELDS),
             F.col("hardwareversion").alias("hardwareversion_clouddevices"), "hardwareversion_devicestable", "FirmwareName",
         )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.functions import time as tm
 from fleetlens.functions.text import digits_only
 from fleetlens.operators import tickets as tk
 from fleetlens.operators.explore import RAW_SOURCES, raw_rows, side_by_side
@@ -100,13 +101,10 @@ def digits_resolution(facts: DataFrame, key: str, tables: Tables) -> DataFrame:
 def time_sanity(df: DataFrame, opened: str, closed: str = "closed_date", tat: str = "tat_days_") -> DataFrame:
     """Whether timestamps carry a time of day, and rows that run backwards. The median is exact."""
 
-    def has_time(c: str) -> Column:
-        return F.date_format(c, "HH:mm:ss") != "00:00:00"
-
     by_tat = df.groupBy(tat).agg(
         F.count("*").alias("n"),
-        F.count_if(has_time(opened)).alias("opened_has_time"),
-        F.count_if(has_time(closed)).alias("closed_has_time"),
+        F.count_if(tm.has_time_of_day(opened)).alias("opened_has_time"),
+        F.count_if(tm.has_time_of_day(closed)).alias("closed_has_time"),
         F.count_if(F.col(closed) < F.col(opened)).alias("closed_before_opened"),
     )
     value, n = F.col(tat), F.col("n")

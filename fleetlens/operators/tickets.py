@@ -324,7 +324,7 @@ def center_tickets(tables: Tables, center_id: int, only_open: bool = False) -> D
             label("subject", "(no subject)").alias("subject"),
             label("IssueCategory", "").alias("category"),
             F.coalesce("TicketLink", F.lit("")).alias("link"),
-            F.date_format("CreatedAt", "yyyy-MM-dd HH:mm:ss").alias("created"),
+            tm.stamp_label("CreatedAt").alias("created"),
         )
     )
 

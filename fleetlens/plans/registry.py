@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.functions import time as tm
 from fleetlens.plans import check_sql
 from fleetlens.sources.proxy import proxy_tables
 from fleetlens.sources.tables import Tables
@@ -49,7 +50,7 @@ def _plain(df: DataFrame) -> DataFrame:
     def shown(f: T.StructField):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f.name)
+            return tm.stamp_label(c).alias(f.name)
         return c.cast("string").alias(f.name) if isinstance(f.dataType, T.DateType) else c
 
     if not any(isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) for f in df.schema.fields):

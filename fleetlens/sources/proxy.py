@@ -98,7 +98,7 @@ SELECT c.c_custkey AS CenterID,
   CASE WHEN {_CENTER} % 6 = 0 THEN 'F2P_CENTER' ELSE 'PAID' END AS Spoke_Center_Segment,
   CASE WHEN {_CENTER} % 41 = 0 THEN NULL ELSE DATE '1995-01-01' + CAST({_CENTER} % 1500 AS INT) END AS deploymentdate,
   CASE WHEN {_CENTER} % 4 = 0 THEN DATE '2000-01-01' + CAST({_CENTER} % 300 AS INT) END AS deactivationdate
-FROM (SELECT *, 0 AS copy FROM @customer UNION ALL SELECT *, 1 AS copy FROM @customer WHERE c_custkey % 5 = 0) c
+FROM (SELECT *, 0 AS copy FROM @customer UNION ALL SELECT *, 1 AS copy FROM @customer) c
 JOIN @nation n ON c.c_nationkey = n.n_nationkey JOIN @region g ON n.n_regionkey = g.r_regionkey""",
     "support_tickets": f"""
 SELECT CASE WHEN orderkey % 1009 = 7 THEN NULL ELSE orderkey * 10 + line END AS ticketNumber,
@@ -213,11 +213,10 @@ SELECT CASE WHEN o_orderkey % 701 = 3 THEN NULL ELSE 'W-' || {_text('o_orderkey
   CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate + (o_orderkey % 900) * INTERVAL '1' DAY END AS enddatetime
 FROM @orders""",
     "geo_store": """
-SELECT DISTINCT 'p:' || PinCode || '|' || COALESCE(NULLIF(TRIM(hub_country), ''), 'India') AS key,
+SELECT DISTINCT CASE WHEN pin % 3 = 0 THEN 'old:' ELSE 'p:' END || PinCode || '|' || COALESCE(NULLIF(TRIM(hub_country), ''), 'India') AS key,
   CASE WHEN pin % 9 = 0 THEN 'x' ELSE CAST(8 + pin % 23 AS STRING) || '.25,' || CAST(70 + pin % 19 AS STRING) || '.5' END
     AS value
-FROM (SELECT *, CAST(PinCode AS BIGINT) AS pin FROM @center_details WHERE PinCode IS NOT NULL) c
-WHERE pin % 3 <> 0""",
+FROM (SELECT *, CAST(PinCode AS BIGINT) AS pin FROM @center_details WHERE PinCode IS NOT NULL) c""",
     # Sources of the tables above, as their builders read them.
     "source_centers": f"""
 SELECT c_custkey AS CenterID, c_name AS Centername, c_custkey % 50 AS HubID, 'Hub ' || {_text('c_custkey % 50')} AS HubName,
@@ -245,20 +244,19 @@ SELECT c_custkey AS centerid, CASE WHEN c_custkey % 12 = 0 THEN NULL ELSE '{"doN
   CAST(c_custkey % 7 AS STRING) || '"' ELSE '' END || '}' END AS preferences
 FROM @customer""",
     "source_config": """
-SELECT c_custkey AS centerid, name,
+SELECT c_custkey AS centerid, CASE WHEN (c_custkey + id) % 3 = 0 THEN 'UNUSED' ELSE name END AS name,
   CASE id WHEN 0 THEN '{"RESTING":"MODE ' || CAST(c_custkey % 3 AS STRING) || '"}' WHEN 1 THEN 'TYPE ' || CAST(c_custkey % 4 AS STRING)
     ELSE '{"value":"V' || CAST(c_custkey % 6 AS STRING) || '"}' END AS value
 FROM (SELECT c_custkey, 0 AS id, 'CASE_SUBMISSION' AS name FROM @customer UNION ALL
   SELECT c_custkey, 1, 'ENABLE_CASES_TYPE' FROM @customer UNION ALL SELECT c_custkey, 2, 'PRODUCT_OFFERING' FROM @customer
-  UNION ALL SELECT c_custkey, 3, 'REPORT_TEMPLATE' FROM @customer UNION ALL SELECT c_custkey, 4, 'UNUSED' FROM @customer) n
-WHERE (c_custkey + id) % 3 <> 0""",
+  UNION ALL SELECT c_custkey, 3, 'REPORT_TEMPLATE' FROM @customer UNION ALL SELECT c_custkey, 4, 'UNUSED' FROM @customer) n""",
     "source_zones": "SELECT 'State ' || CAST(n_nationkey AS STRING) || ' ' AS state, r_name AS Zone FROM @nation JOIN @region ON n_regionkey = r_regionkey",
-    "source_hub_sheet": "SELECT c_custkey AS hubid, 'Hub seg ' || CAST(c_custkey % 4 AS STRING) AS master_segment, 'Hub svc' AS service_type FROM @customer WHERE c_custkey < 50",
+    "source_hub_sheet": "SELECT c_custkey AS hubid, 'Hub seg ' || CAST(c_custkey % 4 AS STRING) AS master_segment, 'Hub svc' AS service_type FROM @customer",
     "source_spoke_sheet": "SELECT c_custkey AS centerid, 'Spoke seg ' || CAST(c_custkey % 6 AS STRING) AS master_segment, 'Spoke svc' AS service_type FROM @customer",
     "source_hub_names": """
 SELECT CASE WHEN s_suppkey % 9 = 0 THEN 'hub ' || CAST(s_suppkey AS STRING) ELSE CAST(s_suppkey AS STRING) END AS hub_id,
   s_name AS organization_name
-FROM @supplier WHERE s_suppkey < 50""",
+FROM @supplier""",
     "source_heartbeats": f"""
 SELECT 'D1-' || {_padded('n', 6)} AS DeviceID, {_text('CAST(FLOOR(value) AS BIGINT) % 36')} AS CSQ,
   CASE WHEN n % 12 = 0 THEN NULL ELSE SUBSTRING({_text('ts')}, 1, 19) END AS LastTimeStamp,
@@ -268,23 +266,23 @@ SELECT 'D1-' || {_padded('n', 6)} AS DeviceID, {_text('CAST(FLOOR(value) AS BIGI
   'hw-' || {_text('n % 11')} AS hardwareversion, 'fw-' || {_text('n % 5')} AS FirmwareName
 FROM ({_LATEST_EVENT}) d""",
     "source_devices": f"""
-SELECT 'D1-' || {_padded('n', 6)} AS deviceid, CASE WHEN n % 14 = 0 THEN 'none' ELSE {_text(f'(n * 3) % {_CUSTOMERS}')} END AS centerid,
+SELECT CASE WHEN n % 8 = 3 THEN 'X1-' ELSE 'D1-' END || {_padded('n', 6)} AS deviceid, CASE WHEN n % 14 = 0 THEN 'none' ELSE {_text(f'(n * 3) % {_CUSTOMERS}')} END AS centerid,
   'hw-' || {_text('n % 10')} AS hardwareversion
-FROM ({_LATEST_EVENT}) d WHERE n % 8 <> 3""",
+FROM ({_LATEST_EVENT}) d""",
     "source_issues": """
 SELECT 'P' || CAST(p_partkey % 3 AS STRING) AS project_key, 'DEV-' || CAST(p_partkey AS STRING) AS issue_key,
   p_name AS summary, p_type AS issuetype_name
 FROM @part""",
     "source_changelog": """
-SELECT 'P' || CAST(l_partkey % 3 AS STRING) AS project_key, 'DEV-' || CAST(l_partkey AS STRING) AS issue_key,
-  'Author ' || CAST(l_suppkey AS STRING) AS author, l_returnflag AS field_changed, l_linestatus AS to_value
-FROM @lineitem WHERE l_partkey % 11 <> 0""",
+SELECT 'P' || CAST(l_partkey % 3 AS STRING) AS project_key,
+  CASE WHEN l_partkey % 11 = 0 THEN 'OLD-' ELSE 'DEV-' END || CAST(l_partkey AS STRING) AS issue_key, 'Author ' || CAST(l_suppkey AS STRING) AS author, l_returnflag AS field_changed, l_linestatus AS to_value
+FROM @lineitem""",
     "source_members": """
 SELECT CASE WHEN s_suppkey % 7 = 0 THEN 'm' || CAST(s_suppkey AS STRING) ELSE CAST(s_suppkey AS STRING) END AS member_id,
   s_nationkey AS organization_id
 FROM @supplier""",
     "source_organizations": "SELECT n_nationkey AS organization_id, 'Org ' || n_name AS organization_name FROM @nation",
-    "source_managers": "SELECT s_suppkey AS hub_id, s_name AS account_manager, 'Grp ' || CAST(s_nationkey AS STRING) AS grp FROM @supplier WHERE s_suppkey % 3 <> 0",
+    "source_managers": "SELECT CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey END AS hub_id, s_name AS account_manager, 'Grp ' || CAST(s_nationkey AS STRING) AS grp FROM @supplier",
 }
 
 _REFERENCE = re.compile(r"@([a-z_]+)")
