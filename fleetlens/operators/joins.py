@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from fleetlens.sources.reference_data import account_hubs
 
 
+def left_join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on a key that many left rows may lack.
+
+    Rows without the key match nothing, yet a plain join would hash them all to one task; a second key
+    taken from their content spreads them.
+    """
+    bucket = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*left.columns), F.lit(4096))).otherwise(F.lit(-1))
+    spread = left.withColumn("_spread", bucket.cast("int"))
+    return spread.join(right.withColumn("_spread", F.lit(-1)), [key, "_spread"], "left").drop("_spread")
+
+
 def left_join_first(left: DataFrame, right: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Left join in which each key of ``right`` contributes its first row by ``order``.
 
@@ -17,7 +28,7 @@ def left_join_first(left: DataFrame, right: DataFrame, key: str, order: Sequence
     """
     kept = [*order, *(c for c in right.columns if c != key and c not in order)]
     first = right.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*kept)).alias("_first"))
-    return left.join(first.select(key, "_first.*"), key, "left")
+    return left_join_spread(left, first.select(key, "_first.*"), key)
 
 
 def with_flag(rows: DataFrame, marked: DataFrame, key: str, flag: str) -> DataFrame:

@@ -303,18 +303,21 @@ def duckdb_view(name: str) -> str:
     return _REFERENCE.sub(r"\1", text)
 
 
-@cache
-def _schema(path: str) -> T.StructType:
-    """Schema of a test table; looked up once per process, which saves a footer job per query."""
-    return SparkSession.getActiveSession().read.parquet(path).schema
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
+def _base_table(spark: SparkSession, path: str) -> DataFrame:
+    """A test table. Its schema is looked up once per process, which saves a footer job per query."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _loader(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
     @cache
     def load(name: str) -> DataFrame:
         if name in BASE_TABLES:
-            path = f"{folder}/{name}.parquet"
-            return spark.read.schema(_schema(path)).parquet(path)
+            return _base_table(spark, f"{folder}/{name}.parquet")
         text = _DAYS.sub(r"datediff(\1, \2)", VIEWS[name])
         inputs = {n: load(n) for n in sorted(set(_REFERENCE.findall(text)))}
         return spark.sql(_REFERENCE.sub(r"{\1}", text.replace("{", "{{").replace("}", "}}")), **inputs)
