@@ -14,11 +14,13 @@ def left_join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join on a key that many left rows may lack.
 
     Rows without the key match nothing, yet a plain join would hash them all to one task; a second key
-    taken from their content spreads them.
+    taken from their content spreads them. On the right that key is always 0, written so that the optimizer
+    keeps it: a literal would be folded into a filter and no longer take part in the shuffle.
     """
-    bucket = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*left.columns), F.lit(4096))).otherwise(F.lit(-1))
-    spread = left.withColumn("_spread", bucket.cast("int"))
-    return spread.join(right.withColumn("_spread", F.lit(-1)), [key, "_spread"], "left").drop("_spread")
+    content = 1 + F.pmod(F.xxhash64(*left.columns), F.lit(4096))
+    spread = left.withColumn("_spread", F.when(F.col(key).isNull(), content).otherwise(0))
+    matches = right.withColumn("_spread", F.pmod(F.xxhash64(key), F.lit(1)))
+    return spread.join(matches, [key, "_spread"], "left").drop("_spread")
 
 
 def left_join_first(left: DataFrame, right: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
