@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import as_bytes, cut
 
 RUN_BYTES = 4 << 20
-PART_BYTES = 16 << 20
-HOT_RUNS = 64
+PART_BYTES = 8 << 20
+HOT_RUNS = 4096
 BLOCK = 1 << 22  # symbols hashed at once
 NO_ID = np.iinfo(np.int64).max  # a NULL id comes after all others
 MASK48 = (1 << 48) - 1
@@ -276,7 +276,7 @@ def _send(kind: Kind, parts: int):
                     group[0].append(content)
                     group[1].append(w)
                 rows = [(p, kind.encode(*group)) for p, group in sent.items()]
-                places = packed(("s", pa.array(np.diff(start, prepend=0))), ("n", pa.array(count)), ("e", pa.array(entry)), ("w", pa.array(weights[entry])))
+                places = packed(("s", pa.array(np.diff(start, prepend=0), pa.int32())), ("n", pa.array(count, pa.uint8())), ("e", pa.array(entry, pa.int32())))
                 rows.append((parts + number, places))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _ in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())],
@@ -312,10 +312,11 @@ def _apply(kind: Kind, parts: int):
                 if back:
                     back = sorted(((b["part"], b["block"]) for b in back), key=lambda b: b[0])
                     places = unpacked(back[-1][1])
-                    start, count, entry, weights = (c.to_numpy() for c in places.columns)
+                    start, count, entry = (c.to_numpy().astype(np.int64) for c in places.columns)
                     start = np.cumsum(start)
                     masks = np.concatenate([unpacked(b).column(0).to_numpy() for _, b in back[:-1]])[entry]
                     owners = np.array([NO_ID if i is None else i for i in ids], np.int64)[_doc_of(start, lengths)]
+                    weights = kind.weigh(owners, entry, int(entry.max()) + 1)[entry]
                     masks = np.where(kind.always(owners, entry, weights), ~np.uint64(0), masks)
                     for j in range(kind.window - kind.gram + 1):
                         gone = start[((masks >> np.uint64(j)) & np.uint64(1)).astype(bool) & (count > j)] + j
