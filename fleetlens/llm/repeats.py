@@ -141,7 +141,11 @@ def slices_of(symbols: np.ndarray, lengths: Sequence[int], window: int, gram: in
             continue
         anchors = (least[starts] & np.uint64((1 << 24) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], (np.diff(starts) != 1) | (np.diff(anchors) != 0))))
-        parts.append((starts[first] + low, np.diff(np.concatenate((first, [len(starts)]))), anchors[first] + low, (grams[anchors[first]] >> np.uint64(16)).astype(np.int64)))
+        # Anchors have small hashes: mixed again, they spread over all ranges.
+        again = grams[anchors[first]] * np.uint64(0xA24BAED4963EE407)
+        again ^= again >> np.uint64(32)
+        again *= np.uint64(0x9FB21C651E98DF25)
+        parts.append((starts[first] + low, np.diff(np.concatenate((first, [len(starts)]))), anchors[first] + low, (again >> np.uint64(16)).astype(np.int64)))
     if not parts:
         return Slices(*(np.zeros(0, np.int64) for _ in range(4)))
     return Slices(*(np.concatenate(c) for c in zip(*parts, strict=True)))
