@@ -30,7 +30,7 @@ from fleetlens.llm.common import FOLD, as_bytes
 BUCKETS = 1 << 18
 STYLE = 16  # ranges of each share
 SHARES = 7
-MAX_ROWS = 8000
+MAX_ROWS = 6000
 SIGNS = b"#*$%&|<>!=_~^@{}[]\\"
 CAPITALS = bytes(range(65, 91))
 SCORE = "struct<expected_grade:double,tail_probability:double>"
@@ -128,7 +128,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     met = known.join(F.broadcast(sample), "id").select("id", "grade", feature_column("text").alias("f"))  # max_rows rows at most
     table = met.toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
-    rows = [np.asarray(x.values, np.int64) for x in table["f"].combine_chunks()] if len(table) else []
+    rows = [np.asarray(x.values, np.int32) for x in table["f"].combine_chunks()] if len(table) else []
     return fit_ordinal(rows, table["grade"].to_numpy().astype(np.int64), n_grades)
 
 

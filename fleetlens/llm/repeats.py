@@ -42,7 +42,7 @@ def packed(*arrays: tuple[str, pa.Array]) -> bytes:
     """Columns as one compressed block."""
     batch = pa.RecordBatch.from_arrays([a for _, a in arrays], names=[n for n, _ in arrays])
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 

@@ -1,0 +1,40 @@
+from __future__ import annotations
+
+import pytest
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+PASSAGE = " ".join(f"shared{i}" for i in range(60))
+
+
+def make(spark, rows, schema=SCHEMA):
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], schema)
+
+
+def texts():
+    """Rows with every odd case: NULLs, empty and long texts, copies, near copies, shared passages, repeated rows and ids."""
+    word = lambda n, k: " ".join(f"w{(i * k) % 97}x{k}" for i in range(n))
+    base = word(120, 7)
+    return [
+        (1, base, "a"), (2, base, "a"), (3, base + " tail", "b"), (4, None, "a"), (5, "", None), (6, "one", "b"), (7, "one two", None),
+        (8, word(50, 3) + " " + PASSAGE + " " + word(40, 5), "a"), (9, word(30, 11) + "\n" + PASSAGE, "b"), (10, word(9000, 13), "c"),
+        (11, word(200, 17) + " ÉcoLe naïve 漢字 😀", "c"), (11, word(200, 17) + " ÉcoLe naïve 漢字 😀", "c"), (11, "other text of the same id", "c"),
+        (None, "no id here at all " + PASSAGE, "a"), (12, "x y " * 400, "b"), (13, "aaaa" * 300, "b"), (14, PASSAGE, "c"),
+    ]
+
+
+@pytest.fixture(scope="session")
+def odd_docs(spark):
+    docs = make(spark, texts())
+    for clash in ("n_words", "key", "id", "hits", "component", "_text", "spans", "run", "part"):
+        docs = docs.withColumn(clash, docs["doc_id"].cast("string"))
+    return docs
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return make(spark, [])
+
+
+@pytest.fixture(scope="session")
+def make_docs(spark):
+    return lambda rows: make(spark, rows)
