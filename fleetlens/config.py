@@ -40,6 +40,3 @@ DEFAULT_COUNTRY = "India"
 
 # Marker of a location that cannot be resolved to coordinates.
 UNRESOLVABLE = "x"
-
-# Row cap of a raw export (the export reports when it was reached).
-EXPORT_MAX_ROWS = 100_000

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 from operator import and_
 from typing import TYPE_CHECKING
@@ -46,14 +47,23 @@ def not_in_list(c: Column | str, values: Sequence[str]) -> Column | None:
     return ~clean(c).isin(wanted) if wanted else None
 
 
+def _day(text: str) -> date | None:
+    """The day a bound names; None for anything that is not a day of the calendar."""
+    try:
+        return date.fromisoformat(text) if _DATE.fullmatch(text or "") else None
+    except ValueError:
+        return None
+
+
 def date_range(c: Column | str, start: str = "", end: str = "") -> Column | None:
     """Inclusive date range; a malformed bound is ignored, a NULL date fails an active range."""
     day = col(c).cast("date")
     parts = []
-    if _DATE.fullmatch(start or ""):
-        parts.append(day >= F.lit(start).cast("date"))
-    if _DATE.fullmatch(end or ""):
-        parts.append(day <= F.lit(end).cast("date"))
+    first, last = _day(start), _day(end)
+    if first:
+        parts.append(day >= F.lit(first))
+    if last:
+        parts.append(day <= F.lit(last))
     return all_of(*parts)
 
 

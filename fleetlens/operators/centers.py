@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,7 +113,7 @@ def listing(
         F.col("deactivationdate").cast("string").alias("deactivated"),
     ).distinct()
     order = [F.col(c).asc_nulls_first() for c in rows.columns]
-    shown = page_of(rows, order, page, max(5, size), largest=100)
+    shown = page_of(rows, order, page, size)
     return shown.join(dv.per_center(dv.device_index(tables, as_of)), "center_id", "left").withColumn(
         "devices", F.coalesce("register_devices", F.lit(0))
     ).drop("register_devices")
@@ -259,17 +260,21 @@ def explorer(
     if key == "open_tickets":
         order.append(F.col("uptime_pct").asc_nulls_last())
     order += [F.col("center_id").asc_nulls_last(), F.col("city").asc()]
-    return page_of(rows, order, page, max(5, size), largest=100, counted=counted)
+    return page_of(rows, order, page, size, counted=counted)
 
 
-def named(rows: DataFrame, mart: DataFrame) -> DataFrame:
-    """Add the center's name (or 'Center #id') and device count to rows keyed by ``centerid``."""
+def named(rows: DataFrame, mart: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+    """Add the center's name (or 'Center #id') and device count to rows keyed by ``centerid``, sorted by ``order``.
+
+    A join keeps no order, so rows that are to be in one are sorted here.
+    """
     known = mart.groupBy(F.col("center_id").alias("centerid")).agg(
         F.min("center").alias("_name"), F.max("register_devices").alias("_devices")
     )
     numbered = F.concat(F.lit("Center #"), F.col("centerid").cast("string"))
-    return rows.join(known, "centerid", "left").select(
+    joined = rows.join(known, "centerid", "left").select(
         *rows.columns,
         F.coalesce(F.nullif("_name", F.lit("")), numbered).alias("center"),
         F.coalesce("_devices", F.lit(0)).alias("devices"),
     )
+    return joined.orderBy(*order) if order else joined

@@ -285,4 +285,4 @@ def telemetry_explorer(
     rows = where(rows, contains_text(("device", "center", "hub"), search, min_length=1))
     ties = [F.col(c).asc_nulls_first() for c in ("device", "last_seen", "csq", "battery", "latency", "retries")]
     order = sort_order(TELEMETRY_SORT_KEYS, sort_by, sort_dir, "last_seen", ties)
-    return page_of(rows, order, page, size, largest=100).drop("_center", "_hub", "_last", "_battery")
+    return page_of(rows, order, page, size).drop("_center", "_hub", "_last", "_battery")

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens import config
 from fleetlens.filters import Filters, by_center, where
 from fleetlens.functions.text import col, label
 from fleetlens.sources.tables import Tables
@@ -30,15 +29,16 @@ def empties_last(c: Column | str, direction: str, is_text: bool = False) -> Colu
 
 
 def page_of(
-    df: DataFrame, order: Sequence[Column], page: int, size: int, largest: int = 200, counted: DataFrame | None = None
+    df: DataFrame, order: Sequence[Column], page: int, size: int, counted: DataFrame | None = None
 ) -> DataFrame:
-    """One page plus the total number of rows.
+    """One page of ``size`` rows plus the total number of rows.
 
     The total is an aggregate of its own: a window over everything would put all rows in one task. It counts
     ``counted`` instead where a cheaper frame has as many rows.
     """
-    size = min(largest, max(1, size))
-    rows = df.orderBy(*order).offset(max(0, page) * size).limit(size)
+    if size < 1 or page < 0:
+        raise ValueError("a page holds a row at least, and pages count from 0")
+    rows = df.orderBy(*order).offset(page * size).limit(size)
     return rows.withColumn("total_rows", (df if counted is None else counted).agg(F.count("*")).scalar())
 
 
@@ -102,52 +102,28 @@ def raw_order(df: DataFrame, source: str) -> list[Column]:
 
 def raw_page(tables: Tables, source: str, filters: Filters = Filters(), page: int = 0, size: int = 25) -> DataFrame:
     df = raw_rows(tables, source, filters)
-    return page_of(df, raw_order(df, source), page, max(5, size), largest=500)
+    return page_of(df, raw_order(df, source), page, size)
 
 
 def raw_export_rows(
-    tables: Tables, source: str, filters: Filters = Filters(), max_rows: int = config.EXPORT_MAX_ROWS
+    tables: Tables, source: str, filters: Filters = Filters(), max_rows: int | None = None
 ) -> DataFrame:
+    """All rows of the export in order, or the first ``max_rows`` where the caller wants a cap."""
     df = raw_rows(tables, source, filters)
-    return df.orderBy(*raw_order(df, source)).limit(max_rows)
-
-
-def _key_bound(df: DataFrame, key: str, total: int, wanted: int):
-    """A key that at least ``wanted`` rows do not exceed, judged from a sample of the key column.
-
-    None if the sample cannot tell; the caller then goes without a bound.
-    """
-    fraction = min(1.0, 200_000 / total)
-    expected = wanted * fraction
-    place = int(expected + 6 * expected**0.5 + 50)
-    smallest = df.select(key).sample(fraction, seed=7).orderBy(F.col(key).asc_nulls_first()).limit(place)
-    bound, found = smallest.agg(F.max(key), F.count("*")).first()
-    if bound is None or found < place:
-        return None
-    reached = df.filter(F.col(key).isNull() | (F.col(key) <= bound)).count()
-    return bound if reached >= wanted else None
+    rows = df.orderBy(*raw_order(df, source))
+    return rows if max_rows is None else rows.limit(max_rows)
 
 
 def raw_export(
-    tables: Tables, source: str, path: str, filters: Filters = Filters(), max_rows: int = config.EXPORT_MAX_ROWS
+    tables: Tables, source: str, path: str, filters: Filters = Filters(), max_rows: int | None = None
 ) -> dict[str, object]:
-    """Write the export as CSV with a header; report the total and whether the cap was reached.
+    """Write the export as CSV with a header; report the total and whether the caller's cap was reached.
 
-    Taking the first rows of a very large table would have every task send its own first rows to one. So the
-    table is first narrowed to keys up to a bound that is known to leave enough rows. The result is the same.
+    Without a cap every task writes its own range of the order.
     """
-    df = raw_rows(tables, source, filters)
-    total = df.count()
-    order = raw_order(df, source)
-    if total <= max_rows:
-        rows = df.orderBy(*order)
-    else:
-        key = RAW_SOURCES[source].order_key
-        bound = _key_bound(df, key, total, max_rows)
-        near = df if bound is None else df.filter(F.col(key).isNull() | (F.col(key) <= bound))
-        rows = near.orderBy(*order).limit(max_rows)
-    rows.write.mode("overwrite").option("header", True).csv(path)
-    return {"total_rows": total, "truncated": total > max_rows}
+    total = raw_rows(tables, source, filters).count()
+    raw_export_rows(tables, source, filters, max_rows).write.mode("overwrite").option("header", True).csv(path)
+    return {"total_rows": total, "truncated": max_rows is not None and total > max_rows}
 
 
 def top_values(centers: DataFrame, c: str, name: str, limit: int = 50) -> DataFrame:

@@ -133,6 +133,11 @@ def scored_by_window(tables: Tables, as_of: datetime) -> DataFrame:
     return score(window_births(tables), center_ticket_stats(tables.cleaned(), as_of), as_of)
 
 
+def worst_first() -> list[Column]:
+    """The order of the reliability list."""
+    return [F.col("uptime_pct").asc_nulls_first(), F.col("centerid").asc_nulls_first()]
+
+
 def reliability(scores: DataFrame, limit: int | None = None) -> DataFrame:
     """Lowest uptime first."""
     rows = scores.select(
@@ -141,7 +146,7 @@ def reliability(scores: DataFrame, limit: int | None = None) -> DataFrame:
         F.round(100 - F.col("uptime_pct"), 1).alias("downtime_pct"),
         "failures",
         F.round(F.col("life_hrs") / 24, 0).alias("life_days"),
-    ).orderBy(F.col("uptime_pct").asc_nulls_first(), "centerid")
+    ).orderBy(*worst_first())
     return rows.limit(limit) if limit else rows
 
 

@@ -22,8 +22,14 @@ TICKET_EXTRAS = ("HubID", "HubName", "TicketLink", "assignee", "hub_master_segme
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees, as the session names it; a local one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetlens-")
+    """The folder every executor sees, as spark.checkpoint.dir names it.
+
+    Unset, a local session gets a temporary one; on a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="fleetlens-")
 
 
 def build_marts(

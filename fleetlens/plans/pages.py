@@ -26,7 +26,7 @@ def dashboard(t: Tables, as_of: datetime, filters: Filters, mart: DataFrame) ->
     index = dv.device_index(t, as_of)
     devices = dv.filtered_devices(t, as_of, filters, index)
     return {
-        "reliability": ct.named(up.reliability(scores), mart),
+        "reliability": ct.named(up.reliability(scores), mart, up.worst_first()),
         "uptime_fleet": up.fleet(scores),
         "asset_health": up.health_watchlist(scores),
         "center_kpis": ct.kpis(t, filters),

@@ -75,7 +75,7 @@ def _(t: Tables) -> DataFrame:
     return ex.raw_page(t, "support_tickets", NARROW, size=500).select(*columns, "total_rows")
 
 
-@query("S4_raw_export", f"{_RAW_CENTER} ORDER BY {_CENTER_ORDER} LIMIT 100000")
+@query("S4_raw_export", f"{_RAW_CENTER} ORDER BY {_CENTER_ORDER}")
 def _(t: Tables) -> DataFrame:
     return ex.raw_export_rows(t, "center_details")
 

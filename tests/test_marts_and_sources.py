@@ -4,6 +4,8 @@ import csv
 import glob
 from datetime import datetime
 
+import pytest
+
 from fleetlens.filters import DEFAULT_FILTERS, Filters
 from fleetlens.operators import centers as ct
 from fleetlens.operators import explore as ex
@@ -39,7 +41,22 @@ def test_shared_folder_follows_the_session():
         class conf:
             get = staticmethod({}.get)
 
+        class sparkContext:
+            master = "local[2]"
+
     assert shared_folder(Unset).startswith("/")
+    Unset.sparkContext.master = "spark://somewhere:7077"
+    with pytest.raises(ValueError):
+        shared_folder(Unset)
+
+
+def test_pages_honour_their_size_and_bounds_that_are_no_days(tables):
+    assert ex.raw_page(tables, "center_details", size=1).count() == 1
+    total = tables.centers.count()
+    assert ex.raw_page(tables, "center_details", size=10 * total).count() == total
+    with pytest.raises(ValueError):
+        ex.raw_page(tables, "center_details", size=0)
+    assert ex.raw_rows(tables, "center_details", Filters(date_from="2001-02-30")).count() == total
 
 
 def test_export_reports_its_cap(tables, tmp_path):
@@ -54,7 +71,6 @@ def test_export_reports_its_cap(tables, tmp_path):
 
 def test_bounded_export_equals_the_plain_one(spark, tables, tmp_path):
     t = tables.replacing({"support_tickets": tables.tickets})
-    assert ex._key_bound(ex.raw_rows(t, "support_tickets"), "ticketNumber", t.tickets.count(), 500) is not None
     ex.raw_export(t, "support_tickets", str(tmp_path / "c"), max_rows=500)
     plain = ex.raw_export_rows(t, "support_tickets", max_rows=500)
     written = spark.read.option("header", True).csv(str(tmp_path / "c"))
