@@ -247,7 +247,7 @@ def explorer(
     mart: DataFrame, filters: Filters = Filters(), search: str = "", sort_by: str = "devices",
     sort_dir: str = "desc", page: int = 0, size: int = 15, dimension: DataFrame | None = None,
 ) -> DataFrame:
-    """One page of the mart. Open tickets tie-break on the worst uptime; the id makes the order total.
+    """One page of the mart. Open tickets tie-break on the worst uptime, then the id decides.
 
     The filters rest on center attributes alone, so the total can be counted over the bare center dimension;
     give it where the mart is not yet a table.

@@ -48,10 +48,15 @@ def tracked(devices: DataFrame) -> DataFrame:
 
 
 def device_index(tables: Tables, as_of: datetime) -> DataFrame:
-    """One row per tracked device, with serial, model, age and center (NULL when unmapped)."""
+    """One row per tracked device, with serial, model, age and center (NULL when unmapped).
+
+    A device with a blank key goes by its summary. ``issuetype_name`` and ``status_name`` are as registered,
+    ``type`` and ``status`` as shown.
+    """
     created = F.col("ticket_created")
-    devices = tracked(register_devices(tables.register)).filter(trimmed("issue_key") != "").select(
-        F.col("issue_key").alias("key"),
+    key = F.coalesce(F.nullif("issue_key", F.lit("")), "summary")
+    devices = tracked(register_devices(tables.register)).filter(key != "").select(
+        key.alias("key"),
         F.coalesce("summary", F.lit("")).alias("summary"),
         serial_of("summary").alias("serial"),
         F.coalesce(F.nullif("issuetype_name", F.lit("")), F.lit("Other")).alias("type"),
@@ -59,6 +64,7 @@ def device_index(tables: Tables, as_of: datetime) -> DataFrame:
         F.coalesce(trimmed("status_name"), F.lit("")).alias("status"),
         created.cast("date").alias("birthday"),
         tm.whole_days_between(created, tm.moment(as_of)).alias("age_days"),
+        "issuetype_name", "status_name",
     )
     # A device without a serial matches nothing; its own key spreads such devices over all partitions.
     return (
@@ -71,14 +77,14 @@ def device_index(tables: Tables, as_of: datetime) -> DataFrame:
 def filtered_devices(
     tables: Tables, as_of: datetime, filters: Filters = Filters(), index: DataFrame | None = None
 ) -> DataFrame:
-    """Device index under the filters: type and status directly, center attributes through the mapped
-    center, the date range on the device's own creation date."""
+    """Device index under the filters: type and status as registered, center attributes through the mapped
+    center, the date range on the device's own creation date. An unknown status is never excluded."""
     types = list(filters.device_types)
     excluded = list(filters.device_status_exclude)
     df = where(
         device_index(tables, as_of) if index is None else index,
-        F.col("type").isin(types) if types else None,
-        ~F.col("status").isin(excluded) if excluded else None,
+        F.col("issuetype_name").isin(types) if types else None,
+        F.coalesce(~F.col("status_name").isin(excluded), F.lit(True)) if excluded else None,
         filters.dates("birthday"),
     )
     condition = filters.center_attributes()

@@ -31,14 +31,15 @@ def empties_last(c: Column | str, direction: str, is_text: bool = False) -> Colu
 def page_of(
     df: DataFrame, order: Sequence[Column], page: int, size: int, counted: DataFrame | None = None
 ) -> DataFrame:
-    """One page of ``size`` rows plus the total number of rows.
+    """One page of ``size`` rows plus the total number of rows. Rows that tie go by all their columns.
 
     The total is an aggregate of its own: a window over everything would put all rows in one task. It counts
     ``counted`` instead where a cheaper frame has as many rows.
     """
     if size < 1 or page < 0:
         raise ValueError("a page holds a row at least, and pages count from 0")
-    rows = df.orderBy(*order).offset(page * size).limit(size)
+    total = [*order, *(F.col(c).asc_nulls_first() for c in df.columns)]
+    rows = df.orderBy(*total).offset(page * size).limit(size)
     return rows.withColumn("total_rows", (df if counted is None else counted).agg(F.count("*")).scalar())
 
 

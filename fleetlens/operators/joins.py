@@ -36,7 +36,7 @@ def left_join_first(left: DataFrame, right: DataFrame, key: str, order: Sequence
 def with_flag(rows: DataFrame, marked: DataFrame, key: str, flag: str) -> DataFrame:
     """Add whether the row's key occurs in ``marked``."""
     keys = marked.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_hit", F.lit(True))
-    return rows.join(keys, key, "left").withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return left_join_spread(rows, keys, key).withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def with_account(centers: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from fleetlens.config import CLOCK_OFFSET_MINUTES
 from fleetlens.functions import time as tm
 from fleetlens.functions.classify import center_type
 from fleetlens.functions.text import col, trimmed
+from fleetlens.operators.joins import left_join_spread
 
 
 def json_scalar(text: Column | str, key: str | None = None) -> Column:
@@ -124,11 +125,12 @@ def segment_overrides(centers: DataFrame, spoke_sheet: DataFrame, hub_sheet: Dat
     def either(fields: str, key: str, fallback: str) -> Column:
         return F.coalesce(json_scalar(fields, key), fallback)
 
+    own = centers.select("CenterID", "HubID", "customfields").join(
+        sheet(spoke_sheet, "centerid", "CenterID", "s"), "CenterID", "left"
+    )
+    with_hub_fields = left_join_spread(own, hubs, "HubID")
     return (
-        centers.select("CenterID", "HubID", "customfields")
-        .join(hubs, "HubID", "left")
-        .join(sheet(spoke_sheet, "centerid", "CenterID", "s"), "CenterID", "left")
-        .join(sheet(hub_sheet, "hubid", "HubID", "h"), "HubID", "left")
+        left_join_spread(with_hub_fields, sheet(hub_sheet, "hubid", "HubID", "h"), "HubID")
         .select(
             "CenterID",
             either("customfields", "Master Segment", "s_master_segment").alias("spk_master_segment"),
@@ -142,7 +144,7 @@ def segment_overrides(centers: DataFrame, spoke_sheet: DataFrame, hub_sheet: Dat
 def with_hub(centers: DataFrame) -> DataFrame:
     """Each center beside its hub's row."""
     hubs = centers.select(F.col("CenterID").alias("HubID"), F.col("Centername").alias("hub_center"), F.col("Current_MRR").alias("hub_mrr"))
-    return centers.select("CenterID", "HubID", "Current_MRR").join(hubs, "HubID", "left").select(
+    return left_join_spread(centers.select("CenterID", "HubID", "Current_MRR"), hubs, "HubID").select(
         "CenterID", "HubID", F.col("Current_MRR").alias("mrr"), "hub_center", "hub_mrr"
     )
 
@@ -162,7 +164,7 @@ def with_zone(centers: DataFrame, zones: DataFrame) -> DataFrame:
 def with_organization(centers: DataFrame, hub_names: DataFrame) -> DataFrame:
     """Organisation of a center's hub; a hub id that is no number never matches."""
     names = hub_names.select(F.col("hub_id").try_cast("bigint").alias("HubID"), "organization_name").filter("HubID IS NOT NULL")
-    return centers.select("CenterID", "HubID").join(names, "HubID", "left").select("CenterID", "HubID", "organization_name")
+    return left_join_spread(centers.select("CenterID", "HubID"), names, "HubID").select("CenterID", "HubID", "organization_name")
 
 
 HEARTBEAT_FIELDS = ("BatteryLevel", "LastShutdown", "BatteryDischarging", "SpaceAvailable", "EcgCounter", "Retries", "Latency")

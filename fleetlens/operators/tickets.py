@@ -234,7 +234,7 @@ def by_status(tables: Tables, filters: Filters = Filters(), limit: int = 15) ->
     return rank_counts(scope(tables, filters), "status", "(blank)", limit, name="k", count="n")
 
 
-def center_ticket_stats(tickets: DataFrame, as_of: datetime, with_segment: bool = False) -> DataFrame:
+def center_ticket_stats(tickets: DataFrame, as_of: datetime) -> DataFrame:
     """Per center, from one pass over cleaned tickets: volumes, failures and merged downtime.
 
     Downtime is the length, in hour boundaries, of the union of a center's failure intervals. Only hour
@@ -244,18 +244,15 @@ def center_ticket_stats(tickets: DataFrame, as_of: datetime, with_segment: bool
     """
     now = tm.moment(as_of)
     failure = F.col("is_tech") & F.col("CreatedAt").isNotNull()
-    segment = [F.min("_segment").alias("_segment")] if with_segment else []
     hourly = (
         with_sla(tickets.filter(F.col("CenterID").isNotNull()))
-        .withColumn("_segment", cl.segment_group("hub_master_segment", None) if with_segment else F.lit(None))
         .groupBy(F.col("CenterID").alias("center_id"), F.when(failure, tm.hour_number("CreatedAt")).alias("_start"))
         .agg(
             F.max(F.when(failure, tm.hour_number(F.coalesce("ClosedAt", now)))).alias("_end"),
             F.count("*").alias("_n"),
             F.count_if(cl.is_open("status")).alias("_open"),
-            F.count_if(F.lower(F.coalesce("IssueCategory", F.lit(""))).contains("swap")).alias("_swap"),
+            F.count_if(_names_swap()).alias("_swap"),
             F.count_if(failure).alias("_failures"),
-            *segment,
         )
     )
     before = Window.partitionBy("center_id").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
@@ -270,14 +267,27 @@ def center_ticket_stats(tickets: DataFrame, as_of: datetime, with_segment: bool
             F.sum("_swap").alias("swapped"),
             F.sum("_failures").alias("failures"),
             F.coalesce(F.sum(F.when(F.col("_start").isNotNull(), gain)), F.lit(0)).alias("downtime_hrs"),
-            *([F.min("_segment").alias("segment")] if with_segment else []),
         )
     )
 
 
-def per_center(tables: Tables, as_of: datetime) -> DataFrame:
-    stats = center_ticket_stats(tables.cleaned("hub_master_segment"), as_of, with_segment=True)
-    return stats.select("center_id", "tickets_total", "open_tickets", "swapped", "segment")
+def _names_swap() -> Column:
+    return F.lower(F.coalesce("IssueCategory", F.lit(""))).contains("swap")
+
+
+def per_center(tables: Tables) -> DataFrame:
+    """Ticket volumes per center, where downtime is not asked for."""
+    return (
+        tables.cleaned("hub_master_segment")
+        .filter(F.col("CenterID").isNotNull())
+        .groupBy(F.col("CenterID").alias("center_id"))
+        .agg(
+            F.count("*").alias("tickets_total"),
+            F.count_if(cl.is_open("status")).alias("open_tickets"),
+            F.count_if(_names_swap()).alias("swapped"),
+            F.min(cl.segment_group("hub_master_segment", None)).alias("segment"),
+        )
+    )
 
 
 def failure_tickets(tickets: DataFrame) -> DataFrame:
@@ -309,14 +319,14 @@ def center_totals(tables: Tables, center_id: int) -> DataFrame:
     )
 
 
-def center_tickets(tables: Tables, center_id: int, only_open: bool = False) -> DataFrame:
-    """Newest tickets of one center: 25 open ones, or 50 of any status."""
+def center_tickets(tables: Tables, center_id: int, only_open: bool = False, limit: int | None = None) -> DataFrame:
+    """Newest tickets of one center: ``limit`` of them, by default 25 open ones, or 50 of any status."""
     df = tables.cleaned("priority", "subject", "TicketLink").filter(F.col("CenterID") == center_id)
     if only_open:
         df = df.filter(cl.is_open("status"))
     return (
         df.orderBy(F.col("CreatedAt").desc_nulls_last(), F.col("ticketNumber").asc_nulls_first())
-        .limit(25 if only_open else 50)
+        .limit((25 if only_open else 50) if limit is None else limit)
         .select(
             F.col("ticketNumber").alias("ticket"),
             "status",
@@ -342,7 +352,7 @@ def account_ticket_stats(tables: Tables, as_of: datetime, filters: Filters = Fil
     )
 
 
-def look_up(tables: Tables, ident: int) -> DataFrame:
+def look_up(tables: Tables, ident: int | Column) -> DataFrame:
     """Resolve a number: as a center if there is one, else as a ticket of a known center."""
     as_center = tables.centers.filter(F.col("CenterID") == ident).select(
         F.lit(0).alias("rank"), F.lit("center").alias("kind"), F.col("CenterID").alias("center_id"),

@@ -41,13 +41,12 @@ def _merge(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
 def merge_intervals(intervals: DataFrame, key: str) -> DataFrame:
     """Union of the intervals of each key as disjoint islands; touching intervals merge.
 
-    ``n`` counts the intervals in an island. Intervals that end before they start cover nothing and are
-    dropped. The union is taken in steps, so no task ever sorts all intervals of a busy key: intervals with
+    ``n`` counts the intervals in an island. An interval that ends before it starts covers nothing, yet counts:
+    in the island its start lies in, else as an island of its own. The union is taken in steps, so no task ever sorts all intervals of a busy key: intervals with
     one start collapse in the map side, then each day of starts merges on its own, then the few islands left.
     """
     collapsed = (
-        intervals.filter(F.col("end") >= F.col("start"))
-        .groupBy(key, "start")
+        intervals.groupBy(key, "start")
         .agg(F.max("end").alias("end"), F.count("*").alias("n"))
         .withColumn("_day", F.col("start").cast("date"))
     )

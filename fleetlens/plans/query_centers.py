@@ -10,7 +10,7 @@ from fleetlens.operators import centers as ct
 from fleetlens.operators import devices as dv
 from fleetlens.operators.explore import options
 from fleetlens.functions.classify import segment_group
-from fleetlens.plans.check_sql import AS_OF, age_band, is_open, named, segment, stamp
+from fleetlens.plans.check_sql import AS_OF, age_band, named, segment, stamp
 from fleetlens.plans.query_tickets import CENTER
 from fleetlens.plans.registry import query
 from fleetlens.sources.cleaned import center_dimension
@@ -21,12 +21,12 @@ ONE_STATE = Filters(states=("State 3",))
 PAID = Filters(billable=("YES", "NO"), date_from="1995-06-01", date_to="1998-06-30")
 
 
-@query("N1_center_kpis", f"""
-SELECT COUNT(DISTINCT CenterID) AS centers, COUNT(DISTINCT NULLIF(TRIM(City), '')) AS cities,
-  COUNT(DISTINCT CASE WHEN deactivationdate IS NULL THEN CenterID END) AS active_deployments,
-  COUNT(DISTINCT CASE WHEN CenterID IN (SELECT CenterID FROM o_cleaned WHERE CenterID IS NOT NULL AND {is_open()})
-    THEN CenterID END) AS centers_with_open_tickets
-FROM center_details""")
+@query("N1_center_kpis", """
+WITH c AS (SELECT CenterID AS center_id, BOOL_OR(deactivationdate IS NULL) AS running FROM center_details
+  WHERE CenterID IS NOT NULL GROUP BY 1)
+SELECT COUNT(*) AS centers, (SELECT COUNT(DISTINCT TRIM(City)) FROM center_details WHERE TRIM(City) <> '') AS cities,
+  COUNT(*) FILTER (running) AS active_deployments, COUNT(*) FILTER (open_tickets > 0) AS centers_with_open_tickets
+FROM c LEFT JOIN o_center_tickets USING (center_id)""")
 def _(t: Tables) -> DataFrame:
     return ct.kpis(t)
 

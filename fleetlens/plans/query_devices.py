@@ -12,13 +12,14 @@ from fleetlens.sources.proxy import EVENTS_AS_OF, TICKETS_AS_OF
 from fleetlens.sources.tables import Tables
 
 DEVICE_CENTER = 13
-DEVICES_SQL = """SELECT key, summary, serial, type, category, status, CAST(birthday AS VARCHAR) AS birthday, age_days, center_id
+DEVICES_SQL = """SELECT key, summary, serial, type, category, status, CAST(birthday AS VARCHAR) AS birthday, age_days, center_id,
+  issuetype_name, status_name
 FROM o_devices"""
 CHOSEN = Filters(
     segments=("LE", "SME"), device_types=("Connector", "Printer", "UPS"), device_status_exclude=("Decommissioned",),
     date_from="1996-06-01", date_to="2001-01-31",
 )
-CHOSEN_SQL = """type IN ('Connector', 'Printer', 'UPS') AND status NOT IN ('Decommissioned')
+CHOSEN_SQL = """issuetype_name IN ('Connector', 'Printer', 'UPS') AND COALESCE(status_name <> 'Decommissioned', TRUE)
   AND birthday BETWEEN DATE '1996-06-01' AND DATE '2001-01-31'
   AND center_id IN (SELECT center_id FROM o_dimension WHERE segment IN ('LE', 'SME'))"""
 
@@ -180,3 +181,11 @@ def _(t: Tables) -> DataFrame:
 @query("D14_filtered_devices", f"{DEVICES_SQL} WHERE {CHOSEN_SQL}")
 def _(t: Tables) -> DataFrame:
     return dv.filtered_devices(t, TICKETS_AS_OF, CHOSEN)
+
+
+# 'Other' is what a device without a type is shown as; as a filter it means devices registered under that type.
+@query("D14_filtered_devices_other", f"""{DEVICES_SQL}
+WHERE issuetype_name IN ('Other', 'UPS') AND COALESCE(status_name NOT IN ('Deployed', 'Decommissioned'), TRUE)""")
+def _(t: Tables) -> DataFrame:
+    chosen = Filters(device_types=("Other", "UPS"), device_status_exclude=("Deployed", "Decommissioned"))
+    return dv.filtered_devices(t, TICKETS_AS_OF, chosen)

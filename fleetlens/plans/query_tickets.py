@@ -30,13 +30,12 @@ def _(t: Tables) -> DataFrame:
 
 def _kpis(where: str = "TRUE") -> str:
     return f"""
-SELECT COUNT(*) AS total_tickets, COUNT(*) FILTER (WHERE {is_open()}) AS open_tickets,
-  COUNT(*) FILTER (WHERE CreatedAt >= {AS_OF} - INTERVAL 7 DAY) AS created_7d,
-  COUNT(*) FILTER (WHERE ClosedAt >= {AS_OF} - INTERVAL 7 DAY) AS closed_7d,
-  COUNT(*) FILTER (WHERE CreatedAt >= {AS_OF} - INTERVAL 14 DAY AND CreatedAt < {AS_OF} - INTERVAL 7 DAY) AS created_7d_prev,
-  COUNT(*) FILTER (WHERE ClosedAt >= {AS_OF} - INTERVAL 14 DAY AND ClosedAt < {AS_OF} - INTERVAL 7 DAY) AS closed_7d_prev,
-  ROUND(AVG(date_diff('hour', CreatedAt, {AS_OF}) / 24.0) FILTER (WHERE {is_open()}), 1) AS avg_open_age_days
-FROM o_cleaned WHERE {where}"""
+WITH f AS (SELECT COALESCE({is_open()}, FALSE) AS pending, date_diff('hour', CreatedAt, {AS_OF}) / 24.0 AS age,
+    (epoch({AS_OF}) - epoch(CreatedAt)) / 86400 AS made, (epoch({AS_OF}) - epoch(ClosedAt)) / 86400 AS done
+  FROM o_cleaned WHERE {where})
+SELECT COUNT(*) AS total_tickets, COUNT(*) FILTER (pending) AS open_tickets, ROUND(AVG(age) FILTER (pending), 1) AS avg_open_age_days,
+  COUNT(*) FILTER (made <= 7) AS created_7d, COUNT(*) FILTER (made > 7 AND made <= 14) AS created_7d_prev,
+  COUNT(*) FILTER (done <= 7) AS closed_7d, COUNT(*) FILTER (done > 7 AND done <= 14) AS closed_7d_prev FROM f"""
 
 
 @query("T2_ticket_kpis", _kpis())
@@ -50,17 +49,11 @@ def _(t: Tables) -> DataFrame:
 
 
 def _sla(where: str = "TRUE") -> str:
-    within = "resolved AND res_days <= sla_days"
     return f"""
-SELECT COUNT(*) FILTER (WHERE resolved) AS resolved_n,
-  ROUND(COUNT(*) FILTER (WHERE {within}) / NULLIF(COUNT(*) FILTER (WHERE resolved), 0) * 100, 1) AS within_pct,
-  ROUND(COUNT(*) FILTER (WHERE is_tech AND {within}) / NULLIF(COUNT(*) FILTER (WHERE is_tech AND resolved), 0) * 100, 1) AS within_tech,
-  ROUND(COUNT(*) FILTER (WHERE NOT is_tech AND {within}) / NULLIF(COUNT(*) FILTER (WHERE NOT is_tech AND resolved), 0) * 100, 1)
-    AS within_nontech,
-  COUNT(*) FILTER (WHERE is_open AND age_days > sla_days) AS breached_open,
-  COUNT(*) FILTER (WHERE is_open AND age_days <= sla_days AND age_days > 0.75 * sla_days) AS atrisk_open,
-  ROUND(AVG(res_days) FILTER (WHERE resolved), 1) AS avg_res_days
-FROM o_measured WHERE {where}"""
+SELECT COUNT(met) AS resolved_n, ROUND(AVG(res_days) FILTER (resolved), 1) AS avg_res_days, ROUND(AVG(met) * 100, 1) AS within_pct,
+  ROUND(AVG(met) FILTER (is_tech) * 100, 1) AS within_tech, ROUND(AVG(met) FILTER (NOT is_tech) * 100, 1) AS within_nontech,
+  COUNT(*) FILTER (stage = 'late') AS breached_open, COUNT(*) FILTER (stage = 'near') AS atrisk_open
+FROM o_staged WHERE {where}"""
 
 
 @query("T3_sla_kpis", _sla())
@@ -75,10 +68,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("T4_breach_by_category", f"""
 SELECT {named('IssueCategory', 'Uncategorised')} AS category, MIN(sla_days) AS sla_days, BOOL_AND(is_tech) AS is_tech,
-  COUNT(*) AS tickets, COUNT(*) FILTER (WHERE resolved) AS resolved_n,
-  ROUND(COUNT(*) FILTER (WHERE resolved AND res_days > sla_days) / NULLIF(COUNT(*) FILTER (WHERE resolved), 0) * 100, 1) AS breach_pct,
-  ROUND(AVG(res_days) FILTER (WHERE resolved), 1) AS avg_res_days
-FROM o_measured GROUP BY 1 HAVING COUNT(*) FILTER (WHERE resolved) >= 20
+  COUNT(*) AS tickets, COUNT(met) AS resolved_n, ROUND(AVG(1 - met) * 100, 1) AS breach_pct,
+  ROUND(AVG(res_days) FILTER (resolved), 1) AS avg_res_days
+FROM o_staged GROUP BY 1 HAVING COUNT(met) >= 20
 ORDER BY breach_pct DESC, tickets DESC, category LIMIT 15""")
 def _(t: Tables) -> DataFrame:
     return tk.sla_by_category(t, TICKETS_AS_OF)
@@ -86,9 +78,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("T5_open_risk_by_category", f"""
 SELECT * FROM (SELECT {named('IssueCategory', 'Uncategorised')} AS category,
-  COUNT(*) FILTER (WHERE is_open AND age_days > sla_days) AS breached,
-  COUNT(*) FILTER (WHERE is_open AND age_days <= sla_days AND age_days > 0.75 * sla_days) AS atrisk
-  FROM o_measured GROUP BY 1) WHERE breached + atrisk > 0 ORDER BY breached + atrisk DESC, category LIMIT 12""")
+  COUNT(*) FILTER (stage = 'late') AS breached, COUNT(*) FILTER (stage = 'near') AS atrisk
+  FROM o_staged GROUP BY 1) WHERE breached + atrisk > 0 ORDER BY breached + atrisk DESC, category LIMIT 12""")
 def _(t: Tables) -> DataFrame:
     return tk.open_risk_by_category(t, TICKETS_AS_OF)
 
@@ -117,12 +108,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("T7_monthly_trend", f"""
-SELECT month, CAST(SUM(c) AS BIGINT) AS created, CAST(SUM(x) AS BIGINT) AS closed FROM (
-  SELECT strftime(CreatedAt, '%Y-%m') AS month, COUNT(*) AS c, 0 AS x FROM o_cleaned
-  WHERE CreatedAt >= {AS_OF} - INTERVAL 12 MONTH GROUP BY 1
-  UNION ALL SELECT strftime(ClosedAt, '%Y-%m'), 0, COUNT(*) FROM o_cleaned
-  WHERE ClosedAt >= {AS_OF} - INTERVAL 12 MONTH GROUP BY 1)
-GROUP BY month ORDER BY month""")
+SELECT strftime(moment, '%Y-%m') AS month, COUNT(*) FILTER (what = 'made') AS created, COUNT(*) FILTER (what = 'done') AS closed
+FROM (SELECT CreatedAt AS made, ClosedAt AS done FROM o_cleaned) UNPIVOT (moment FOR what IN (made, done))
+WHERE moment >= {AS_OF} - INTERVAL 12 MONTH GROUP BY 1 ORDER BY 1""")
 def _(t: Tables) -> DataFrame:
     return tk.trend(t, TICKETS_AS_OF)
 
@@ -168,7 +156,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("T14_center_tickets", "SELECT center_id, tickets_total, open_tickets, swapped, segment FROM o_center_tickets")
 def _(t: Tables) -> DataFrame:
-    return tk.per_center(t, TICKETS_AS_OF)
+    return tk.per_center(t)
 
 
 @query("T15_center_failures", f"SELECT cid, {stamp('first_fail')} AS first_fail, n_fail, top_cat FROM o_center_failures")
@@ -218,5 +206,5 @@ UNION ALL SELECT 'ticket', CenterID, ticketNumber FROM o_cleaned WHERE CenterID
   AND ticketNumber = (SELECT MAX(ticketNumber) FROM o_cleaned WHERE CenterID IS NOT NULL)
   AND ticketNumber NOT IN (SELECT CenterID FROM center_details)""")
 def _(t: Tables) -> DataFrame:
-    newest = cleaned_tickets(t.tickets).filter("CenterID IS NOT NULL").agg(F.max("ticketNumber")).first()[0]
+    newest = cleaned_tickets(t.tickets).filter("CenterID IS NOT NULL").agg(F.max("ticketNumber")).scalar()
     return tk.look_up(t, CENTER).unionByName(tk.look_up(t, newest))

@@ -18,7 +18,8 @@ def cleaned_tickets(tickets: DataFrame, *extra: str) -> DataFrame:
     Only the core columns and ``extra`` are read. Copies that tie on creation time are ordered by the
     core columns, then by ``extra``, so the surviving row does not depend on partitioning. The rank
     filter is pushed into the map side as a group limit, so a ticket with very many copies is reduced
-    before the shuffle.
+    before the shuffle. A ticket without a number gets the number of its row as a key of its own: it stays,
+    its exact copies too, such tickets spread over all partitions, and the table is scanned once.
     """
     extras = sorted(set(extra) - set(TICKET_CORE))
     assigned = tickets.filter(blank_to_null("assignee").isNotNull()).select(*TICKET_CORE, *extras)
@@ -27,13 +28,14 @@ def cleaned_tickets(tickets: DataFrame, *extra: str) -> DataFrame:
         F.col("ClosedAt").desc_nulls_last(),
         *(F.col(c).asc_nulls_first() for c in ("status", "IssueCategory", "CenterID", *extras)),
     ]
-    latest = (
-        assigned.filter(F.col("ticketNumber").isNotNull())
-        .withColumn("_copy", F.row_number().over(Window.partitionBy("ticketNumber").orderBy(*order)))
+    lone = F.when(F.col("ticketNumber").isNull(), F.monotonically_increasing_id())
+    copies = Window.partitionBy("ticketNumber", "_lone").orderBy(*order)
+    return (
+        assigned.withColumn("_lone", lone)
+        .withColumn("_copy", F.row_number().over(copies))
         .filter(F.col("_copy") == 1)
-        .drop("_copy")
+        .drop("_lone", "_copy")
     )
-    return latest.unionByName(assigned.filter(F.col("ticketNumber").isNull()))
 
 
 def register_devices(register: DataFrame) -> DataFrame:
