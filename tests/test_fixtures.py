@@ -77,10 +77,26 @@ def test_device_filter_chain(spark):
     assert _keys(t, cities=("Kochi",), segments=("LE",)) == []
     assert _keys(t, device_types=("Connector",)) == ["D-1", "D-3"]
     assert _keys(t, device_status_exclude=("Deployed",)) == []
+    assert _keys(t, device_types=("Other",)) == []
     assert _keys(t, date_from="2026-06-01") == ["D-2", "D-3"]
     assert _keys(t, date_from="2026-06-01", date_to="2026-06-15") == ["D-2"]
 
 
+def test_device_filters_look_at_registered_values(spark):
+    common = {"ticket_created": datetime(2026, 1, 1)}
+    register = frame(
+        spark, REGISTER_SCHEMA,
+        {"issue_key": "D-1", "summary": "a", "issuetype_name": None, "status_name": "Deployed ", **common},
+        {"issue_key": "D-2", "summary": "b", "issuetype_name": "Other", "status_name": None, **common},
+        {"issue_key": "", "summary": "by summary", "issuetype_name": "Connector", "status_name": "Deployed", **common},
+        {"issue_key": "", "summary": None, "issuetype_name": "Connector", "status_name": "Deployed", **common})
+    t = Tables.from_frames(spark, {
+        "device_register": register, "heartbeats": frame(spark, HEARTBEAT_SCHEMA), "center_details": frame(spark, CENTER_SCHEMA)})
+    assert _keys(t) == ["D-1", "D-2", "by summary"]
+    assert _keys(t, device_types=("Other",)) == ["D-2"]
+    assert _keys(t, device_status_exclude=("Deployed",)) == ["D-1", "D-2"]
+
+
 def test_serials_prefer_heartbeats(spark):
     t = _register_tables(spark)
     assert rows(dv.serial_map(t.heartbeats, t.centers)) == [("A1-AAAAAA1", 1), ("B2-BBBBBB2", 2), ("Z9-ZZZZZZ9", 2)]

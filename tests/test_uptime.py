@@ -24,11 +24,14 @@ def _random_intervals(n: int = 600, centers: int = 5, seed: int = 3) -> list[tup
 
 
 def _union(intervals):
-    """Islands by brute force."""
+    """Islands by brute force. Intervals with one start are one; a backward one joins what is there or stands alone."""
     result = {}
     for key in {k for k, _, _ in intervals}:
         merged: list[list] = []
-        for s, e in sorted((s, e) for k, s, e in intervals if k == key and e >= s):
+        latest: dict = {}
+        for s, e in ((s, e) for k, s, e in intervals if k == key):
+            latest[s] = max(latest.get(s, e), e)
+        for s, e in sorted(latest.items()):
             if merged and s <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], e)
             else:
@@ -50,7 +53,7 @@ def test_merge_matches_brute_force(spark):
     islands = up.merge_intervals(df, "center_id")
     want = _union(data)
     assert rows(islands, "center_id", "start", "end") == sorted((k, s, e) for k, parts in want.items() for s, e in parts)
-    assert islands.agg(F.sum("n")).first()[0] == sum(e >= s for _, s, e in data)
+    assert islands.agg(F.sum("n")).first()[0] == len(data)
 
 
 def test_merge_is_idempotent_and_order_independent(spark):
@@ -62,11 +65,13 @@ def test_merge_is_idempotent_and_order_independent(spark):
     assert rows(once) == rows(again) == rows(shuffled, "center_id", "start", "end")
 
 
-def test_touching_intervals_merge_and_backward_ones_vanish(spark):
+def test_touching_intervals_merge_and_backward_ones_count_without_downtime(spark):
     h = lambda n: START + timedelta(hours=n)
-    df = spark.createDataFrame([(1, h(0), h(2)), (1, h(2), h(3)), (1, h(5), h(4)), (1, h(8), h(8)), (1, h(30), h(60))],
+    df = spark.createDataFrame([(1, h(0), h(2)), (1, h(2), h(3)), (1, h(1), h(0)), (1, h(5), h(4)), (1, h(8), h(8)), (1, h(30), h(60))],
                                "center_id bigint, start timestamp_ntz, end timestamp_ntz")
-    assert rows(up.merge_intervals(df, "center_id"), "start", "end") == [(h(0), h(3)), (h(8), h(8)), (h(30), h(60))]
+    islands = up.merge_intervals(df, "center_id")
+    assert rows(islands, "start", "end", "n") == [(h(0), h(3), 3), (h(5), h(4), 1), (h(8), h(8), 1), (h(30), h(60), 1)]
+    assert rows(up.island_downtime(islands), "islands", "downtime_hrs") == [(4, 33)]
 
 
 def test_hourly_reduction_gives_the_downtime_of_the_islands(spark):
@@ -75,7 +80,7 @@ def test_hourly_reduction_gives_the_downtime_of_the_islands(spark):
         ticket(i, center=k, created=str(s), closed=str(e), status="Closed") for i, (k, s, e) in enumerate(data)))
     t = Tables.from_frames(spark, {"support_tickets": raw})
     stats = rows(tk.center_ticket_stats(t.cleaned(), TICKETS_AS_OF), "center_id", "failures", "downtime_hrs")
-    want = {k: sum(_hours(s, e) for s, e in parts) for k, parts in _union(data).items()}
+    want = {k: sum(max(0, _hours(s, e)) for s, e in parts) for k, parts in _union(data).items()}
     assert stats == sorted((k, sum(c == k for c, _, _ in data), d) for k, d in want.items())
 
 
