@@ -11,28 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import decontaminate, mixing, quality_classifier, secret_scan, simhash
-from fleetlens.llm.common import cut
+from fleetlens.llm.common import cut, unused
 from fleetlens.llm.queries import KEEP_FROM, graded, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that probably have the best grade; toxic ones and those of low quality go."""
     model = quality_classifier.train(docs, graded(table(spark, sf_dir, "labels")))
-    scored = quality_classifier.classify(docs, model, score_col="_quality")
-    return scored.filter(F.col("_quality.tail_probability") >= KEEP_FROM).select(*docs.columns)
+    quality = unused(docs, "_quality")
+    scored = quality_classifier.classify(docs, model, score_col=quality)
+    return scored.filter(F.col(quality)["tail_probability"] >= KEEP_FROM).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id."""
     classes = simhash.near_duplicates(docs)
-    first = classes.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = unused(docs, "_kept")
+    first = classes.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(kept)).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
-    found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), hits_col="_hits")
-    return found.filter(~decontaminate.contaminated("_hits")).select(*docs.columns)
+    hits = unused(docs, "_hits")
+    found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), hits_col=hits)
+    return found.filter(~decontaminate.contaminated(hits)).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the next longer one that no column of ``df`` has in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def as_bytes(texts: pa.Array) -> list[bytes | None]:
     """UTF-8 of each text, without decoding it."""
     return texts.cast(pa.large_binary()).to_pylist()

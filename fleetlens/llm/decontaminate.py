@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import FOLD, as_bytes, cut
+from fleetlens.llm.common import FOLD, as_bytes, cut, unused
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
@@ -150,7 +150,7 @@ def find_hits(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, block_words: int = BLOCK_WORDS, hits_col: str = "hits",
 ) -> DataFrame:
-    """``docs`` with ``hits``: words, merged spans of hit words and the items found."""
+    """``docs`` with ``hits``: words, merged spans of hit words and the items found. A column of that name is replaced."""
     spark = docs.sparkSession
     bucket = F.pmod(F.xxhash64(F.col(item_col), F.col(item_text_col)), F.lit(1024)).cast("int")
     groups = _blocks(benchmark, item_col, item_text_col, block_words)
@@ -161,16 +161,17 @@ def find_hits(
 
     if len(groups) == 1:
         return docs.withColumn(hits_col, finder(groups[0])(F.col(text_col)))
-    keyed = cut(docs.withColumn("_key", F.monotonically_increasing_id()), "decontaminate")
-    passes = [keyed.select("_key", finder(g)(F.col(text_col)).alias("h")) for g in groups]
+    key = unused(docs, "_key")
+    keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()), "decontaminate")
+    passes = [keyed.select(key, finder(g)(F.col(text_col)).alias("h")) for g in groups]
     found = passes[0]
     for more in passes[1:]:
         found = found.unionAll(more.filter(F.size("h.spans") > 0))
-    joined = found.groupBy("_key").agg(
+    joined = found.groupBy(key).agg(
         F.max("h.n_words").alias("n"), F.flatten(F.collect_list("h.spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias("i")
     )
     hits = F.struct(F.col("n").alias("n_words"), _merge("s").alias("spans"), F.col("i").alias("items")).alias(hits_col)
-    return keyed.join(joined.select("_key", hits), "_key").drop("_key")
+    return keyed.drop(hits_col).join(joined.select(key, hits), key).drop(key)
 
 
 def n_hit(hits: Column | str) -> Column:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import cut, shared_folder
+from fleetlens.llm.common import cut, shared_folder, unused
 
 LEDGER = "blob binary, kind string, version string, spans array<struct<start:bigint,end:bigint>>"
 
@@ -126,10 +126,11 @@ def scan_secrets(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, id
 
 def redact_secrets(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with every secret in their text replaced by a mark; the ledger is brought up to date on the way."""
-    texts = docs.withColumn("_blob", blob_of(F.col(text_col)))
-    update_ledger(texts.select(F.col("_blob").alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), ledger, rules)
-    found = findings_by_blob(docs.sparkSession, ledger, rules).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    return texts.join(found, "_blob", "left").withColumn(text_col, redact(F.col(text_col), F.col("_findings"))).select(*docs.columns)
+    blob, findings = unused(docs, "_blob"), unused(docs, "_findings")
+    texts = docs.withColumn(blob, blob_of(F.col(text_col)))
+    update_ledger(texts.select(F.col(blob).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), ledger, rules)
+    found = findings_by_blob(docs.sparkSession, ledger, rules).select(F.col("blob").alias(blob), F.col("findings").alias(findings))
+    return texts.join(found, blob, "left").withColumn(text_col, redact(F.col(text_col), F.col(findings))).select(*docs.columns)
 
 
 def new_ledger(spark: SparkSession) -> str:

@@ -42,7 +42,7 @@ def texts():
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     docs = make(spark, texts())
-    for clash in ("n_words", "key", "id", "hits", "component", "_text", "spans", "run", "part"):
+    for clash in ("n_words", "key", "id", "hits", "component", "_text", "spans", "run", "part", "_key", "_blob", "_findings"):
         docs = docs.withColumn(clash, docs["doc_id"].cast("string"))
     return docs
 

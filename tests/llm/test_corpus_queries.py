@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from fleetlens.llm import check_sql, decontaminate, quality_classifier
-from fleetlens.llm.queries import QUERIES, graded
+from fleetlens.llm.queries import QUERIES, graded, table
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -84,3 +84,14 @@ def test_pipeline(spark):
     assert safe.filter(F.col("text").rlike("AKIA[A-Z0-9]{16}|[0-9a-f]{24}")).count() == 0
     last = sorted(tuple(r) for r in corpus_pipeline.mixed(spark, safe, SMALL).collect())
     assert last == sorted(tuple(r) for r in corpus_pipeline.run(spark, SMALL).collect()) and len(last) == safe.count()
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    docs = table(spark, SMALL, "documents")
+    names = ("_quality", "_kept", "_Hits", "_blob", "_findings", "id", "component")
+    wide = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, out = stage(spark, docs, SMALL), stage(spark, wide, SMALL)
+        assert out.columns == wide.columns
+        assert sorted(map(tuple, out.select(docs.columns).collect())) == sorted(map(tuple, plain.collect()))
+        assert out.filter(" OR ".join(f"{n} <> concat('{n}', doc_id)" for n in names)).isEmpty()
