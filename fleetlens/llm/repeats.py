@@ -33,7 +33,7 @@ from fleetlens.llm.common import as_bytes, cut
 RUN_BYTES = 4 << 20
 PART_BYTES = 8 << 20
 HOT_RUNS = 4096
-BLOCK = 1 << 22  # symbols hashed at once
+BLOCK = 1 << 16  # symbols hashed at once: what a core's cache holds
 NO_ID = np.iinfo(np.int64).max  # a NULL id comes after all others
 MASK48 = (1 << 48) - 1
 
@@ -148,7 +148,10 @@ def slices_of(symbols: np.ndarray, lengths: Sequence[int], window: int, gram: in
         parts.append((starts[first] + low, np.diff(np.concatenate((first, [len(starts)]))), anchors[first] + low, (again >> np.uint64(16)).astype(np.int64)))
     if not parts:
         return Slices(*(np.zeros(0, np.int64) for _ in range(4)))
-    return Slices(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+    start, count, anchor, code = (np.concatenate(c) for c in zip(*parts, strict=True))
+    # A slice that goes on in the next block is one slice.
+    head = np.flatnonzero(np.concatenate(([True], (start[1:] != start[:-1] + count[:-1]) | (anchor[1:] != anchor[:-1]))))
+    return Slices(start[head], np.add.reduceat(count, head), anchor[head], code[head])
 
 
 class Kind:
@@ -201,9 +204,10 @@ def _announce(kind: Kind, parts: int):
             for number, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, texts = _opened(block)
                 symbols, lengths = kind.lay_out([t or b"" for t in texts])
-                hashes = np.unique(slices_of(symbols, lengths, kind.window, kind.gram).hash)
+                hashes = np.sort(slices_of(symbols, lengths, kind.window, kind.gram).hash)
                 if not len(hashes):
                     continue
+                hashes = hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))]
                 part = _by_part(hashes, parts)
                 bounds = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
                 rows = [(int(part[a]), packed(("d", pa.array(np.diff(hashes[a:b], prepend=0))))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -268,18 +272,25 @@ def _send(kind: Kind, parts: int):
                 own = h < 0
                 for i in np.flatnonzero(own).tolist():
                     h[i] = xxhash.xxh3_64_intdigest(b"\0".join(contents[i])) >> 16
-                part = _by_part(h, parts).tolist()
-                keys = list(zip(part, contents, strict=True))
-                order = {key: i for i, key in enumerate(sorted(set(keys)))}
-                entry = np.fromiter((order[k] for k in keys), np.int64, len(keys))
+                # Equal contents have one anchor and so one group. Entries go by group, then in the order of their contents.
+                numbers: dict[tuple, int] = {}
+                number_of = np.array([numbers.setdefault(c, len(numbers)) for c in contents], np.int64)
+                known = list(numbers)
+                part = np.empty(len(known), np.int64)
+                part[number_of] = _by_part(h, parts)
+                by_content = np.array(sorted(range(len(known)), key=known.__getitem__), np.int64)
+                order = by_content[np.argsort(part[by_content], kind="stable")]
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                entry = place[number_of]
                 owners = np.array([NO_ID if i is None else i for i in ids], np.int64)[_doc_of(start, lengths)]
                 weights = kind.weigh(owners, entry, len(order))
-                sent: dict[int, tuple[list, list]] = {}
-                for (p, content), w in zip(order, weights.tolist(), strict=True):
-                    group = sent.setdefault(p, ([], []))
-                    group[0].append(content)
-                    group[1].append(w)
-                rows = [(p, kind.encode(*group)) for p, group in sent.items()]
+                dealt = part[order]
+                bounds = np.concatenate(([0], np.flatnonzero(np.diff(dealt)) + 1, [len(dealt)])).tolist()
+                rows = [
+                    (int(dealt[a]), kind.encode([known[i] for i in order[a:b].tolist()], weights[a:b].tolist()))
+                    for a, b in zip(bounds[:-1], bounds[1:], strict=True)
+                ]
                 places = packed(("s", pa.array(np.diff(start, prepend=0), pa.int32())), ("n", pa.array(count, pa.uint8())), ("e", pa.array(entry, pa.int32())))
                 rows.append((parts + number, places))
                 yield pa.RecordBatch.from_arrays(
