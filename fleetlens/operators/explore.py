@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.filters import Filters, by_center, where
 from fleetlens.functions.text import col, label
+from fleetlens.session import shared_folder
 from fleetlens.sources.tables import Tables
 
 
@@ -28,18 +32,68 @@ def empties_last(c: Column | str, direction: str, is_text: bool = False) -> Colu
     return value.asc_nulls_last() if direction.lower() == "asc" else value.desc_nulls_last()
 
 
+# Rows that a page may keep in one task on its way: those before it and its own.
+PREFIX_ROWS = 100_000
+_PLACE_BITS = 33  # of monotonically_increasing_id: the row's place in its partition
+
+
+def total_order(df: DataFrame, order: Sequence[Column]) -> list[Column]:
+    """``order``, then all columns: only equal rows still tie."""
+    return [*order, *(F.col(f"`{c}`").asc_nulls_first() for c in df.columns)]
+
+
+@dataclass(frozen=True)
+class Ordered:
+    """A table written in order. ``_row`` grows with the order; ``first`` and ``before`` hold, for each range that one task
+    wrote, its first ``_row`` and the number of rows before it."""
+
+    table: DataFrame
+    first: list[int]
+    before: list[int]
+    total: int
+
+    def _row_at(self, place: int) -> int:
+        found = bisect_right(self.before, place) - 1
+        return self.first[found] + place - self.before[found]
+
+    def rows(self, start: int, end: int) -> DataFrame:
+        """The rows at places ``start`` to ``end`` - 1, in order. Only files that hold some of them are read."""
+        end = min(end, self.total)
+        wanted = F.col("_row").between(self._row_at(start), self._row_at(end - 1)) if start < end else F.lit(False)
+        return self.table.filter(wanted).orderBy("_row").drop("_row")
+
+
+def ordered(df: DataFrame, order: Sequence[Column], folder: str | None = None) -> Ordered:
+    """``df`` written once in order to the shared folder (or to ``folder``); serves as many pages as are wanted.
+
+    Every task writes one range of the order and reports one row about it.
+    """
+    spark = df.sparkSession
+    path = f"{(folder or shared_folder(spark)).rstrip('/')}/ordered-{uuid.uuid4().hex}"
+    df.orderBy(*total_order(df, order)).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    table = spark.read.parquet(path)
+    ranges = table.groupBy(F.shiftright("_row", _PLACE_BITS).alias("range")).agg(F.count("*").alias("n"), F.min("_row").alias("first"))
+    found = ranges.orderBy("range").collect()
+    ends = list(accumulate((r["n"] for r in found), initial=0))
+    return Ordered(table, [r["first"] for r in found], ends[:-1], ends[-1])
+
+
 def page_of(
-    df: DataFrame, order: Sequence[Column], page: int, size: int, counted: DataFrame | None = None
+    df: DataFrame, order: Sequence[Column], page: int, size: int, counted: DataFrame | None = None,
+    prefix_rows: int = PREFIX_ROWS, folder: str | None = None,
 ) -> DataFrame:
     """One page of ``size`` rows plus the total number of rows. Rows that tie go by all their columns.
 
     The total is an aggregate of its own: a window over everything would put all rows in one task. It counts
-    ``counted`` instead where a cheaper frame has as many rows.
+    ``counted`` instead where a cheaper frame has as many rows. Every task keeps the rows up to the page's end; where
+    these are more than ``prefix_rows``, the rows are ordered by all tasks and written (see ``ordered``) instead.
     """
     if size < 1 or page < 0:
         raise ValueError("a page holds a row at least, and pages count from 0")
-    total = [*order, *(F.col(c).asc_nulls_first() for c in df.columns)]
-    rows = df.orderBy(*total).offset(page * size).limit(size)
+    if (page + 1) * size > prefix_rows:
+        written = ordered(df, order, folder)
+        return written.rows(page * size, (page + 1) * size).withColumn("total_rows", F.lit(written.total).cast("long"))
+    rows = df.orderBy(*total_order(df, order)).offset(page * size).limit(size)
     return rows.withColumn("total_rows", (df if counted is None else counted).agg(F.count("*")).scalar())
 
 
@@ -120,10 +174,16 @@ def raw_export(
 ) -> dict[str, object]:
     """Write the export as CSV with a header; report the total and whether the caller's cap was reached.
 
-    Without a cap every task writes its own range of the order.
+    Without a cap every task writes its own range of the order; with one, the ordered table is written first and the rows
+    under the cap are taken from its ranges, so that no task holds them all.
     """
-    total = raw_rows(tables, source, filters).count()
-    raw_export_rows(tables, source, filters, max_rows).write.mode("overwrite").option("header", True).csv(path)
+    df = raw_rows(tables, source, filters)
+    if max_rows is None:
+        total, rows = df.count(), raw_export_rows(tables, source, filters)
+    else:
+        written = ordered(df, raw_order(df, source))
+        total, rows = written.total, written.rows(0, max_rows)
+    rows.write.mode("overwrite").option("header", True).csv(path)
     return {"total_rows": total, "truncated": max_rows is not None and total > max_rows}
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime
 
@@ -15,23 +14,13 @@ from fleetlens.operators import devices as dv
 from fleetlens.operators import geo, rollups
 from fleetlens.operators import tickets as tk
 from fleetlens.operators import uptime as up
+from fleetlens.session import shared_folder
 from fleetlens.sources.tables import Tables
 
 # Ticket columns the queries show or filter on, beyond the core ones.
 TICKET_EXTRAS = ("HubID", "HubName", "TicketLink", "assignee", "hub_master_segment", "priority", "subject")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees, as spark.checkpoint.dir names it.
-
-    Unset, a local session gets a temporary one; on a cluster that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return folder or tempfile.mkdtemp(prefix="fleetlens-")
-
-
 def build_marts(
     tables: Tables, as_of: datetime, folder: str, heartbeats_as_of: datetime | None = None,
     filters: Filters = DEFAULT_FILTERS,

@@ -5,6 +5,7 @@ import glob
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.filters import DEFAULT_FILTERS, Filters
 from fleetlens.operators import centers as ct
@@ -79,6 +80,25 @@ def test_bounded_export_equals_the_plain_one(spark, tables, tmp_path):
         plain.selectExpr("ticketNumber AS n", "CenterID AS c").fillna(-1))
 
 
+def test_deep_pages_read_their_ranges_alone(spark, tmp_path):
+    hot = spark.range(20_000).selectExpr("IF(id % 3 = 0, 7, id % 1000) AS k", "CAST(id % 50 AS STRING) AS name", "IF(id % 11 = 0, NULL, id) AS v")
+    order = [F.col("k").desc_nulls_last(), F.col("name").asc_nulls_first()]
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        want = [tuple(r) for r in hot.orderBy(*ex.total_order(hot, order)).collect()]
+        written = ex.ordered(hot, order, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert written.total == len(want)
+    sizes = [b - a for a, b in zip(written.before, [*written.before[1:], written.total])]
+    assert max(sizes) <= 3 * written.total / len(sizes) or len(sizes) == 1
+    for start, end in ((0, 10), (18_000, 18_500), (19_990, 20_010), (30_000, 30_010), (6_000, 14_000)):
+        assert [tuple(r) for r in written.rows(start, end).collect()] == want[start:end]
+    shallow, deep = ex.page_of(hot, order, 90, 200), ex.page_of(hot, order, 90, 200, prefix_rows=100, folder=str(tmp_path))
+    assert [tuple(r) for r in shallow.collect()] == [tuple(r) for r in deep.collect()] and shallow.columns == deep.columns
+    assert ex.page_of(hot.limit(0), order, 5, 10, prefix_rows=1, folder=str(tmp_path)).count() == 0
+
+
 def test_raw_tickets_keep_their_copies(tables):
     assert ex.raw_rows(tables, "support_tickets").count() == tables.tickets.count() > tables.cleaned().count()
 
