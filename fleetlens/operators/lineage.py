@@ -44,7 +44,7 @@ def _usage(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(
         F.sum("s").alias("total_ecgs"),
         F.round(F.try_divide(F.sum("s"), F.sum("n")), 4).alias("daily_avg"),
-        F.max("last").cast("string").alias("last_ecg_date"),
+        F.max("last").alias("last_ecg_date"),
     )
 
 
@@ -53,7 +53,7 @@ def latest_device(usage: DataFrame) -> DataFrame:
     order = [F.col("AcquiredDate").desc_nulls_last(), *(F.col(c).asc_nulls_first() for c in ("DeviceID", "MacSerialID", "MachineType"))]
     ranked = usage.withColumn("_rank", F.row_number().over(Window.partitionBy("CenterID").orderBy(*order)))
     return ranked.filter("_rank = 1").select(
-        "CenterID", F.col("AcquiredDate").cast("string").alias("acquired_date"), "DeviceID", "MacSerialID", "MachineType"
+        "CenterID", F.col("AcquiredDate").alias("acquired_date"), "DeviceID", "MacSerialID", "MachineType"
     )
 
 
@@ -63,7 +63,7 @@ def centers_with_device(centers: DataFrame, usage: DataFrame) -> DataFrame:
 
 def plan_dates(plans: DataFrame) -> DataFrame:
     return plans.groupBy("centerid").agg(
-        F.min("startdate").cast("string").alias("earliest_plan"), F.max("startdate").cast("string").alias("latest_plan")
+        F.min("startdate").alias("earliest_plan"), F.max("startdate").alias("latest_plan")
     )
 
 
@@ -82,9 +82,12 @@ def center_kinds(centers: DataFrame, today: date) -> DataFrame:
     )
 
 
+# Keys of the custom-field JSON.
 CUSTOM_FIELDS = {
-    "Master Segment": "master_segment", "Service Type": "service_type", "ECHO configuration": "echo_configuration",
-    "disable_rediagnosis": "disable_rediagnosis",
+    "Is Bulk Download Enable": "is_bulk_download_enable", "Customer Status": "customer_status", "Master Segment": "master_segment",
+    "Service Type": "service_type", "Webhook Meta": "webhook_meta", "Patient info hook meta": "patient_info_hook_meta",
+    "Patient info hook": "patient_info_hook", "Transformer Webhook": "transformer_webhook",
+    "ECHO configuration": "echo_configuration", "disable_rediagnosis": "disable_rediagnosis",
 }
 
 
@@ -115,29 +118,27 @@ def config_columns(centers: DataFrame, config: DataFrame) -> DataFrame:
     )
 
 
+# Attribute of a curated sheet -> key of the JSON that overrides it.
+SPOKE_ATTRIBUTES = {"master_segment": "Master Segment", "service_type": "Service Type", "hardware_type": "Hardware Type"}
+HUB_ATTRIBUTES = SPOKE_ATTRIBUTES | {"hardware_sale_type": "Hardware Sale Type"}
+
+
 def segment_overrides(centers: DataFrame, spoke_sheet: DataFrame, hub_sheet: DataFrame) -> DataFrame:
     """Attributes from a center's own JSON, else the curated sheet; for the center and for its hub."""
     hubs = centers.select(F.col("CenterID").alias("HubID"), F.col("customfields").alias("hub_fields"))
 
-    def sheet(df: DataFrame, key: str, to: str, prefix: str) -> DataFrame:
-        return df.select(F.col(key).alias(to), *(F.col(c).alias(f"{prefix}_{c}") for c in ("master_segment", "service_type")))
+    def sheet(df: DataFrame, key: str, to: str, prefix: str, attributes: dict[str, str]) -> DataFrame:
+        return df.select(F.col(key).alias(to), *(F.col(c).alias(f"{prefix}_{c}") for c in attributes))
 
-    def either(fields: str, key: str, fallback: str) -> Column:
-        return F.coalesce(json_scalar(fields, key), fallback)
+    def chosen(fields: str, prefix: str, shown: str, attributes: dict[str, str]) -> list[Column]:
+        return [F.coalesce(json_scalar(fields, k), f"{prefix}_{c}").alias(f"{shown}_{c}") for c, k in attributes.items()]
 
     own = centers.select("CenterID", "HubID", "customfields").join(
-        sheet(spoke_sheet, "centerid", "CenterID", "s"), "CenterID", "left"
+        sheet(spoke_sheet, "centerid", "CenterID", "s", SPOKE_ATTRIBUTES), "CenterID", "left"
     )
     with_hub_fields = left_join_spread(own, hubs, "HubID")
-    return (
-        left_join_spread(with_hub_fields, sheet(hub_sheet, "hubid", "HubID", "h"), "HubID")
-        .select(
-            "CenterID",
-            either("customfields", "Master Segment", "s_master_segment").alias("spk_master_segment"),
-            either("customfields", "Service Type", "s_service_type").alias("spk_service_type"),
-            either("hub_fields", "Master Segment", "h_master_segment").alias("hub_master_segment"),
-            either("hub_fields", "Service Type", "h_service_type").alias("hub_service_type"),
-        )
+    return left_join_spread(with_hub_fields, sheet(hub_sheet, "hubid", "HubID", "h", HUB_ATTRIBUTES), "HubID").select(
+        "CenterID", *chosen("customfields", "s", "spk", SPOKE_ATTRIBUTES), *chosen("hub_fields", "h", "hub", HUB_ATTRIBUTES)
     )
 
 
@@ -181,37 +182,50 @@ def build_heartbeats(heartbeats: DataFrame, devices: DataFrame, centers: DataFra
         heartbeats.join(listed, "DeviceID")
         .join(centers.select("CenterID", "Centername", "HubID", "HubName"), "CenterID")
         .select(
-            "CenterID", "Centername", "HubID", "HubName", "DeviceID", "CSQ",
-            tm.stamp_label(seen).alias("LastTimeStamp"),
+            "CenterID", "Centername", "HubID", "HubName", "DeviceID", "IMSI", "CSQ", seen.alias("LastTimeStamp"),
+            "ServiceProvider", "PreviousHBLatency", "UnsyncedData", "lastHeartbeatData",
             *(json_scalar("lastHeartbeatData", f).alias(f) for f in HEARTBEAT_FIELDS),
             F.col("hardwareversion").alias("hardwareversion_clouddevices"), "hardwareversion_devicestable", "FirmwareName",
         )
     )
 
 
+# Column of the managers' sheet -> its name in the ticket table.
+MANAGER_COLUMNS = {
+    "account_manager": "account_manager", "sales_manager": "sales_manager", "offering": "offering", "grp": "manager_group",
+    "segment": "manager_sheet_segment", "vcardia": "vcardia", "mac": "mac", "tr": "tr", "total_units": "total_units",
+    "inactive_units": "inactive_units", "active_units": "active_units",
+}
+
+
 def build_support_tickets(
     tickets: DataFrame, centers: DataFrame, members: DataFrame, organizations: DataFrame, managers: DataFrame
 ) -> DataFrame:
-    """Tickets with their center, hub, organisation and account manager.
+    """Tickets, with all their own columns, beside their center, hub, organisation and account manager.
 
-    The small sides meet first, so the ticket table is joined once.
+    The small sides meet first, so the ticket table is joined once. A ticket's own column gives way to one of that
+    name from the other sides.
     """
     orgs = members.join(organizations, "organization_id").select(
         F.col("member_id").try_cast("bigint").alias("HubID"), "organization_name"
     ).filter("HubID IS NOT NULL")
-    hubs = centers.select(F.col("CenterID").alias("HubID"), json_scalar("customfields", "Master Segment").alias("hub_master_segment"))
-    people = managers.select(F.col("hub_id").alias("HubID"), "account_manager", F.col("grp").alias("manager_group"))
+    hubs = centers.select(
+        F.col("CenterID").alias("HubID"), json_scalar("customfields", "Master Segment").alias("hub_master_segment"), F.col("IS_PREPAID").alias("is_prepaid")
+    )
+    people = managers.select(F.col("hub_id").alias("HubID"), *(F.col(c).alias(n) for c, n in MANAGER_COLUMNS.items()))
     enriched = (
         centers.select(
             "CenterID", "HubID", json_scalar("customfields", "Master Segment").alias("master_segment"),
-            F.col("type").alias("customer_type"), F.col("Status").alias("customer_status"), F.col("pin").alias("pincode"),
+            F.col("type").alias("customer_type"), F.col("Suspended").alias("suspended"),
+            F.col("Status").alias("customer_status"), F.col("pin").alias("pincode"),
         )
         .join(hubs, "HubID")
         .join(orgs, "HubID", "left")
         .join(people, "HubID", "left")
         .drop("HubID")
     )
-    return tickets.select("ticketNumber", "CenterID", "status", "IssueCategory").join(enriched, "CenterID")
+    added = {c.lower() for c in enriched.columns} - {"centerid"}
+    return tickets.select(*(c for c in tickets.columns if c.lower() not in added)).join(enriched, "CenterID")
 
 
 def numeric_order(rows: DataFrame, c: str) -> DataFrame:

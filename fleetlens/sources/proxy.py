@@ -224,12 +224,15 @@ SELECT c_custkey AS CenterID, c_name AS Centername, c_custkey % 50 AS HubID, 'Hu
   CASE WHEN c_custkey % 5 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS Status,
   CASE WHEN c_custkey % 6 = 0 THEN 'F2P_CENTER' WHEN c_custkey % 7 = 0 THEN NULL ELSE 'PAID' END AS Spoke_Center_Segment,
   CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE ' STATE ' || {_text('c_nationkey')} END AS state,
-  {_text('560000 + c_custkey % 211')} AS pin,
+  {_text('560000 + c_custkey % 211')} AS pin, c_custkey % 13 = 0 AS Suspended, c_custkey % 3 = 0 AS IS_PREPAID,
   DATE '1995-01-01' + CAST(c_custkey % 1500 AS INT) AS deploymentdate, c_acctbal AS Current_MRR,
   CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 33 = 0 THEN 'broken {{'
     ELSE '{{"Master Segment":' || CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE '"Seg ' || {_text('c_custkey % 5')} || '"' END
       || ',"Service Type":"Svc ' || {_text('c_custkey % 4')} || '","Webhook":' ||
       CASE c_custkey % 3 WHEN 0 THEN '"' || CHR(92) || '"hook' || {_text('c_custkey')} || CHR(92) || '""' WHEN 1 THEN '{{"url":"u"}}' ELSE '"plain text"' END
+      || CASE WHEN c_custkey % 4 = 1 THEN '' ELSE ',"Hardware Type":"Own hw ' || {_text('c_custkey % 3')} || '","Hardware Sale Type":"Rent"' END
+      || ',"Is Bulk Download Enable":"' || {_text('c_custkey % 2')} || '","Customer Status":"live","Webhook Meta":{{"a":1}},"Patient info hook":"p'
+      || {_text('c_custkey % 8')} || '","Patient info hook meta":null,"Transformer Webhook":' || {_text('c_custkey % 6')}
       || ',"ECHO configuration":{{"mode":1}},"disable_rediagnosis":"' || {_text('c_custkey % 2')} || '"}}' END AS customfields
 FROM @customer""",
     "source_usage": """
@@ -251,8 +254,8 @@ FROM (SELECT c_custkey, 0 AS id, 'CASE_SUBMISSION' AS name FROM @customer UNION
   SELECT c_custkey, 1, 'ENABLE_CASES_TYPE' FROM @customer UNION ALL SELECT c_custkey, 2, 'PRODUCT_OFFERING' FROM @customer
   UNION ALL SELECT c_custkey, 3, 'REPORT_TEMPLATE' FROM @customer UNION ALL SELECT c_custkey, 4, 'UNUSED' FROM @customer) n""",
     "source_zones": "SELECT 'State ' || CAST(n_nationkey AS STRING) || ' ' AS state, r_name AS Zone FROM @nation JOIN @region ON n_regionkey = r_regionkey",
-    "source_hub_sheet": "SELECT c_custkey AS hubid, 'Hub seg ' || CAST(c_custkey % 4 AS STRING) AS master_segment, 'Hub svc' AS service_type FROM @customer",
-    "source_spoke_sheet": "SELECT c_custkey AS centerid, 'Spoke seg ' || CAST(c_custkey % 6 AS STRING) AS master_segment, 'Spoke svc' AS service_type FROM @customer",
+    "source_hub_sheet": "SELECT c_custkey AS hubid, 'Hub seg ' || CAST(c_custkey % 4 AS STRING) AS master_segment, 'Hub svc' AS service_type, 'Hub hw' AS hardware_type, 'Sold' AS hardware_sale_type FROM @customer",
+    "source_spoke_sheet": "SELECT c_custkey AS centerid, 'Spoke seg ' || CAST(c_custkey % 6 AS STRING) AS master_segment, 'Spoke svc' AS service_type, 'Spoke hw' AS hardware_type FROM @customer",
     "source_hub_names": """
 SELECT CASE WHEN s_suppkey % 9 = 0 THEN 'hub ' || CAST(s_suppkey AS STRING) ELSE CAST(s_suppkey AS STRING) END AS hub_id,
   s_name AS organization_name
@@ -263,6 +266,8 @@ SELECT 'D1-' || {_padded('n', 6)} AS DeviceID, {_text('CAST(FLOOR(value) AS BIGI
   CASE WHEN n % 21 = 0 THEN NULL ELSE '{{"BatteryLevel":' || CASE WHEN n % 6 = 0 THEN '"Charging"' ELSE {_text('n % 101')} END
     || ',"LastShutdown":"s' || {_text('n % 3')} || '","BatteryDischarging":"' || {_text('n % 2')} || '","SpaceAvailable":' || {_text('1000 + n')}
     || ',"EcgCounter":"' || {_text('n % 30')} || '","Retries":"' || {_text('n % 9')} || '","Latency":"' || {_text('n % 700')} || '"}}' END AS lastHeartbeatData,
+  'imsi ' || {_text('n')} AS IMSI, CASE WHEN n % 5 = 0 THEN NULL ELSE 'net ' || {_text('n % 4')} END AS ServiceProvider,
+  {_text('n % 90')} AS PreviousHBLatency, CASE WHEN n % 16 = 0 THEN NULL ELSE {_text('n % 40')} END AS UnsyncedData,
   'hw-' || {_text('n % 11')} AS hardwareversion, 'fw-' || {_text('n % 5')} AS FirmwareName
 FROM ({_LATEST_EVENT}) d""",
     "source_devices": f"""
@@ -282,7 +287,7 @@ SELECT CASE WHEN s_suppkey % 7 = 0 THEN 'm' || CAST(s_suppkey AS STRING) ELSE CA
   s_nationkey AS organization_id
 FROM @supplier""",
     "source_organizations": "SELECT n_nationkey AS organization_id, 'Org ' || n_name AS organization_name FROM @nation",
-    "source_managers": "SELECT CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey END AS hub_id, s_name AS account_manager, 'Grp ' || CAST(s_nationkey AS STRING) AS grp FROM @supplier",
+    "source_managers": "SELECT CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey END AS hub_id, s_name AS account_manager, 'Grp ' || CAST(s_nationkey AS STRING) AS grp, 'Sales ' || CAST(s_nationkey AS STRING) AS sales_manager, 'Offer ' || CAST(s_suppkey % 4 AS STRING) AS offering, 'Sheet ' || CAST(s_suppkey % 2 AS STRING) AS segment, s_suppkey % 5 AS vcardia, s_suppkey % 6 AS mac, s_suppkey % 7 AS tr, s_suppkey % 18 AS total_units, s_suppkey % 4 AS inactive_units, s_suppkey % 14 AS active_units FROM @supplier",
 }
 
 _REFERENCE = re.compile(r"@([a-z_]+)")
