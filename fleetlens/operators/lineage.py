@@ -33,17 +33,17 @@ def usage_by_center(usage: DataFrame, centers: DataFrame) -> DataFrame:
     return _usage(centers.select("CenterID").join(stats, "CenterID"), "CenterID")
 
 
-def usage_by_hub(usage: DataFrame, centers: DataFrame) -> DataFrame:
+def usage_by_hub(usage: DataFrame, centers: DataFrame, digits: int = 4) -> DataFrame:
     stats = usage.groupBy("CenterID").agg(
         F.sum("Number_of_ECGs").alias("s"), F.count("Number_of_ECGs").alias("n"), F.max("AcquiredDate").alias("last")
     )
-    return _usage(centers.select("CenterID", "HubID").join(stats, "CenterID"), "HubID")
+    return _usage(centers.select("CenterID", "HubID").join(stats, "CenterID"), "HubID", digits)
 
 
-def _usage(rows: DataFrame, key: str) -> DataFrame:
+def _usage(rows: DataFrame, key: str, digits: int = 4) -> DataFrame:
     return rows.groupBy(key).agg(
         F.sum("s").alias("total_ecgs"),
-        F.round(F.try_divide(F.sum("s"), F.sum("n")), 4).alias("daily_avg"),
+        F.round(F.try_divide(F.sum("s"), F.sum("n")), digits).alias("daily_avg"),
         F.max("last").alias("last_ecg_date"),
     )
 
@@ -72,14 +72,17 @@ def critical_call(preferences: DataFrame) -> DataFrame:
     return preferences.select("centerid", value).filter("critical_call IS NOT NULL")
 
 
-def center_kinds(centers: DataFrame, today: date) -> DataFrame:
-    """Decoded type, age in month boundaries and free-to-pay flag of each center."""
-    return centers.select(
-        "CenterID",
+def kind_columns(today: date) -> list[Column]:
+    return [
         center_type("type").alias("type"),
         tm.months_between_starts("deploymentdate", F.lit(today.isoformat()).cast("date")).alias("age_in_months"),
         F.when(F.col("Spoke_Center_Segment") == "F2P_CENTER", 1).otherwise(0).alias("f2p_customer"),
-    )
+    ]
+
+
+def center_kinds(centers: DataFrame, today: date) -> DataFrame:
+    """Decoded type, age in month boundaries and free-to-pay flag of each center."""
+    return centers.select("CenterID", *kind_columns(today))
 
 
 # Keys of the custom-field JSON.
@@ -91,13 +94,16 @@ CUSTOM_FIELDS = {
 }
 
 
-def custom_fields(centers: DataFrame) -> DataFrame:
-    """Typed columns from the custom-field JSON; the webhook is a JSON text held inside it."""
-    return centers.select(
-        "CenterID",
+def custom_field_columns() -> list[Column]:
+    return [
         *(json_scalar("customfields", k).alias(n) for k, n in CUSTOM_FIELDS.items()),
         json_scalar(json_scalar("customfields", "Webhook")).alias("webhook"),
-    )
+    ]
+
+
+def custom_fields(centers: DataFrame) -> DataFrame:
+    """Typed columns from the custom-field JSON; the webhook is a JSON text held inside it."""
+    return centers.select("CenterID", *custom_field_columns())
 
 
 CONFIG_NAMES = ("CASE_SUBMISSION", "ENABLE_CASES_TYPE", "PRODUCT_OFFERING", "REPORT_TEMPLATE")
@@ -168,6 +174,43 @@ def with_organization(centers: DataFrame, hub_names: DataFrame) -> DataFrame:
     return left_join_spread(centers.select("CenterID", "HubID"), names, "HubID").select("CenterID", "HubID", "organization_name")
 
 
+# Columns of the center source -> their names in the center table.
+RENAMED_CENTER_COLUMNS = {"pin": "PinCode", "city": "City", "state": "State", "Country2": "hub_country"}
+
+
+def build_center_details(
+    centers: DataFrame, usage: DataFrame, plans: DataFrame, preferences: DataFrame, config: DataFrame, zones: DataFrame,
+    spoke_sheet: DataFrame, hub_sheet: DataFrame, hub_names: DataFrame, today: date,
+) -> DataFrame:
+    """The center table: each center's own columns beside all that the other sources hold of it and of its hub.
+
+    ``CenterID`` is the key of ``centers``. Every side has one row per center before it is joined, and all but the hub's
+    calls meet on that key, so they share one partitioning.
+    """
+    replaced = {"type", "customfields", *(c.lower() for c in RENAMED_CENTER_COLUMNS)}
+    own = centers.select(
+        *(c for c in centers.columns if c.lower() not in replaced), *(F.col(c).alias(n) for c, n in RENAMED_CENTER_COLUMNS.items()),
+        *kind_columns(today), *custom_field_columns(),
+    )
+    hub_usage = usage_by_hub(usage, centers, digits=2).filter("HubID IS NOT NULL").select(
+        F.col("HubID").alias("CenterID"), *(F.col(c).alias(f"hub_{c}") for c in ("total_ecgs", "daily_avg", "last_ecg_date"))
+    )
+    calls = critical_call(preferences)
+    chosen = preferences.select(
+        F.col("centerid").alias("CenterID"), json_scalar("preferences", "doNotAutoSuspend").alias("do_not_auto_suspend"),
+        json_scalar("preferences", "showRepeatEcg").alias("show_repeat_ecg"),
+    )
+    built = left_join_spread(own, calls.select(F.col("centerid").alias("HubID"), F.col("critical_call").alias("hub_critical_call")), "HubID")
+    sides = (
+        usage_by_center(usage, centers), hub_usage, latest_device(usage), plan_dates(plans), calls, chosen,
+        config_columns(centers, config), segment_overrides(centers, spoke_sheet, hub_sheet),
+        with_hub(centers).drop("HubID", "mrr"), with_zone(centers, zones).drop("state"), with_organization(centers, hub_names).drop("HubID"),
+    )
+    for side in sides:
+        built = built.join(side.withColumnRenamed("centerid", "CenterID"), "CenterID", "left")
+    return built.withColumn("do_not_auto_suspend_default", F.coalesce("do_not_auto_suspend", F.lit("0")))
+
+
 HEARTBEAT_FIELDS = ("BatteryLevel", "LastShutdown", "BatteryDischarging", "SpaceAvailable", "EcgCounter", "Retries", "Latency")
 
 

@@ -27,7 +27,7 @@ def _is_ordered(f: T.StructField) -> bool:
 
 
 def column_profile(df: DataFrame, distinct: bool = True) -> DataFrame:
-    """One row per column from one pass: rows, NULL share, approximate distinct values, range of ordered types."""
+    """One row per column from one pass: its type, rows, NULL share, approximate distinct values, range of ordered types."""
     fields = _profiled(df)
     text = F.lit(None).cast("string")
 
@@ -36,6 +36,7 @@ def column_profile(df: DataFrame, distinct: bool = True) -> DataFrame:
         ordered = _is_ordered(f)
         parts = [
             F.lit(f.name).alias("column_name"),
+            F.lit(f.dataType.simpleString()).alias("type"),
             F.count("*").alias("row_count"),
             F.count_if(c.isNull()).alias("nulls"),
             (F.min(c).cast("string") if ordered else text).alias("min_value"),
@@ -48,25 +49,23 @@ def column_profile(df: DataFrame, distinct: bool = True) -> DataFrame:
     one_row = df.agg(F.array(*(stats(f) for f in fields)).alias("s"))
     share = F.round(F.coalesce(F.try_divide("nulls", "row_count"), F.lit(0.0)) * 100, 1)
     return one_row.select(F.inline("s")).select(
-        "column_name", "row_count", share.alias("null_pct"), *(["distinct_values"] if distinct else []), "min_value", "max_value"
+        "column_name", "type", "row_count", share.alias("null_pct"), *(["distinct_values"] if distinct else []), "min_value", "max_value"
     )
 
 
-def category_columns(df: DataFrame, most: int = 25) -> list[str]:
-    """Columns of unordered type with 1 to ``most`` distinct values. Reads one row of counts."""
-    names = [f.name for f in _profiled(df) if not _is_ordered(f)]
-    counts = df.agg(*(F.approx_count_distinct(F.col(f"`{n}`")).alias(n) for n in names)).first()
-    return [n for n in names if 0 < counts[n] <= most]
-
-
 def top_values(df: DataFrame, most: int = 25) -> DataFrame:
-    """Values and counts of every category column."""
-    pairs = [
-        F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").cast("string").alias("value")) for n in category_columns(df, most)
-    ]
+    """Values and counts of every category column: one of unordered type with 1 to ``most`` distinct values.
+
+    Values are counted first; of each column only two more than ``most`` are looked at then, which shows exactly whether
+    it has more, so a column of very many values ends in the tasks that counted them.
+    """
+    names = [f.name for f in _profiled(df) if not _is_ordered(f)]
+    pairs = [F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").cast("string").alias("value")) for n in names]
     counts = df.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.column_name", "p.value").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), F.col("value").asc_nulls_first()))
-    return counts.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
+    seen = counts.withColumn("_place", place).filter(F.col("_place") <= most + 2)
+    known = seen.withColumn("_values", F.count("value").over(Window.partitionBy("column_name")))
+    return known.filter(F.col("_values").between(1, most) & (F.col("_place") <= most)).drop("_place", "_values")
 
 
 def key_resolution(facts: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:

@@ -19,13 +19,14 @@ _SERVICE_ORDERED = ("created_on", "closed_date", "tat_days_")
 
 def _column(c: str, ordered: bool) -> str:
     bounds = f"CAST(MIN({c}) AS VARCHAR), CAST(MAX({c}) AS VARCHAR)" if ordered else "NULL, NULL"
-    return f"""SELECT '{c}' AS column_name, COUNT(*) AS row_count, ROUND(COUNT(*) FILTER (WHERE {c} IS NULL) / COUNT(*) * 100, 1) AS null_pct,
+    return f"""SELECT '{c}' AS column_name, CASE typeof(ANY_VALUE({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE
+    REPLACE(LOWER(typeof(ANY_VALUE({c}))), 'timestamp', 'timestamp_ntz') END AS type, COUNT(*) AS row_count, ROUND(COUNT(*) FILTER (WHERE {c} IS NULL) / COUNT(*) * 100, 1) AS null_pct,
   {bounds} FROM field_service"""
 
 
 @query("P1_column_profile", "SELECT * FROM (" + " UNION ALL ".join(
     [_column(c, False) for c in _SERVICE_TEXT] + [_column(c, True) for c in _SERVICE_ORDERED]
-) + ") p(column_name, row_count, null_pct, min_value, max_value)")
+) + ") p(column_name, type, row_count, null_pct, min_value, max_value)")
 def _(t: Tables) -> DataFrame:
     return pf.column_profile(t.service, distinct=False)
 

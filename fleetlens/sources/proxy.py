@@ -224,7 +224,9 @@ SELECT c_custkey AS CenterID, c_name AS Centername, c_custkey % 50 AS HubID, 'Hu
   CASE WHEN c_custkey % 5 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS Status,
   CASE WHEN c_custkey % 6 = 0 THEN 'F2P_CENTER' WHEN c_custkey % 7 = 0 THEN NULL ELSE 'PAID' END AS Spoke_Center_Segment,
   CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE ' STATE ' || {_text('c_nationkey')} END AS state,
-  {_text('560000 + c_custkey % 211')} AS pin, c_custkey % 13 = 0 AS Suspended, c_custkey % 3 = 0 AS IS_PREPAID,
+  {_text('560000 + c_custkey % 211')} AS pin, {_city('c_custkey')} AS city, 'Land ' || {_text('c_custkey % 6')} AS Country2,
+  CASE WHEN c_custkey % 8 = 0 THEN 'No' ELSE 'Yes' END AS Billable,
+  CASE WHEN c_custkey % 20 = 0 THEN DATE '2000-01-01' + CAST(c_custkey % 300 AS INT) END AS deactivationdate, c_custkey % 13 = 0 AS Suspended, c_custkey % 3 = 0 AS IS_PREPAID,
   DATE '1995-01-01' + CAST(c_custkey % 1500 AS INT) AS deploymentdate, c_acctbal AS Current_MRR,
   CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 33 = 0 THEN 'broken {{'
     ELSE '{{"Master Segment":' || CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE '"Seg ' || {_text('c_custkey % 5')} || '"' END

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from fleetlens.filters import DEFAULT_FILTERS, Filters
 from fleetlens.operators import centers as ct
+from fleetlens.operators import devices as dv
 from fleetlens.operators import explore as ex
+from fleetlens.operators import lineage
 from fleetlens.operators import profile as pf
+from fleetlens.operators import tickets as tk
 from fleetlens.operators import uptime as up
 from fleetlens.plans import pages
+from fleetlens.plans.query_lineage import center_details
 from fleetlens.plans.marts import build_marts, shared_folder
 from fleetlens.sources.proxy import EVENTS_AS_OF, TICKETS_AS_OF
 from fleetlens.sources.tables import Tables
@@ -140,3 +144,18 @@ def test_every_page_result_runs(spark, tables, tmp_path):
             assert df.columns
     assert shown["dashboard"]["sla_kpis"].first().resolved_n > 0
     assert shown["accounts"]["totals"].first().customers == 22
+
+
+def test_built_tables_feed_the_queries(tables):
+    t = tables
+    built = t.replacing({
+        "support_tickets": lineage.build_support_tickets(t.tickets, *(t.scan(f"source_{n}") for n in ("centers", "members", "organizations", "managers"))),
+        "heartbeats": lineage.build_heartbeats(*(t.scan(f"source_{n}") for n in ("heartbeats", "devices", "centers"))),
+        "center_details": center_details(t),
+    })
+    known = built.tickets.filter("trim(assignee) <> '' AND ticketNumber IS NOT NULL").select("ticketNumber").distinct().count()
+    assert built.cleaned().filter("ticketNumber IS NOT NULL").count() == known > 0
+    assert tk.sla_kpis(built, TICKETS_AS_OF).first().resolved_n > 0
+    assert dv.telemetry_kpis(built, EVENTS_AS_OF).first().unsynced_total > 0
+    kpis = ct.kpis(built).first()
+    assert kpis.centers == t.scan("source_centers").count() > kpis.active_deployments > 0

@@ -16,6 +16,7 @@ import __spark_entry__
 from check import rows_of
 from conftest import SMALL
 from fleetlens.plans.registry import load
+from fleetlens.sources.proxy import BASE_TABLES, view
 
 SAMPLE = (
     "T1_dedup_tickets", "T2_ticket_kpis_filtered", "T3_sla_kpis", "T6_sla_worklist_page", "T15_center_failures", "U2_merged_intervals",
@@ -62,3 +63,15 @@ def test_plans_hold_no_cross_join_and_no_python(spark, name):
     plan = QUERIES[name].run(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
         assert bad not in plan
+
+
+def test_building_a_query_starts_no_job(spark):
+    for table in BASE_TABLES:  # the schema of a file is looked up once a process
+        view(spark, SMALL, table)
+    for name in QUERIES:
+        if name != "S8_marts":  # writes its marts
+            spark.sparkContext.setJobGroup(f"build {name}", name)
+            QUERIES[name].run(spark, SMALL)
+    spark.sparkContext.setJobGroup("after", "after")
+    busy = [n for n in QUERIES if spark.sparkContext.statusTracker().getJobIdsForGroup(f"build {n}")]
+    assert busy == []
