@@ -71,41 +71,51 @@ def _own_place(differing: np.ndarray) -> np.ndarray:
     return np.where(use_high, 32 + place, place)
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links between n items."""
-    parent = list(range(n))
-    out_left, out_right = [], []
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        x, y = a, b
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
+def join_classes(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the links between differently labelled items are needed to join their classes, and the labels after it."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    needed = np.zeros(len(left), bool)
+    for i, (a, b) in enumerate(zip(label[left].tolist(), label[right].tolist(), strict=True)):
+        x, y = top(a), top(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            out_left.append(a)
-            out_right.append(b)
-    return out_left, out_right
+            needed[i] = True
+    moved = np.arange(len(label))
+    for x in parent:
+        moved[x] = top(x)
+    return needed, moved[label]
 
 
 def linked(prints: np.ndarray, keys: np.ndarray, place: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows (sorted by key) that share a key, are near and belong to that key's place."""
-    lefts, rights = [], []
+    """A spanning forest of the links between rows (sorted by key) that share a key, are near and belong to that key's place.
+
+    Rows are compared with the one ``step`` places on, for one step after another. Rows that earlier steps have joined
+    are not compared again, and of a step's links only those that join classes are kept, so no list of pairs builds up.
+    """
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    label = np.arange(len(keys))
     at, step = np.arange(len(keys) - 1), 1
     while True:
         at = at[at + step < len(keys)]
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             break
-        differing = prints[at] ^ prints[at + step]
+        apart = at[label[at] != label[at + step]]
+        differing = prints[apart] ^ prints[apart + step]
         good = (_bits(differing) <= distance) & (differing != 0)
-        hit = at[good]
+        hit = apart[good]
         own = hit[_own_place(differing[good]) == place[hit]]
-        lefts.append(own)
-        rights.append(own + step)
+        if len(own):
+            needed, label = join_classes(label, own, own + step)
+            lefts.append(own[needed])
+            rights.append(own[needed] + step)
         step += 1
-    if not lefts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(lefts), np.concatenate(rights)
 
 
@@ -128,7 +138,6 @@ def _verify(distance: int, limit: int | None):
         def settle(place, key, prints):
             group = np.concatenate(([0], np.cumsum((place[1:] != place[:-1]) | (key[1:] != key[:-1]))))
             left, right = linked(prints.view(np.uint64), group, place & 63, distance)
-            left, right = forest(len(prints), left, right)
             return emit(prints[left], prints[right], [None] * len(left), [None] * len(left))
 
         for batch in batches:
