@@ -7,8 +7,10 @@ window has the smallest hash, its anchor. Windows with one anchor form a slice o
    range and delta-coded, and gets back one bit for each: does another run have it? (Found by hash only, so at worst a
    few slices too many travel on.)
 2. Slices with such an anchor are sent, each content once a run, sorted and front-coded, to the group of their anchor.
-   An anchor in ``hot_runs`` runs or more is split: each window of its slices goes to a group of its own hash instead,
-   so that a group holds at most one entry a run for any content.
+   The announcement counts the distinct contents of each anchor. An anchor with more of them than ``part_bytes`` hold is
+   split, at every size of the table: the windows of its slices fall into ``CLASSES`` by where the anchor stands in them,
+   and each class goes to the group of the text that all its windows hold. Beyond ``CLASSES`` times as many, or in
+   ``hot_runs`` runs or more, each window goes to a group of its own, which holds at most one entry a run for any content.
 3. The group compares contents exactly (the operator's part) and sends back a bit for each window.
 4. The runs remove what the bits cover.
 
@@ -24,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ from fleetlens.llm.common import as_bytes, cut
 RUN_BYTES = 4 << 20
 PART_BYTES = 8 << 20
 HOT_RUNS = 4096
+CLASSES = 4
 BLOCK = 1 << 16  # symbols hashed at once: what a core's cache holds
 NO_ID = np.iinfo(np.int64).max  # a NULL id comes after all others
 MASK48 = (1 << 48) - 1
@@ -159,6 +161,12 @@ class Kind:
 
     window: int
     gram: int
+    symbol_bytes: int  # about what a symbol of an entry takes
+
+    @property
+    def entry_bytes(self) -> int:
+        """What the longest slice takes as an entry."""
+        return (2 * self.window - self.gram) * self.symbol_bytes
 
     def lay_out(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
         """Symbols of the texts end to end as uint64, and their numbers; keeps what ``content`` needs."""
@@ -198,19 +206,45 @@ def _by_part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (hashes >> 16) * parts >> 32
 
 
+def _mixed(symbols: np.ndarray, start: np.ndarray, width: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """A hash of ``width`` symbols from each ``start`` on (uint64)."""
+    h = seed.astype(np.uint64)
+    for j in range(int(width.max(initial=0))):
+        inside = j < width
+        h[inside] = (h[inside] ^ (h[inside] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + symbols[start[inside] + j]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def _contents(found: Slices, symbols: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchor hashes, sorted, and how many distinct contents each has."""
+    hashes, which, times = np.unique(found.hash, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times[which] > 1)
+    if len(several):
+        # A slice is no longer than two windows: its first and its last one hold all of it.
+        first, count, width = found.start[several], found.count[several], np.full(len(several), window)
+        content = _mixed(symbols, first + count - 1, width, _mixed(symbols, first, width, count))
+        order = np.lexsort((content, which[several]))
+        owner, content = which[several][order], content[order]
+        new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (content[1:] != content[:-1])))
+        distinct = np.bincount(owner[new], minlength=len(hashes))
+        times = np.where(times > 1, distinct, times)
+    return hashes, times
+
+
 def _announce(kind: Kind, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, texts = _opened(block)
                 symbols, lengths = kind.lay_out([t or b"" for t in texts])
-                hashes = np.sort(slices_of(symbols, lengths, kind.window, kind.gram).hash)
+                hashes, times = _contents(slices_of(symbols, lengths, kind.window, kind.gram), symbols, kind.window)
                 if not len(hashes):
                     continue
-                hashes = hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))]
                 part = _by_part(hashes, parts)
                 bounds = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
-                rows = [(int(part[a]), packed(("d", pa.array(np.diff(hashes[a:b], prepend=0))))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                rows = [(int(part[a]), packed(("d", pa.array(np.diff(hashes[a:b], prepend=0))), ("n", pa.array(times[a:b], pa.int32())))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _ in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())],
                     names=["part", "run", "block"],
@@ -219,42 +253,61 @@ def _announce(kind: Kind, parts: int):
     return run
 
 
-def _answer(hot_runs: int):
-    """For the hashes of each run, whether another run has them and whether very many have."""
+def _answer(hot_runs: int, most: int):
+    """For the hashes of each run, whether another run has them, and whether they are split into classes or windows."""
 
     def run(table: pa.Table) -> pa.Table:
         runs = table["run"].to_pylist()
-        lists = [np.cumsum(unpacked(b).column(0).to_numpy()) for b in table["block"].to_pylist()]
-        values, counts = np.unique(np.concatenate(lists), return_counts=True)
-        shared, number = values[counts > 1], counts[counts > 1]
-        out = []
+        blocks = [unpacked(b) for b in table["block"].to_pylist()]
+        lists = [np.cumsum(b.column(0).to_numpy()) for b in blocks]
+        values, which, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        entries = np.bincount(which, np.concatenate([b.column(1).to_numpy() for b in blocks]))
+        windows = (counts >= hot_runs) | (entries > CLASSES * most)
+        bits = np.stack([counts > 1, (entries > most) | windows, windows]) & (counts > 1)
+        out, at = [], 0
         for hashes in lists:
-            at = np.minimum(np.searchsorted(shared, hashes), max(0, len(shared) - 1))
-            hit = shared[at] == hashes if len(shared) else np.zeros(len(hashes), bool)
-            hot = hit & (number[at] >= hot_runs) if len(shared) else hit
-            out.append(np.packbits(np.stack([hit, hot])).tobytes())
+            out.append(np.packbits(bits[:, which[at : at + len(hashes)]]).tobytes())
+            at += len(hashes)
         return pa.table({"run": pa.array(runs, pa.int64()), "part": table["part"], "bits": pa.array(out, pa.binary())})
 
     return run
 
 
+def _split(kind: Kind, symbols: np.ndarray, found: Slices, classes: np.ndarray) -> Slices:
+    """The slices cut where their windows' class changes, with the hash of the text that all windows of a class hold.
+
+    A window that holds its anchor ``o`` symbols after its start is of class o * classes / reach, so equal windows of an
+    anchor meet; as many classes as windows make each window its own.
+    """
+    reach = kind.window - kind.gram + 1
+    owner = np.repeat(np.arange(len(found.start)), found.count)
+    start = found.start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(found.count) - found.count, found.count)
+    number = (found.anchor[owner] - start) * classes[owner] // reach
+    head = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (number[1:] != number[:-1]))))
+    count = np.diff(np.concatenate((head, [len(owner)])))
+    owner, number = owner[head], number[head]
+    least, most = -(-number * reach // classes[owner]), -(-(number + 1) * reach // classes[owner]) - 1
+    code = _mixed(symbols, found.anchor[owner] - least, kind.window - most + least, number * 64 + classes[owner])
+    return Slices(start[head], count, found.anchor[owner], (code >> np.uint64(16)).astype(np.int64))
+
+
 def _chosen(kind: Kind, parts: int, symbols: np.ndarray, lengths: list[int], answers: dict[int, bytes]) -> tuple[np.ndarray, ...]:
-    """Slices that may repeat, with hot ones cut into windows: start, count, anchor, and 48-bit hash to deal by (-1: by content)."""
+    """Slices that may repeat, those of hot anchors split: start, count, anchor, and 48-bit hash to deal by."""
     found = slices_of(symbols, lengths, kind.window, kind.gram)
     hashes, which, times = np.unique(found.hash, return_inverse=True, return_counts=True)
     part = _by_part(hashes, parts)
-    remote, hot = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+    remote, hot, single = (np.zeros(len(hashes), bool) for _ in range(3))
     for p, bits in answers.items():
         low, high = np.searchsorted(part, [p, p + 1])
-        both = np.unpackbits(np.frombuffer(bits, np.uint8))[: 2 * (high - low)].reshape(2, -1).astype(bool)
-        remote[low:high], hot[low:high] = both
-    take = (remote | (times > 1))[which]
-    split = hot[which][take]
-    start, count, anchor, h = found.start[take], found.count[take], found.anchor[take], found.hash[take]
-    again = np.where(split, count, 1)
-    offset = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
-    one = np.repeat(split, again)
-    return np.repeat(start, again) + np.where(one, offset, 0), np.where(one, 1, np.repeat(count, again)), np.repeat(anchor, again), np.where(one, -1, np.repeat(h, again))
+        remote[low:high], hot[low:high], single[low:high] = np.unpackbits(np.frombuffer(bits, np.uint8))[: 3 * (high - low)].reshape(3, -1).astype(bool)
+    take = np.flatnonzero((remote | (times > 1))[which])
+    split = hot[which[take]]
+    whole, cut_up = (Slices(*(c[at] for c in (found.start, found.count, found.anchor, found.hash))) for at in (take[~split], take[split]))
+    if len(cut_up.start):
+        cut_up = _split(kind, symbols, cut_up, np.where(single[which[take[split]]], kind.window - kind.gram + 1, min(CLASSES, kind.window - kind.gram + 1)))
+    columns = [np.concatenate(c) for c in zip(*((x.start, x.count, x.anchor, x.hash) for x in (whole, cut_up)), strict=True)]
+    order = np.argsort(columns[0], kind="stable")
+    return tuple(c[order] for c in columns)
 
 
 def _send(kind: Kind, parts: int):
@@ -269,9 +322,6 @@ def _send(kind: Kind, parts: int):
                 if not len(start):
                     continue
                 contents = [kind.content(s, s + n + kind.window - 1, a) for s, n, a in zip(start.tolist(), count.tolist(), anchor.tolist(), strict=True)]
-                own = h < 0
-                for i in np.flatnonzero(own).tolist():
-                    h[i] = xxhash.xxh3_64_intdigest(b"\0".join(contents[i])) >> 16
                 # Equal contents have one anchor and so one group. Entries go by group, then in the order of their contents.
                 numbers: dict[tuple, int] = {}
                 number_of = np.array([numbers.setdefault(c, len(numbers)) for c in contents], np.int64)
@@ -364,7 +414,7 @@ def remove_repeats(
     runs = pack_runs(docs, id_col, text_col, run_bytes)
     parts = max(1, math.ceil((runs.agg(F.sum("bytes")).first()[0] or 0) / part_bytes))
     announced = runs.select("run", "block").mapInArrow(_announce(kind, parts), "part bigint, run bigint, block binary")
-    answers = announced.groupBy("part").applyInArrow(_answer(hot_runs), "run bigint, part bigint, bits binary")
+    answers = announced.groupBy("part").applyInArrow(_answer(hot_runs, part_bytes // kind.entry_bytes), "run bigint, part bigint, bits binary")
     by_run = answers.groupBy("run").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
     asked = runs.join(by_run, "run", "left").select("run", "block", "answers")
     sent = asked.mapInArrow(_send(kind, parts), "part bigint, run bigint, block binary")

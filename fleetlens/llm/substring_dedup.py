@@ -33,6 +33,8 @@ def nodes_at(tokens: np.ndarray, depth: int) -> np.ndarray:
 
 
 class WordRepeats(repeats.Kind):
+    symbol_bytes = 8
+
     def __init__(self, window: int = 35, gram: int = 8):
         if not 0 < gram <= window or window - gram >= 64:
             raise ValueError("a window holds the gram and has at most 64 of them")

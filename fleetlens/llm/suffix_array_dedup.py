@@ -86,6 +86,8 @@ def _sorted_lcp(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ByteRepeats(repeats.Kind):
+    symbol_bytes = 1
+
     def __init__(self, window: int = 50, gram: int = 20):
         if not 0 < gram <= window or window - gram >= 64:
             raise ValueError("a window holds the gram and has at most 64 of them")
