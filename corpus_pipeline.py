@@ -24,11 +24,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id."""
-    classes = simhash.near_duplicates(docs)
-    kept = unused(docs, "_kept")
-    first = classes.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(kept)).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")
+    """Of each class of near copies one row: the smallest id's, NULL ids last; of repeated ids the first as written."""
+    row = unused(docs, "_row")
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-keyed")
+    first = simhash.first_rows(keyed, row).withColumnRenamed("key", row)
+    return keyed.join(first, row, "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,12 +227,27 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _rooted(distinct: DataFrame, distance: int, group_limit: int) -> DataFrame:
+    """``distinct`` prints with the ``root`` print of their class."""
+    roots = components(near_links(distinct.select("print"), distance, group_limit))
+    return distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
+def first_rows(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """(key) of one row of each class: the one with the smallest id, NULL ids last, and of those the smallest key.
+
+    ``key_col`` tells rows apart and must be written, so that it is the same wherever it is read.
+    """
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key_col).alias("key"))
+    prints = cut(docs.select(row.alias("row"), fingerprint(F.col(text_col)).alias("print")), "simhash")
+    classes = _rooted(prints.groupBy("print").agg(F.min("row").alias("least")), distance, group_limit)
+    return classes.groupBy("root").agg(F.min("least").alias("least")).select("least.key")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """One row per document: ``id``, ``print`` (signed 64 bits) and ``component``, the smallest id of its class."""
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("print")), "simhash")
-    distinct = prints.groupBy("print").agg(F.min("id").alias("least"))
-    roots = components(near_links(distinct.select("print"), distance, group_limit))
-    classes = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    classes = _rooted(prints.groupBy("print").agg(F.min("id").alias("least")), distance, group_limit)
     best = classes.groupBy("root").agg(F.min("least").alias("component"))
     named = classes.join(best, "root").select("print", "component")
     return prints.join(named, "print").select("id", "print", "component")
