@@ -9,7 +9,7 @@ The model is fitted on a sample of at most ``max_rows`` rated documents, those w
 the weights, 2^18 numbers, are what scoring broadcasts. Everything is scored over whole texts.
 
 Defined results: a NULL text is scored like an empty one; ratings that are NULL, or whose id is NULL or has no
-document, are left out; of several ratings of an id each counts. Without any rating every grade is equally likely.
+document, are left out; of several ratings of an id each counts, on the id's smallest text if it has several. Without any rating every grade is equally likely.
 Repeated and NULL ids are scored like any other row. Empty tables give empty results.
 """
 
@@ -30,7 +30,7 @@ from fleetlens.llm.common import FOLD, as_bytes
 BUCKETS = 1 << 18
 STYLE = 16  # ranges of each share
 SHARES = 7
-MAX_ROWS = 6000
+MAX_ROWS = 8000
 SIGNS = b"#*$%&|<>!=_~^@{}[]\\"
 CAPITALS = bytes(range(65, 91))
 SCORE = "struct<expected_grade:double,tail_probability:double>"
@@ -125,7 +125,8 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``max_rows`` of ``ratings`` (id, grade 0 to n_grades - 1)."""
     rated = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).filter("id IS NOT NULL AND grade IS NOT NULL")
     sample = rated.orderBy(F.xxhash64("id"), "grade").limit(max_rows)
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample.select("id")), "id", "left_semi")
+    known = known.groupBy("id").agg(F.min("text").alias("text"))  # a repeated id is one text
     met = known.join(F.broadcast(sample), "id").select("id", "grade", feature_column("text").alias("f"))  # max_rows rows at most
     table = met.toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
     rows = [np.asarray(x.values, np.int32) for x in table["f"].combine_chunks()] if len(table) else []
