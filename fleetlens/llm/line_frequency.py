@@ -1,7 +1,8 @@
 """Quality rules by cross-document line frequency.
 
 Each text's lines are normalised and hashed, distinct documents are counted per host and line, lines above the
-host's limit are removed, and documents left with too little are rejected.
+host's limit are removed, and documents left with too little are rejected. The limit is a share of the host's texts,
+but never above a fixed count, so that a line does not escape because its host is large.
 
 Defined results: a NULL text has no words and fails; a NULL host is a host of its own; a NULL or repeated id is a
 row like any other (rows are told apart by a key given when the statistics are written). Rows with the same text in
@@ -24,6 +25,7 @@ from fleetlens.llm.common import CONTINUATION, SPACE, as_bytes, cut
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
+SHARE_CAP = 1000
 # Upper case to lower, digits to 0: lines that differ in these alone are the same line.
 LINE_FOLD = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 
@@ -112,8 +114,9 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return cut(rows.withColumn("key", F.monotonically_increasing_id()), "line-stats")
 
 
-def frequent_lines(stats: DataFrame, max_docs: int = 20, max_share: float = 0.05) -> DataFrame:
-    """(host, line, n_docs) of lines in more than ``max_docs`` documents and more than ``max_share`` of the host's."""
+def frequent_lines(stats: DataFrame, max_docs: int = 20, max_share: float = 0.05, share_cap: int = SHARE_CAP) -> DataFrame:
+    """(host, line, n_docs) of lines in more than ``max_docs`` documents and more than ``max_share`` of the host's, a
+    share that counts as ``share_cap`` documents at most."""
     # One row for each host, text and line: copies of a text count once.
     texts = stats.groupBy("host", "text_hash").agg(F.any_value("lines").alias("lines"))
     sizes = texts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
@@ -121,7 +124,7 @@ def frequent_lines(stats: DataFrame, max_docs: int = 20, max_share: float = 0.05
     counts = counts.filter(F.col("n_docs") > max_docs)
     return (
         counts.alias("c").join(sizes.alias("s"), F.col("c.host").eqNullSafe(F.col("s.host")))
-        .filter(F.col("n_docs") > F.col("host_docs") * max_share).select("c.host", "line", "n_docs")
+        .filter(F.col("n_docs") > F.least(F.col("host_docs") * max_share, F.lit(float(share_cap)))).select("c.host", "line", "n_docs")
     )
 
 
@@ -145,11 +148,11 @@ def judge(stats: DataFrame, frequent: DataFrame, min_words: int = 10, min_share:
 
 def line_frequency(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    max_docs: int = 20, max_share: float = 0.05, min_words: int = 10, min_share: float = 0.3,
+    max_docs: int = 20, max_share: float = 0.05, min_words: int = 10, min_share: float = 0.3, share_cap: int = SHARE_CAP,
 ) -> DataFrame:
     """The whole rule: statistics, frequent lines per host, verdict per document."""
     stats = document_stats(docs, id_col, text_col, host_col)
-    return judge(stats, frequent_lines(stats, max_docs, max_share), min_words, min_share)
+    return judge(stats, frequent_lines(stats, max_docs, max_share, share_cap), min_words, min_share)
 
 
 @F.arrow_udf(T.StringType())
