@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
-    decontaminate, license_scan, line_frequency, mixing, quality_classifier, secret_scan, simhash, substring_dedup, suffix_array_dedup, url_filter,
+    decontaminate, license_scan, line_frequency, mixing, periodic_runs, quality_classifier, secret_scan, simhash, substring_dedup, suffix_array_dedup, url_filter,
 )
 
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -88,10 +88,40 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; the texts whose id's hash ends in 0 get a periodic end, as the query's definition has it."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = F.pmod(g, n)
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))), " ")
+
+    # The lambda's argument holds the words, so that they are taken from the text once and not for each word.
+    words = F.array(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    changed = F.transform(words, lambda w: F.when(F.size(w) > 0, planted(w)))[0]
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(with_planted_periods(table(spark, folder, "documents")))
+    runs = F.col("runs")
+    best = F.array_max(F.transform(runs, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    length, period = best["length"], -best["short"]
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.select(
+        F.col("id").alias("doc_id"), F.size(runs).cast("long").alias("n_runs"), (-best["back"]).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_frequency, op2_decontamination, op3_mixing, op4_simhash, op5_url_filter, op6_substring_dedup, op7_license_scan,
-        op8_quality_classifier, op9_secret_scan, op10_suffix_array_dedup,
+        op8_quality_classifier, op9_secret_scan, op10_suffix_array_dedup, op12_periodic_runs,
     )
 }
