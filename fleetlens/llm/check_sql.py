@@ -160,7 +160,42 @@ SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coale
 FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP13 = """
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+numbered AS (
+  SELECT conv_id, dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS id, strlen(coalesce(text, '')) AS bytes,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+hashed AS (
+  SELECT conv_id, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+           lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 9 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM numbered GROUP BY 1), crc_table),
+plan AS (
+  SELECT c.conv_id, c.n, c.h, c.conv_id - c.conv_id % 5 AS base, least(c.h, coalesce(b.n, 0)) AS taken
+  FROM hashed c LEFT JOIN hashed b ON b.conv_id = c.conv_id - c.conv_id % 5),
+turns AS (
+  SELECT conv_id, pos - h + taken AS pos, id, bytes FROM numbered JOIN plan USING (conv_id) WHERE pos > h
+  UNION ALL
+  SELECT plan.conv_id, pos, id, bytes FROM plan JOIN numbered ON numbered.conv_id = base WHERE pos <= taken),
+paths AS (SELECT conv_id, list(id ORDER BY pos) AS path, list(bytes ORDER BY pos) AS sizes FROM turns GROUP BY 1),
+convs AS (SELECT conv_id, coalesce(path, []) AS path, coalesce(sizes, []) AS sizes FROM plan LEFT JOIN paths USING (conv_id)),
+members AS (SELECT conv_id, d, path[1:d] AS node, len(path) = d AS stops, coalesce(sizes[d], 0) AS bytes FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM convs)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * min(bytes) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (stops), '')) AS ends
+  FROM members GROUP BY ALL),
+kids AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+known AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (node)),
+under AS (
+  SELECT node[1:above] AS node, sum(saved)::BIGINT AS saved, (count(*) FILTER (n_children = 0))::BIGINT AS n_leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS above FROM known) GROUP BY 1)
+SELECT k.conv_id, k.d AS depth, p.conv_id AS parent_conv_id, k.n AS n_convs, k.n_children, under.n_leaves, under.saved AS saved_tokens, k.ends AS ends_sha256
+FROM known k JOIN under ON under.node = k.node LEFT JOIN nodes p ON k.d > 0 AND p.node = k.node[1:k.d - 1]
+"""
+
 ORACLES = {
     "op1_line_frequency": OP1, "op2_decontamination": OP2, "op3_mixing": OP3, "op5_url_filter": OP5, "op6_substring_dedup": OP6,
     "op7_license_scan": OP7, "op9_secret_scan": OP9, "op10_suffix_array_dedup": OP10,
+    "op13_prefix_trie": OP13,
 }

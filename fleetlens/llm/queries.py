@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
-    decontaminate, license_scan, line_frequency, mixing, periodic_runs, quality_classifier, secret_scan, simhash, substring_dedup, suffix_array_dedup, url_filter,
+    decontaminate, license_scan, line_frequency, mixing, periodic_runs, prefix_trie, quality_classifier, secret_scan, simhash, substring_dedup, suffix_array_dedup, url_filter,
 )
+from fleetlens.llm.common import cut
 
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 TOXIC, LOW, GOOD = 0, 1, 2
@@ -118,10 +119,28 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def with_borrowed_heads(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbered turns and conversations, each conversation's first h turns taken from the first one of its five."""
+    base, h = F.col("conv_id") - F.col("conv_id") % 5, F.crc32(F.col("conv_id").cast("string")) % 9
+    plan = convs.select("conv_id", "n_turns", base.alias("base"), h.alias("h"))
+    lender = convs.select(F.col("conv_id").alias("base"), F.col("n_turns").alias("lent"))
+    plan = cut(plan.join(lender, "base", "left").select("conv_id", "n_turns", "base", "h", F.least("h", F.coalesce("lent", F.lit(0))).alias("taken")), "trie-plan")
+    own = turns.join(plan.select("conv_id", "h", "taken"), "conv_id").filter("pos > h").select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "key")
+    heads = turns.filter("pos <= 8 AND conv_id % 5 = 0").withColumnRenamed("conv_id", "base")
+    lent = heads.join(plan.select("conv_id", "base", "taken"), "base").filter("pos <= taken").select("conv_id", "pos", "key")
+    left = F.greatest(F.col("n_turns") - F.col("h"), F.lit(0))
+    return cut(own.unionAll(lent), "trie-rebuilt"), plan.select("conv_id", (F.col("taken") + left).alias("n_turns"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, convs = prefix_trie.numbered_turns(table(spark, folder, "conversations"))
+    return prefix_trie.trie(*with_borrowed_heads(turns, convs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_frequency, op2_decontamination, op3_mixing, op4_simhash, op5_url_filter, op6_substring_dedup, op7_license_scan,
-        op8_quality_classifier, op9_secret_scan, op10_suffix_array_dedup, op12_periodic_runs,
+        op8_quality_classifier, op9_secret_scan, op10_suffix_array_dedup, op12_periodic_runs, op13_prefix_trie,
     )
 }
