@@ -160,6 +160,17 @@ SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coale
 FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP11 = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, q.r, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
 OP13 = """
 WITH crc_table AS (
   SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
@@ -197,5 +208,5 @@ FROM known k JOIN under ON under.node = k.node LEFT JOIN nodes p ON k.d > 0 AND
 ORACLES = {
     "op1_line_frequency": OP1, "op2_decontamination": OP2, "op3_mixing": OP3, "op5_url_filter": OP5, "op6_substring_dedup": OP6,
     "op7_license_scan": OP7, "op9_secret_scan": OP9, "op10_suffix_array_dedup": OP10,
-    "op13_prefix_trie": OP13,
+    "op11_topk_search": OP11, "op13_prefix_trie": OP13,
 }

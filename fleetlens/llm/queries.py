@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
-    decontaminate, license_scan, line_frequency, mixing, periodic_runs, prefix_trie, quality_classifier, secret_scan, simhash, substring_dedup, suffix_array_dedup, url_filter,
+    decontaminate, license_scan, line_frequency, mixing, periodic_runs, prefix_trie, quality_classifier, secret_scan, simhash, substring_dedup, suffix_array_dedup, topk_search, url_filter,
 )
 from fleetlens.llm.common import cut
 
@@ -89,6 +89,11 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return topk_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text``; the texts whose id's hash ends in 0 get a periodic end, as the query's definition has it."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -141,6 +146,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_frequency, op2_decontamination, op3_mixing, op4_simhash, op5_url_filter, op6_substring_dedup, op7_license_scan,
-        op8_quality_classifier, op9_secret_scan, op10_suffix_array_dedup, op12_periodic_runs, op13_prefix_trie,
+        op8_quality_classifier, op9_secret_scan, op10_suffix_array_dedup, op11_topk_search, op12_periodic_runs, op13_prefix_trie,
     )
 }
