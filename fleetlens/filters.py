@@ -67,6 +67,14 @@ def date_range(c: Column | str, start: str = "", end: str = "") -> Column | None
     return all_of(*parts)
 
 
+def month_range(c: Column | str, start: str = "", end: str = "") -> Column | None:
+    """The months a date range touches, over month numbers: what the range implies about a monthly partition."""
+    first, last = _day(start), _day(end)
+    return all_of(
+        col(c) >= first.year * 12 + first.month - 1 if first else None, col(c) <= last.year * 12 + last.month - 1 if last else None
+    )
+
+
 def all_of(*parts: Column | None) -> Column | None:
     present = [p for p in parts if p is not None]
     return reduce(and_, present) if present else None
@@ -124,6 +132,9 @@ class Filters:
     def dates(self, c: Column | str) -> Column | None:
         return date_range(c, self.date_from, self.date_to)
 
+    def months(self, c: Column | str) -> Column | None:
+        return month_range(c, self.date_from, self.date_to)
+
     def one_hub(self) -> Column | None:
         """Exact single-hub match; the empty name means every hub."""
         return col("HubName") == self.hub if self.hub else None

@@ -5,7 +5,7 @@ Differences count unit *boundaries*: 00:59 to 01:01 is one hour.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +36,11 @@ def hour_number(ts: Column | str) -> Column:
     return day_number(c) * 24 + F.hour(c)
 
 
+def hour_of(as_of: datetime) -> int:
+    """The hour number of a moment, as a plain number: a condition on it reaches the files' statistics."""
+    return (as_of.replace(tzinfo=None) - datetime(1970, 1, 1)) // timedelta(hours=1)
+
+
 def second_number(ts: Column | str) -> Column:
     c = col(ts)
     return hour_number(c) * 3600 + F.minute(c) * 60 + F.second(c)
@@ -64,6 +69,12 @@ def months_between_starts(start: Column | str, end: Column | str) -> Column:
     return (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)
 
 
+def month_number(ts: Column | str) -> Column:
+    """Months since year 0."""
+    c = col(ts)
+    return (F.year(c) * 12 + F.month(c) - 1).cast("int")
+
+
 def stamp_label(ts: Column | str) -> Column:
     """'2001-08-02 05:30:00'. Text of the timestamp itself; formatting would go through the session zone."""
     return F.substring(col(ts).cast("string"), 1, 19)

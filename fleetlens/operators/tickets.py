@@ -13,7 +13,7 @@ from fleetlens.functions import classify as cl
 from fleetlens.functions import time as tm
 from fleetlens.functions.text import blank_to_null, contains_text, label
 from fleetlens.operators.explore import page_of, rank_counts, sort_order
-from fleetlens.sources.cleaned import cleaned_tickets
+from fleetlens.sources.cleaned import TICKET_MONTH, cleaned_tickets
 from fleetlens.sources.reference_data import account_hubs, sla_catalog
 from fleetlens.sources.tables import Tables
 
@@ -21,8 +21,8 @@ from fleetlens.sources.tables import Tables
 def scope(tables: Tables, filters: Filters = Filters(), *extra: str) -> DataFrame:
     """Cleaned tickets under the filters. Filters apply after the copies are collapsed."""
     extras = (*extra, "HubName") if filters.hub else extra
-    df = where(tables.cleaned(*extras), filters.one_hub(), filters.dates("CreatedAt"))
-    return by_center(df, tables, filters)
+    df = tables.cleaned(*extras, within=filters.months(TICKET_MONTH))
+    return by_center(where(df, filters.one_hub(), filters.dates("CreatedAt")), tables, filters)
 
 
 def with_sla(tickets: DataFrame) -> DataFrame:
@@ -116,14 +116,45 @@ def sla_by_category(
     )
 
 
+OPEN_TICKET_EXTRAS = ("HubName", "priority", "assignee", "TicketLink")
+
+
+def open_tickets(tables: Tables) -> DataFrame:
+    """Open tickets of a known creation time, with the hours from which each is at risk and breached.
+
+    ``at_risk_at`` and ``breach_at`` are hour numbers that no moment enters, so one table answers for every moment by a
+    range condition. It is ordered by them: written as Parquet, files and row groups of tickets not yet at risk are skipped.
+    """
+    target = 24 * F.col("sla_days").cast("bigint")
+    hour = tm.hour_number("CreatedAt")
+    return (
+        with_sla(tables.cleaned(*OPEN_TICKET_EXTRAS).filter(cl.is_open("status") & F.col("CreatedAt").isNotNull()))
+        .withColumn("at_risk_at", hour + F.floor(config.AT_RISK_SHARE * target) + 1)
+        .withColumn("breach_at", hour + target + 1)
+        .repartitionByRange("at_risk_at", "ticketNumber")
+        .sortWithinPartitions("at_risk_at", "breach_at")
+    )
+
+
+def critical(tables: Tables, as_of: datetime, filters: Filters = Filters(), risk: str = "") -> DataFrame:
+    """Open tickets that are breached or at risk at ``as_of``, or of one of these bands alone, with ``breached``."""
+    now = tm.hour_of(as_of)
+    mart = tables.mart("open_tickets")
+    rows = where(
+        open_tickets(tables) if mart is None else mart,
+        F.col("at_risk_at") <= now,
+        {"breached": F.col("breach_at") <= now, "atrisk": F.col("breach_at") > now}.get(risk.lower()),
+        filters.one_hub(), filters.dates("CreatedAt"),
+    )
+    return by_center(rows, tables, filters).withColumn("breached", F.col("breach_at") <= now)
+
+
 def open_risk_by_category(tables: Tables, as_of: datetime, filters: Filters = Filters(), limit: int = 12) -> DataFrame:
-    at_stake = F.col("breached") + F.col("atrisk")
     return (
-        measured(scope(tables, filters), as_of)
+        critical(tables, as_of, filters)
         .groupBy(_category().alias("category"))
-        .agg(F.count_if("breached").alias("breached"), F.count_if("at_risk").alias("atrisk"))
-        .filter(at_stake > 0)
-        .orderBy(at_stake.desc(), "category")
+        .agg(F.count_if("breached").alias("breached"), F.count_if(~F.col("breached")).alias("atrisk"))
+        .orderBy((F.col("breached") + F.col("atrisk")).desc(), "category")
         .limit(limit)
     )
 
@@ -136,12 +167,10 @@ WORKLIST_SORT_KEYS = {
 }
 
 
-def worklist_rows(tables: Tables, as_of: datetime, filters: Filters = Filters()) -> DataFrame:
+def worklist_rows(tables: Tables, as_of: datetime, filters: Filters = Filters(), risk: str = "") -> DataFrame:
     """Open tickets past, or close to, their target."""
-    df = scope(tables, filters, "priority", "assignee", "TicketLink")
-    df = measured(df.filter(cl.is_open("status") & F.col("CreatedAt").isNotNull()), as_of)
-    age = F.col("age_days")
-    return df.filter(age > config.AT_RISK_SHARE * F.col("sla_days")).select(
+    age = (F.lit(tm.hour_of(as_of)) - tm.hour_number("CreatedAt")) / 24
+    return critical(tables, as_of, filters, risk).select(
         F.col("ticketNumber").alias("ticket"),
         F.col("CenterID").alias("center_id"),
         _category().alias("category"),
@@ -153,7 +182,7 @@ def worklist_rows(tables: Tables, as_of: datetime, filters: Filters = Filters())
         tm.date_label("CreatedAt").alias("created"),
         F.round(age, 1).alias("age_days"),
         F.round(age - F.col("sla_days"), 1).alias("days_over"),
-        F.when(age > F.col("sla_days"), "BREACHED").otherwise("AT_RISK").alias("risk"),
+        F.when(F.col("breached"), "BREACHED").otherwise("AT_RISK").alias("risk"),
     )
 
 
@@ -161,11 +190,8 @@ def worklist(
     tables: Tables, as_of: datetime, filters: Filters = Filters(), search: str = "", risk: str = "",
     sort_by: str = "days_over", sort_dir: str = "desc", page: int = 0, size: int = 15,
 ) -> DataFrame:
-    band = {"breached": "BREACHED", "atrisk": "AT_RISK"}.get(risk.lower())
     rows = where(
-        worklist_rows(tables, as_of, filters),
-        F.col("risk") == band if band else None,
-        contains_text(("ticket", "category", "assignee", "center_id"), search),
+        worklist_rows(tables, as_of, filters, risk), contains_text(("ticket", "category", "assignee", "center_id"), search)
     )
     ties = [F.col("ticket").desc_nulls_last(), F.col("center_id"), F.col("created"), F.col("days_over"), F.col("category")]
     return page_of(rows, sort_order(WORKLIST_SORT_KEYS, sort_by, sort_dir, "days_over", ties), page, size)

@@ -19,7 +19,7 @@ from fleetlens.operators import uptime as up
 from fleetlens.plans.check_sql import (
     AS_OF, age_band, clean, is_open, location_key, named, segment, stamp, wait_band, whole,
 )
-from fleetlens.plans.marts import build_marts, mart_sizes, new_folder
+from fleetlens.plans.marts import MartFolder, build_marts, mart_sizes, new_folder
 from fleetlens.plans.query_devices import CHOSEN, CHOSEN_SQL, DEVICES_SQL, RECENCY_SQL
 from fleetlens.plans.query_service import FLOW_SQL, NARROW as SERVICE_NARROW, NARROW_SQL as SERVICE_NARROW_SQL, SOME, SOME_SQL
 from fleetlens.plans.query_tickets import NARROW, NARROW_SQL
@@ -98,11 +98,64 @@ def _(t: Tables) -> DataFrame:
     return center_dimension(t.centers)
 
 
-@query("S8_marts")  # writes the marts to the shared folder, then counts what was written
+_ACTIVE = "(SELECT * FROM o_center_360 WHERE status = 'ACTIVE')"
+_SHOWN = "(SELECT * FROM o_devices WHERE COALESCE(status_name, '') <> 'Decommissioned' AND center_id IN (SELECT center_id FROM o_dimension WHERE status = 'ACTIVE'))"
+_SCORED = f"SELECT COUNT(*) FROM (SELECT DISTINCT CenterID FROM center_details WHERE deploymentdate IS NOT NULL AND {clean('Status')} = 'ACTIVE')"
+
+
+# Every mart's number of rows, each from its definition and not from the marts.
+@query("S8_marts", f"""
+WITH ranked AS (SELECT {named('country', '(blank)')} AS c, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {named('country', '(blank)')}) > 5 AS other
+  FROM {_ACTIVE} GROUP BY 1),
+leaves AS (SELECT DISTINCT {named('country', '(blank)')} AS c, {named('segment', '(blank)')} AS s FROM {_ACTIVE}),
+bands AS (SELECT type, {age_band('age_days')} AS band FROM {_SHOWN}),
+placed AS (SELECT p.*, (SELECT COUNT(lat) FROM o_placed c WHERE c.city = p.city AND c.state = p.state AND p.city <> '') AS near,
+  (SELECT COUNT(lat) FROM o_placed h WHERE h.hub_id = p.hub_id) AS same_hub FROM o_placed p)
+SELECT 'cleaned_tickets' AS mart, (SELECT COUNT(*) FROM o_cleaned) AS row_count
+UNION ALL SELECT 'center_tickets', (SELECT COUNT(*) FROM o_center_tickets)
+UNION ALL SELECT 'device_index', (SELECT COUNT(*) FROM o_devices)
+UNION ALL SELECT 'center_360', (SELECT COUNT(*) FROM o_center_360)
+UNION ALL SELECT 'scores', ({_SCORED}) UNION ALL SELECT 'reliability', ({_SCORED})
+UNION ALL SELECT 'fleet_uptime', 1 UNION ALL SELECT 'sla_kpis', 1
+UNION ALL SELECT 'devices', (SELECT COUNT(*) FROM {_SHOWN})
+UNION ALL SELECT 'customers_tree', (SELECT 1 + COUNT(*) FILTER (NOT other) + MAX(other::INT) FROM ranked)
+  + (SELECT COUNT(*) FROM leaves JOIN ranked ON leaves.c = ranked.c WHERE NOT other)
+UNION ALL SELECT 'devices_tree', (SELECT 1 + COUNT(DISTINCT type) + COUNT(DISTINCT (type, band)) FILTER (band IS NOT NULL) FROM bands)
+UNION ALL SELECT 'tickets_tree', 1 + 3 + 2 + 3 + (SELECT COUNT(DISTINCT {named('closure_type', 'Unknown')}) FROM field_service)
+UNION ALL SELECT 'map_points', (SELECT COUNT(*) FROM placed WHERE status = 'ACTIVE' AND (lat IS NOT NULL OR near > 0 OR same_hub > 0))
+UNION ALL SELECT 'accounts', (SELECT COUNT(DISTINCT account) FROM o_hubs)""")
 def _(t: Tables) -> DataFrame:
     return mart_sizes(t.spark, build_marts(t, TICKETS_AS_OF, new_folder(t.spark), EVENTS_AS_OF))
 
 
+def one_percent_changed(t: Tables) -> Tables:
+    """The tables after the newest hundredth of the tickets was closed, and a ticket of each center in it removed."""
+    bound = t.tickets.agg(F.percentile("ticketNumber", 0.99).alias("p")).first()["p"]
+    late = F.col("ticketNumber") >= F.lit(bound)
+    changed = t.tickets.filter(~late | F.col("ticketNumber").isNull() | (F.col("ticketNumber") % 7 != 0)).withColumns({
+        "status": F.when(late, F.lit("Closed")).otherwise(F.col("status")),
+        "ClosedAt": F.when(late, F.coalesce("ClosedAt", tm.moment(TICKETS_AS_OF))).otherwise(F.col("ClosedAt")),
+    })
+    return t.replacing({"support_tickets": changed})
+
+
+@query("S8_refreshed_marts", "SELECT name AS mart, 0 AS missing, 0 AS surplus FROM (VALUES ('cleaned_tickets'), ('center_tickets'), ('center_360'), ('scores')) v(name)")
+def _(t: Tables) -> DataFrame:
+    """Rows in which marts refreshed after a change differ from marts built anew."""
+    marts, changed = MartFolder(t.spark, new_folder(t.spark), ranges=64, buckets=16), one_percent_changed(t)
+    marts.refresh(t, TICKETS_AS_OF, EVENTS_AS_OF)
+    marts.refresh(changed, TICKETS_AS_OF, EVENTS_AS_OF)
+    whole = build_marts(changed, TICKETS_AS_OF, new_folder(t.spark), EVENTS_AS_OF)
+    report = None
+    for name in ("cleaned_tickets", "center_tickets", "center_360", "scores"):
+        built, kept = t.spark.read.parquet(whole[name]), marts.mart(name)
+        kept = kept.select(built.columns)
+        count = lambda df: df.agg(F.count("*")).scalar()
+        row = t.spark.range(1).select(F.lit(name).alias("mart"), count(built.exceptAll(kept)).alias("missing"), count(kept.exceptAll(built)).alias("surplus"))
+        report = row if report is None else report.unionAll(row)
+    return report
+
+
 # Filters
 
 

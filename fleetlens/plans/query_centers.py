@@ -11,9 +11,9 @@ from fleetlens.operators import devices as dv
 from fleetlens.operators.explore import options
 from fleetlens.functions.classify import segment_group
 from fleetlens.plans.check_sql import AS_OF, age_band, named, segment, stamp
+from fleetlens.plans.marts import center_mart
 from fleetlens.plans.query_tickets import CENTER
 from fleetlens.plans.registry import query
-from fleetlens.sources.cleaned import center_dimension
 from fleetlens.sources.proxy import EVENTS_AS_OF, TICKETS_AS_OF
 from fleetlens.sources.tables import Tables
 
@@ -235,11 +235,11 @@ SELECT *, (SELECT COUNT(*) FROM f) AS total_rows FROM f ORDER BY {order} LIMIT 1
     AND (LOWER(center) LIKE '%state 1%' OR CAST(center_id AS VARCHAR) LIKE '%state 1%' OR LOWER(hub) LIKE '%state 1%'
       OR LOWER(state) LIKE '%state 1%')""", 15))
 def _(t: Tables) -> DataFrame:
-    mart = ct.center_360(t, TICKETS_AS_OF, EVENTS_AS_OF)
-    return ct.explorer(mart, BROWSED, "State 1", "open_tickets", "desc", page=1, dimension=center_dimension(t.centers))
+    mart = center_mart(t, TICKETS_AS_OF, EVENTS_AS_OF)
+    return ct.explorer(mart, BROWSED, "State 1", "open_tickets", "desc", page=1)
 
 
 @query("N12_center_explorer_default", _explorer("devices DESC NULLS LAST, center_id NULLS LAST, city", "TRUE"))
 def _(t: Tables) -> DataFrame:
-    mart = ct.center_360(t, TICKETS_AS_OF, EVENTS_AS_OF)
-    return ct.explorer(mart, sort_by="no such key", dimension=center_dimension(t.centers))
+    mart = center_mart(t, TICKETS_AS_OF, EVENTS_AS_OF)
+    return ct.explorer(mart, sort_by="no such key")

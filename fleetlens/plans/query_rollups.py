@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.filters import DEFAULT_FILTERS, Filters
-from fleetlens.operators import centers as ct
 from fleetlens.operators import devices as dv
 from fleetlens.operators import geo, rollups
 from fleetlens.functions.text import label
 from fleetlens.plans.check_sql import age_band, clean, is_open, named
+from fleetlens.plans.marts import center_mart, located_mart, with_ticket_marts
 from fleetlens.plans.query_tickets import ACCOUNT_STATS_SQL
 from fleetlens.plans.registry import query
 from fleetlens.sources.cleaned import center_dimension
@@ -19,7 +19,11 @@ from fleetlens.sources.tables import Tables
 
 
 def _mart(t: Tables) -> DataFrame:
-    return ct.center_360(t, TICKETS_AS_OF, EVENTS_AS_OF)
+    return center_mart(t, TICKETS_AS_OF, EVENTS_AS_OF)
+
+
+def _located(t: Tables) -> DataFrame:
+    return located_mart(t, TICKETS_AS_OF, EVENTS_AS_OF)
 
 
 _COUNTRY = named("country", "(blank)")
@@ -57,7 +61,7 @@ n AS (SELECT 0 AS level, '' AS nc, '' AS ns, FALSE AS o, * FROM b UNION ALL SELE
 s AS ({_stats('level, nc, ns, o', 'n')})
 SELECT level, nc AS country, ns AS segment, o AS is_other, value, devices, open_tickets, uptime_pct, top_city FROM s""")
 def _(t: Tables) -> DataFrame:
-    return rollups.customers_tree(_mart(t), dimension=center_dimension(t.centers))
+    return rollups.customers_tree(_mart(t))
 
 
 @query("R4_devices_tree", f"""
@@ -97,7 +101,7 @@ ON h.account = a.account"""
 
 @query("R6_accounts", ACCOUNTS_SQL)
 def _(t: Tables) -> DataFrame:
-    return rollups.accounts(_mart(t), t.geo_store)
+    return rollups.accounts(_located(t), None)
 
 
 @query("R6_account_totals", f"""
@@ -107,7 +111,7 @@ SELECT COUNT(*) AS customers, CAST(SUM(centers) AS BIGINT) AS centers, CAST(SUM(
   COUNT(*) FILTER (WHERE centers > 0) AS with_data, MIN(total_tickets) AS ticket_count, MIN(sla_breach) AS sla_breach,
   MIN(sla_within_pct) AS sla_within_pct FROM a CROSS JOIN s""")
 def _(t: Tables) -> DataFrame:
-    return rollups.account_totals(t, _mart(t), t.geo_store, TICKETS_AS_OF)
+    return rollups.account_totals(with_ticket_marts(t), _located(t), None, TICKETS_AS_OF)
 
 
 @query("G1_distinct_locations", "SELECT * FROM o_locations")
@@ -139,13 +143,12 @@ WHERE COALESCE(p.lat, clat, hlat) IS NOT NULL AND {where})"""
 
 @query("G4_map_points", _points() + " SELECT * FROM points")
 def _(t: Tables) -> DataFrame:
-    return geo.map_points(_mart(t), t.geo_store, dimension=center_dimension(t.centers))
+    return geo.map_points(_located(t), None)
 
 
 @query("G4_map_points_filtered", _points("segment = 'LE' AND status = 'ACTIVE'") + " SELECT * FROM points")
 def _(t: Tables) -> DataFrame:
-    return geo.map_points(
-        _mart(t), t.geo_store, Filters(segments=("LE",), statuses=("ACTIVE",)), center_dimension(t.centers))
+    return geo.map_points(_located(t), None, Filters(segments=("LE",), statuses=("ACTIVE",)))
 
 
 @query("G5_located_devices", _points() + """
@@ -159,9 +162,9 @@ def _(t: Tables) -> DataFrame:
 SELECT center_id, center, lat, lng, devices, online, low_battery, avg_csq, hub, hub_id, state FROM o_placed
 WHERE lat IS NOT NULL AND status = 'ACTIVE'""")
 def _(t: Tables) -> DataFrame:
-    return geo.telemetry_points(_mart(t), t.geo_store, DEFAULT_FILTERS)
+    return geo.telemetry_points(_located(t), None, DEFAULT_FILTERS)
 
 
 @query("G6_unlocated_centers", "SELECT COUNT(lat) AS located, COUNT(*) FILTER (WHERE lat IS NULL) AS unlocated FROM o_placed")
 def _(t: Tables) -> DataFrame:
-    return geo.unlocated_count(_mart(t), t.geo_store)
+    return geo.unlocated_count(_located(t), None)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.filters import Filters
 from fleetlens.operators import tickets as tk
 from fleetlens.plans.check_sql import AS_OF, is_open, named, segment, stamp, wait_band
+from fleetlens.plans.marts import with_ticket_marts
 from fleetlens.plans.registry import query
 from fleetlens.sources.cleaned import cleaned_tickets
 from fleetlens.sources.proxy import TICKETS_AS_OF
@@ -63,7 +64,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("T3_sla_kpis_filtered", _sla(NARROW_SQL))
 def _(t: Tables) -> DataFrame:
-    return tk.sla_kpis(t, TICKETS_AS_OF, NARROW)
+    return tk.sla_kpis(with_ticket_marts(t), TICKETS_AS_OF, NARROW)
 
 
 @query("T4_breach_by_category", f"""
@@ -81,7 +82,7 @@ SELECT * FROM (SELECT {named('IssueCategory', 'Uncategorised')} AS category,
   COUNT(*) FILTER (stage = 'late') AS breached, COUNT(*) FILTER (stage = 'near') AS atrisk
   FROM o_staged GROUP BY 1) WHERE breached + atrisk > 0 ORDER BY breached + atrisk DESC, category LIMIT 12""")
 def _(t: Tables) -> DataFrame:
-    return tk.open_risk_by_category(t, TICKETS_AS_OF)
+    return tk.open_risk_by_category(with_ticket_marts(t), TICKETS_AS_OF)
 
 
 WORKLIST_SQL = f"""
@@ -94,7 +95,7 @@ FROM o_measured WHERE is_open AND CreatedAt IS NOT NULL AND age_days > 0.75 * sl
 
 @query("T6_sla_worklist", WORKLIST_SQL)
 def _(t: Tables) -> DataFrame:
-    return tk.worklist_rows(t, TICKETS_AS_OF)
+    return tk.worklist_rows(with_ticket_marts(t), TICKETS_AS_OF)
 
 
 @query("T6_sla_worklist_page", f"""
@@ -104,7 +105,7 @@ WITH w AS ({WORKLIST_SQL}), f AS (SELECT * FROM w WHERE risk = 'BREACHED'
 SELECT *, (SELECT COUNT(*) FROM f) AS total_rows FROM f
 ORDER BY days_over DESC NULLS LAST, ticket DESC NULLS LAST, center_id NULLS FIRST, created, days_over, category LIMIT 15 OFFSET 15""")
 def _(t: Tables) -> DataFrame:
-    return tk.worklist(t, TICKETS_AS_OF, search="AGENT 5", risk="breached", page=1)
+    return tk.worklist(with_ticket_marts(t), TICKETS_AS_OF, search="AGENT 5", risk="breached", page=1)
 
 
 @query("T7_monthly_trend", f"""

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import os
+import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -51,9 +52,14 @@ def local_session(cpus: str | int | None = None) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees, as spark.checkpoint.dir names it.
 
-    Unset, a local session gets a temporary one; on a cluster that is an error.
+    Unset, a local session gets a temporary one, the same until the process ends; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return folder or tempfile.mkdtemp(prefix="fleetlens-")
+    return folder or _temporary_folder()
+
+
+@cache
+def _temporary_folder() -> str:
+    return tempfile.mkdtemp(prefix="fleetlens-")

@@ -11,6 +11,9 @@ from fleetlens.functions.text import blank_to_null, clean
 # Columns every metric may rest on. They decide, in this order, between copies created at the same time.
 TICKET_CORE = ("ticketNumber", "CenterID", "CreatedAt", "ClosedAt", "status", "IssueCategory")
 
+# Column the mart of cleaned tickets is partitioned by: months since year 0 of the creation time.
+TICKET_MONTH = "created_month"
+
 
 def cleaned_tickets(tickets: DataFrame, *extra: str) -> DataFrame:
     """Assigned tickets, latest copy per ticket number; tickets without a number never merge.

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from fleetlens.sources.cleaned import TICKET_CORE, cleaned_tickets
+from fleetlens.sources.cleaned import TICKET_CORE, TICKET_MONTH, cleaned_tickets
 
 # Logical table -> default physical name.
 TABLE_NAMES = {
@@ -39,11 +39,26 @@ class Tables:
         """The same tables with some taken from ``frames``, such as a materialised mart."""
         return Tables(self.spark, self._read, {**self._given, **frames})
 
-    def cleaned(self, *extra: str) -> DataFrame:
-        """Cleaned tickets with the core columns and ``extra``; from the mart once there is one."""
-        if "cleaned_tickets" in self._given:
-            return self._given["cleaned_tickets"].select(*TICKET_CORE, *sorted(set(extra) - set(TICKET_CORE)))
-        return cleaned_tickets(self.tickets, *extra)
+    def mart(self, name: str) -> DataFrame | None:
+        """A mart that was given in place of what it is built from, if there is one."""
+        return self._given.get(name)
+
+    def inputs(self, *names: str) -> dict[str, DataFrame]:
+        """The logical tables ``names`` as they are read."""
+        return {name: self._load(name) for name in names}
+
+    def cleaned(self, *extra: str, within: Column | None = None) -> DataFrame:
+        """Cleaned tickets with the core columns and ``extra``; from the mart once there is one.
+
+        ``within`` is a condition on the month of creation that the caller's own filter implies; the mart is partitioned
+        by that month, so that other months are not read.
+        """
+        mart = self.mart("cleaned_tickets")
+        if mart is None:
+            return cleaned_tickets(self.tickets, *extra)
+        if within is not None and TICKET_MONTH in mart.columns:
+            mart = mart.filter(within)
+        return mart.select(*TICKET_CORE, *sorted(set(extra) - set(TICKET_CORE)))
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str, names: Mapping[str, str] | None = None) -> Tables:
