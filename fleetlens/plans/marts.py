@@ -126,8 +126,13 @@ def _hash_sums(h: Column) -> list[Column]:
     ]
 
 
-def _token(rows: DataFrame) -> str:
-    return str(tuple(rows.agg(*_hash_sums(_row_hash(sorted(rows.columns)))).first()))
+def _tokens(frames: dict[str, DataFrame]) -> dict[str, str]:
+    """The content of each frame as one text, from one pass over all of them."""
+    sums = None
+    for name, df in frames.items():
+        own = df.agg(*_hash_sums(_row_hash(sorted(df.columns)))).select(F.lit(name).alias("name"), "n", "low", "high")
+        sums = own if sums is None else sums.unionAll(own)
+    return {r["name"]: str((r["n"], r["low"], r["high"])) for r in sums.collect()}
 
 
 def _differing(before: DataFrame | None, now: DataFrame, key: str) -> DataFrame:
@@ -261,7 +266,7 @@ class MartFolder:
         if not before.complete:
             before = _State()
         self._keep_state(_State())  # until this ends, no mart can be relied upon
-        tokens = {name: _token(tables.scan(name)) for name in ("center_details", "heartbeats", "device_register", "field_service", "escalations", "geo_store")}
+        tokens = _tokens(tables.inputs("center_details", "heartbeats", "device_register", "field_service", "escalations", "geo_store"))
         tokens["settings"] = str((as_of, heartbeats_as_of, filters, self.ranges, self.buckets))
         same_settings = tokens["settings"] == before.tokens.get("settings")
 
@@ -306,7 +311,7 @@ class MartFolder:
         place = F.when(F.col("ticketNumber").isNull(), lone).otherwise(F.floor(F.col("ticketNumber") / width)).cast("bigint")
         ranged = tickets.withColumn(_RANGE, place)
         sums, tokens["ranges"] = self._stored(ranged.groupBy(_RANGE).agg(*_hash_sums(_row_hash(columns))))
-        tokens["tickets"] = _token(sums)
+        tokens |= _tokens({"tickets": sums})
         old_sums = self.spark.read.schema(sums.schema).parquet(before.tokens["ranges"]) if "ranges" in before.tokens else None
         if old_sums is None:
             cleaned = by_month(cleaned_tickets(tickets, *TICKET_EXTRAS).withColumn(_RANGE, place))
@@ -340,7 +345,7 @@ class MartFolder:
             part = df.select(F.col(key).cast("bigint").alias("center_id"), _row_hash(sorted(df.columns), salt).alias("h"))
             rows = part if rows is None else rows.unionAll(part)
         sums, tokens["center_sums"] = self._stored(rows.groupBy("center_id").agg(*_hash_sums(F.col("h"))))
-        tokens["centers"] = _token(sums)
+        tokens |= _tokens({"centers": sums})
         old = self.spark.read.schema(sums.schema).parquet(before.tokens["center_sums"]) if "center_sums" in before.tokens else None
         return _differing(old, sums, "center_id")
 
