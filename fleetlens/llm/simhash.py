@@ -236,7 +236,7 @@ def _rooted(distinct: DataFrame, distance: int, group_limit: int) -> DataFrame:
 def first_rows(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(key) of one row of each class: the one with the smallest id, NULL ids last, and of those the smallest key.
 
-    ``key_col`` tells rows apart and must be written, so that it is the same wherever it is read.
+    ``key_col`` tells rows apart, and is the same wherever the table is read (see ``common.with_row_place``).
     """
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key_col).alias("key"))
     prints = cut(docs.select(row.alias("row"), fingerprint(F.col(text_col)).alias("print")), "simhash")
