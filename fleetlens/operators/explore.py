@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.filters import Filters, by_center, where
 from fleetlens.functions.text import col, label
+from fleetlens.operators.search import TextIndex
 from fleetlens.session import shared_folder
 from fleetlens.sources.tables import Tables
 
@@ -194,22 +195,31 @@ def top_values(centers: DataFrame, c: str, name: str, limit: int = 50) -> DataFr
     )
 
 
-def find_values(centers: DataFrame, c: str, name: str, query: str, also: str | None = None, limit: int = 50) -> DataFrame:
-    """Distinct values of a center attribute that contain ``query`` (or whose ``also`` column does)."""
+def find_values(centers: DataFrame | TextIndex, c: str, name: str, query: str, also: str | None = None, limit: int = 50) -> DataFrame:
+    """Distinct values of a center attribute that contain ``query`` (or whose ``also`` column does), from the rows or
+    from their index."""
     value = label(c, "")
-    hit = F.lower(value).contains(query.lower())
-    if also:
-        hit = hit | F.col(also).cast("string").contains(query.lower())
-    return centers.filter((value != "") & hit).select(value.alias(name)).distinct().orderBy(name).limit(limit)
+    if isinstance(centers, TextIndex):
+        found = centers.search(query, [c, also] if also else [c], min_length=1)
+    else:
+        hit = F.lower(value).contains(query.lower())
+        if also:
+            hit = hit | F.col(also).cast("string").contains(query.lower())
+        found = centers.filter(hit)
+    return found.filter(value != "").select(value.alias(name)).distinct().orderBy(name).limit(limit)
 
 
-def find_centers(centers: DataFrame, query: str = "", limit: int = 50) -> DataFrame:
-    """Centers whose name or id contains ``query``; a query under two characters lists by id."""
+def find_centers(centers: DataFrame | TextIndex, query: str = "", limit: int = 50) -> DataFrame:
+    """Centers whose name or id contains ``query``, from the rows or from their index; a query under two characters
+    lists by id."""
     ident = F.col("CenterID").cast("string")
-    df = centers.filter(F.col("CenterID").isNotNull())
-    if len(query) >= 2:
-        name = F.coalesce(F.lower(label("Centername", "")), F.lit(""))
-        df = df.filter(name.contains(query.lower()) | ident.contains(query.lower()))
+    if isinstance(centers, TextIndex):
+        df = centers.search(query, ["Centername", "CenterID"])
+    else:
+        df = centers
+        if len(query) >= 2:
+            df = df.filter(F.lower(label("Centername", "")).contains(query.lower()) | ident.contains(query.lower()))
+    df = df.filter(F.col("CenterID").isNotNull())
     return (
         df.groupBy("CenterID", "Centername").agg(F.lit(1).alias("_"))
         .orderBy("CenterID", F.col("Centername").asc_nulls_first())

@@ -16,6 +16,7 @@ from fleetlens.operators import geo, joins
 from fleetlens.operators import service as sv
 from fleetlens.operators import tickets as tk
 from fleetlens.operators import uptime as up
+from fleetlens.operators.search import center_index, service_index
 from fleetlens.plans.check_sql import (
     AS_OF, age_band, clean, is_open, location_key, named, segment, stamp, wait_band, whole,
 )
@@ -463,8 +464,22 @@ def _(t: Tables) -> DataFrame:
 SELECT ticket_id, contact_person_name FROM field_service
 WHERE LOWER(COALESCE(ticket_id, '')) LIKE '%contact 1%' OR LOWER(COALESCE(contact_person_name, '')) LIKE '%contact 1%'""")
 def _(t: Tables) -> DataFrame:
-    hit = contains_text(("ticket_id", "contact_person_name"), "CONTACT 1")
-    return where(t.service, hit).select("ticket_id", "contact_person_name")
+    found = service_index(t).search("CONTACT 1", ("ticket_id", "contact_person_name"))
+    return found.select("ticket_id", "contact_person_name")
+
+
+@query("X1_search_by_scan", """
+SELECT ticket_id, representative FROM field_service
+WHERE LOWER(COALESCE(ticket_id, '')) LIKE '%nt%' OR LOWER(COALESCE(representative, '')) LIKE '%nt%'""")
+def _(t: Tables) -> DataFrame:
+    return where(t.service, contains_text(("ticket_id", "representative"), "nT")).select("ticket_id", "representative")
+
+
+@query("X1_search_two_characters", """
+SELECT ticket_id, representative FROM field_service
+WHERE LOWER(COALESCE(ticket_id, '')) LIKE '%nt%' OR LOWER(COALESCE(representative, '')) LIKE '%nt%'""")
+def _(t: Tables) -> DataFrame:
+    return service_index(t).search("nT", ("ticket_id", "representative")).select("ticket_id", "representative")
 
 
 @query("X2_page", """
@@ -517,17 +532,17 @@ SELECT DISTINCT TRIM({column}) AS {name} FROM center_details WHERE TRIM({column}
 
 @query("X6_find_hubs", _find("HubName", "hub", "13", "OR CAST(HubID AS VARCHAR) LIKE '%13%'"))
 def _(t: Tables) -> DataFrame:
-    return ex.find_values(t.centers, "HubName", "hub", "13", also="HubID")
+    return ex.find_values(center_index(t), "HubName", "hub", "13", also="HubID")
 
 
 @query("X6_find_device_ids", _find("DeviceID", "device_id", "d1-0001"))
 def _(t: Tables) -> DataFrame:
-    return ex.find_values(t.centers, "DeviceID", "device_id", "D1-0001")
+    return ex.find_values(center_index(t), "DeviceID", "device_id", "D1-0001")
 
 
 @query("X6_find_mac_serials", _find("MacSerialID", "mac_serial", "m2-00001"))
 def _(t: Tables) -> DataFrame:
-    return ex.find_values(t.centers, "MacSerialID", "mac_serial", "m2-00001")
+    return ex.find_values(center_index(t), "MacSerialID", "mac_serial", "m2-00001")
 
 
 @query("X6_find_centers", """
@@ -535,4 +550,4 @@ SELECT CAST(CenterID AS VARCHAR) AS value, COALESCE(NULLIF(TRIM(Centername), '')
 FROM center_details WHERE LOWER(TRIM(Centername)) LIKE '%44%' OR CAST(CenterID AS VARCHAR) LIKE '%44%'
 GROUP BY CenterID, Centername ORDER BY CenterID, Centername NULLS FIRST LIMIT 50""")
 def _(t: Tables) -> DataFrame:
-    return ex.find_centers(t.centers, "44")
+    return ex.find_centers(center_index(t), "44")
