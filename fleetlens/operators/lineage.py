@@ -12,6 +12,7 @@ from fleetlens.functions import time as tm
 from fleetlens.functions.classify import center_type
 from fleetlens.functions.text import col, trimmed
 from fleetlens.operators.joins import left_join_spread
+from fleetlens.sources.bucketed import Bucketed
 
 
 def json_scalar(text: Column | str, key: str | None = None) -> Column:
@@ -214,16 +215,19 @@ def build_center_details(
 HEARTBEAT_FIELDS = ("BatteryLevel", "LastShutdown", "BatteryDischarging", "SpaceAvailable", "EcgCounter", "Retries", "Latency")
 
 
-def build_heartbeats(heartbeats: DataFrame, devices: DataFrame, centers: DataFrame) -> DataFrame:
-    """The heartbeat table: JSON fields as columns, timestamps on the shifted clock, the device's center."""
+def build_heartbeats(heartbeats: DataFrame | Bucketed, devices: DataFrame, centers: DataFrame) -> DataFrame:
+    """The heartbeat table: JSON fields as columns, timestamps on the shifted clock, the device's center.
+
+    Devices meet their centers first, so the heartbeats are joined once; bucketed by ``DeviceID`` they are not moved.
+    """
     listed = devices.select(
         F.col("deviceid").alias("DeviceID"), F.col("centerid").try_cast("bigint").alias("CenterID"),
         F.col("hardwareversion").alias("hardwareversion_devicestable"),
     ).filter("CenterID IS NOT NULL")
     seen = F.col("LastTimeStamp").try_cast("timestamp_ntz") + F.expr(f"INTERVAL {CLOCK_OFFSET_MINUTES} MINUTES")
+    placed = listed.join(centers.select("CenterID", "Centername", "HubID", "HubName"), "CenterID")
     return (
-        heartbeats.join(listed, "DeviceID")
-        .join(centers.select("CenterID", "Centername", "HubID", "HubName"), "CenterID")
+        _joined(heartbeats, placed, ["DeviceID"])
         .select(
             "CenterID", "Centername", "HubID", "HubName", "DeviceID", "IMSI", "CSQ", seen.alias("LastTimeStamp"),
             "ServiceProvider", "PreviousHBLatency", "UnsyncedData", "lastHeartbeatData",
@@ -242,12 +246,12 @@ MANAGER_COLUMNS = {
 
 
 def build_support_tickets(
-    tickets: DataFrame, centers: DataFrame, members: DataFrame, organizations: DataFrame, managers: DataFrame
+    tickets: DataFrame | Bucketed, centers: DataFrame, members: DataFrame, organizations: DataFrame, managers: DataFrame
 ) -> DataFrame:
     """Tickets, with all their own columns, beside their center, hub, organisation and account manager.
 
-    The small sides meet first, so the ticket table is joined once. A ticket's own column gives way to one of that
-    name from the other sides.
+    The small sides meet first, so the ticket table is joined once; bucketed by ``CenterID`` it is not moved. A ticket's
+    own column gives way to one of that name from the other sides.
     """
     orgs = members.join(organizations, "organization_id").select(
         F.col("member_id").try_cast("bigint").alias("HubID"), "organization_name"
@@ -267,8 +271,12 @@ def build_support_tickets(
         .join(people, "HubID", "left")
         .drop("HubID")
     )
-    added = {c.lower() for c in enriched.columns} - {"centerid"}
-    return tickets.select(*(c for c in tickets.columns if c.lower() not in added)).join(enriched, "CenterID")
+    names = tickets.read(centers.sparkSession).columns if isinstance(tickets, Bucketed) else tickets.columns
+    renamed = {c: f"_new_{c}" for c in enriched.columns if c != "CenterID"}
+    added = {c.lower() for c in renamed}
+    joined = _joined(tickets, enriched.withColumnsRenamed(renamed), ["CenterID"])
+    kept = [c for c in names if c in joined.columns and c.lower() not in added]
+    return joined.select("CenterID", *(c for c in kept if c != "CenterID"), *(F.col(new).alias(c) for c, new in renamed.items()))
 
 
 def numeric_order(rows: DataFrame, c: str) -> DataFrame:
@@ -276,13 +284,19 @@ def numeric_order(rows: DataFrame, c: str) -> DataFrame:
     return rows.orderBy(F.col(c).try_cast("bigint").desc_nulls_last(), F.col(c).asc_nulls_last())
 
 
-def build_register(issues: DataFrame, changelog: DataFrame) -> DataFrame:
+def build_register(issues: DataFrame, changelog: DataFrame | Bucketed) -> DataFrame:
     """Issues fanned out over their changes; an issue without any keeps one row.
 
     Issues with changes are joined by an inner join, which adaptive execution can split where one issue
-    holds very many changes; an outer join could not be split on that side.
+    holds very many changes; an outer join could not be split on that side. A changelog bucketed by both keys
+    is not moved: the issues go to its buckets, and only its distinct keys to the issues.
     """
     keys = ["project_key", "issue_key"]
-    changed = issues.join(changelog, keys)
-    unchanged = issues.join(changelog.select(*keys).distinct(), keys, "left_anti")
+    changes = changelog.read(issues.sparkSession).drop("_salt") if isinstance(changelog, Bucketed) else changelog
+    changed = _joined(changelog, issues, keys).select(*issues.columns, *(c for c in changes.columns if c not in keys))
+    unchanged = issues.join(changes.select(*keys).distinct(), keys, "left_anti")
     return changed.unionByName(unchanged, allowMissingColumns=True)
+
+
+def _joined(facts: DataFrame | Bucketed, small: DataFrame, keys: list[str]) -> DataFrame:
+    return facts.join(small.sparkSession, small) if isinstance(facts, Bucketed) else facts.join(small, keys)

@@ -69,8 +69,11 @@ class MartCatalog:
             made = build()
             (made.write.partitionBy(partition) if partition else made.write).parquet(found)
             if version:
-                rows = self.spark.read.schema(made.schema).parquet(found).count()
-                entry = self.spark.range(1).select(F.lit(found).alias("path"), F.lit(rows).alias("row_count"), F.current_timestamp().cast("string").alias("built"))
-                entry.write.mode("append").json(f"{self.folder}/entries/{name}/{version}")
-                _KNOWN[(f"{self.folder}/{name}", version)] = found
+                self.enter(name, version, found, self.spark.read.schema(made.schema).parquet(found).count())
         return self.spark.read.parquet(found)
+
+    def enter(self, name: str, version: str, path: str, rows: int) -> None:
+        """Record a complete build."""
+        entry = self.spark.range(1).select(F.lit(path).alias("path"), F.lit(rows).alias("row_count"), F.current_timestamp().cast("string").alias("built"))
+        entry.write.mode("append").json(f"{self.folder}/entries/{name}/{version}")
+        _KNOWN[(f"{self.folder}/{name}", version)] = path
