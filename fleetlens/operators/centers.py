@@ -15,6 +15,7 @@ from fleetlens.functions.text import blank_to_null, contains_text, label
 from fleetlens.operators import devices as dv
 from fleetlens.operators import uptime as up
 from fleetlens.operators.explore import empties_last, page_of, rank_counts
+from fleetlens.operators.sketches import bitmap_counts, bitmap_parts
 from fleetlens.operators.tickets import center_ticket_stats
 from fleetlens.sources.cleaned import center_dimension, one_row_per_center
 from fleetlens.sources.tables import Tables
@@ -80,27 +81,49 @@ def totals(tables: Tables, filters: Filters = Filters()) -> DataFrame:
     )
 
 
-def breakdown(tables: Tables, filters: Filters = Filters(), limit: int = 15) -> DataFrame:
-    """Centers and hubs by status and by segment, as one long table in one pass."""
+def _by_dimension(tables: Tables, filters: Filters) -> DataFrame:
     named = scope(tables, filters).select(
         label("Status", "(blank)").alias("status"), cl.segment_group("hub_master_segment").alias("segment"),
-        "CenterID", "HubID",
+        "CenterID", "HubID", F.col("deploymentdate").alias("day"),
     )
-    by_dimension = named.select(
+    return named.select(
         F.explode(F.create_map(F.lit("status"), "status", F.lit("segment"), "segment")).alias("dim", "k"),
-        "CenterID", "HubID",
+        "CenterID", "HubID", "day",
     )
-    counts = by_dimension.groupBy("dim", "k").agg(
-        F.countDistinct("CenterID").alias("centers"), F.countDistinct("HubID").alias("hubs")
-    )
-    # The labels are few; ranking them needs no large sort.
-    entity = F.explode(F.create_map(F.lit("centers"), "centers", F.lit("hubs"), "hubs")).alias("entity", "n")
-    long = counts.select("dim", "k", entity).filter("n > 0 OR entity = 'hubs'")
+
+
+def _ranked_labels(long: DataFrame, limit: int) -> DataFrame:
+    """The labels are few; ranking them needs no large sort."""
     place = F.row_number().over(Window.partitionBy("entity", "dim").orderBy(F.desc("n"), "k"))
     kept = (F.col("dim") == "status") | (F.col("_place") <= limit)
     return long.withColumn("_place", place).filter(kept).select("entity", "dim", "k", "n")
 
 
+def breakdown(tables: Tables, filters: Filters = Filters(), limit: int = 15) -> DataFrame:
+    """Centers and hubs by status and by segment, as one long table in one pass."""
+    counts = _by_dimension(tables, filters).groupBy("dim", "k").agg(
+        F.countDistinct("CenterID").alias("centers"), F.countDistinct("HubID").alias("hubs")
+    )
+    entity = F.explode(F.create_map(F.lit("centers"), "centers", F.lit("hubs"), "hubs")).alias("entity", "n")
+    return _ranked_labels(counts.select("dim", "k", entity).filter("n > 0 OR entity = 'hubs'"), limit)
+
+
+def breakdown_parts(tables: Tables, filters: Filters = Filters()) -> DataFrame:
+    """Bitmaps of the centers and hubs met under each label, by day of deployment; days merge exactly."""
+    rows = _by_dimension(tables, filters)
+    centers = bitmap_parts(rows.withColumnsRenamed({"CenterID": "centers", "HubID": "hubs"}), ["dim", "k"], ["centers", "hubs"], F.col("day"))
+    # A label without any hub has its place among the hubs too, with a count of 0.
+    met = rows.filter("CenterID IS NOT NULL OR HubID IS NULL").groupBy("dim", "k", F.col("day").alias("part")).agg(F.lit(0).alias("_"))
+    empty = F.bitmap_construct_agg(F.lit(None).cast("bigint"))
+    nobody = met.groupBy("dim", "k", "part").agg(empty.alias("bits")).select("dim", "k", "part", F.lit("hubs").alias("entity"), F.lit(1).cast("bigint").alias("bucket"), "bits")
+    return centers.unionByName(nobody)
+
+
+def breakdown_of(parts: DataFrame, limit: int = 15) -> DataFrame:
+    """The breakdown over the days whose ``parts`` are given."""
+    return _ranked_labels(bitmap_counts(parts, ["dim", "k"]), limit)
+
+
 def listing(
     tables: Tables, as_of: datetime, filters: Filters = Filters(), page: int = 0, size: int = 25
 ) -> DataFrame:

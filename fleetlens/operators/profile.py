@@ -12,6 +12,7 @@ from fleetlens.functions import time as tm
 from fleetlens.functions.text import digits_only
 from fleetlens.operators import tickets as tk
 from fleetlens.operators.explore import RAW_SOURCES, raw_rows, side_by_side
+from fleetlens.operators.sketches import HLL_BITS
 from fleetlens.sources.tables import Tables
 
 _NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType, T.BinaryType)
@@ -53,15 +54,47 @@ def column_profile(df: DataFrame, distinct: bool = True) -> DataFrame:
     )
 
 
-def top_values(df: DataFrame, most: int = 25) -> DataFrame:
+TRACKED = 1024  # items a frequent-items sketch holds; up to three quarters of that it is exact
+
+
+def frequent_items(df: DataFrame, columns: list[str], part: Column | None = None) -> DataFrame:
+    """(part, column_name, sketch, values) of the most frequent values of each column and of how many there are; both
+    sketches merge over parts."""
+    sketch = "approx_top_k_accumulate(CAST(`{c}` AS STRING), {n})"
+    each = F.array(*(
+        F.struct(
+            F.lit(c).alias("column_name"), F.expr(sketch.format(c=c, n=TRACKED)).alias("sketch"),
+            F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), F.lit(HLL_BITS)).alias("values"),
+        ) for c in columns
+    ))
+    keyed = df.groupBy((F.lit(0) if part is None else part).alias("part"))
+    return keyed.agg(each.alias("s")).select("part", F.inline("s"))
+
+
+def possible_categories(sketches: DataFrame, most: int = 25) -> DataFrame:
+    """Columns whose merged sketches show no more than ``most`` values. None that has 1 to ``most`` is missing: of so few
+    values the first sketch is exact and the second one's estimate nowhere near twice as high. A full first sketch may
+    show few of very many values; the second one tells."""
+    shown = F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {most + 2})")
+    merged = sketches.groupBy("column_name").agg(
+        F.size(F.filter(shown, lambda x: x["item"].isNotNull())).alias("n"), F.hll_sketch_estimate(F.hll_union_agg("values")).alias("values")
+    )
+    return merged.filter((F.col("n") <= most) & (F.col("values") <= 2 * most)).select("column_name")
+
+
+def top_values(df: DataFrame, most: int = 25, sketches: DataFrame | None = None) -> DataFrame:
     """Values and counts of every category column: one of unordered type with 1 to ``most`` distinct values.
 
-    Values are counted first; of each column only two more than ``most`` are looked at then, which shows exactly whether
-    it has more, so a column of very many values ends in the tasks that counted them.
+    A first pass keeps a sketch of frequent values per column, or takes stored ones; columns that show more than ``most``
+    leave there, and only values of the others are sent and counted, exactly.
     """
     names = [f.name for f in _profiled(df) if not _is_ordered(f)]
-    pairs = [F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").cast("string").alias("value")) for n in names]
-    counts = df.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.column_name", "p.value").agg(F.count("*").alias("n"))
+    if not names:
+        return df.limit(0).select(F.lit("").alias("column_name"), F.lit("").alias("value"), F.lit(0).cast("bigint").alias("n"))
+    wanted = possible_categories(frequent_items(df, names) if sketches is None else sketches, most).agg(F.collect_set("column_name")).scalar()
+    pairs = F.array(*(F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").cast("string").alias("value")) for n in names))
+    kept = F.filter(pairs, lambda p: F.array_contains(F.col("_wanted"), p["column_name"]))
+    counts = df.withColumn("_wanted", wanted).select(F.explode(kept).alias("p")).groupBy("p.column_name", "p.value").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), F.col("value").asc_nulls_first()))
     seen = counts.withColumn("_place", place).filter(F.col("_place") <= most + 2)
     known = seen.withColumn("_values", F.count("value").over(Window.partitionBy("column_name")))

@@ -82,16 +82,25 @@ def _six(entity: str, key: str, dim: str, expression: str, limit: str = "") -> s
   GROUP BY 3 ORDER BY n DESC, k {limit})"""
 
 
-@query("N6_breakdown", " UNION ALL ".join("SELECT * FROM " + s for s in (
+_BREAKDOWN_SQL = (" UNION ALL ".join("SELECT * FROM " + s for s in (
     _six("centers", "CenterID", "status", named("Status", "(blank)")),
     _six("hubs", "HubID", "status", named("Status", "(blank)")),
     _six("centers", "CenterID", "segment", segment("hub_master_segment"), "LIMIT 15"),
     _six("hubs", "HubID", "segment", segment("hub_master_segment"), "LIMIT 15"),
 )))
+
+
+@query("N6_breakdown", _BREAKDOWN_SQL)
 def _(t: Tables) -> DataFrame:
     return ct.breakdown(t)
 
 
+@query("N6_breakdown_merged", _BREAKDOWN_SQL)
+def _(t: Tables) -> DataFrame:
+    """The same from bitmaps kept per day of deployment."""
+    return ct.breakdown_of(ct.breakdown_parts(t))
+
+
 def _options(column: str, name: str) -> str:
     return f"SELECT DISTINCT TRIM({column}) AS {name} FROM center_details WHERE TRIM({column}) <> ''"
 

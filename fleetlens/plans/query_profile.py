@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from fleetlens.functions import time as tm
 from fleetlens.operators import profile as pf
+from fleetlens.operators import sketches
 from fleetlens.plans.query_tickets import WORKLIST_SQL
 from fleetlens.plans.registry import query
 from fleetlens.sources.proxy import TICKETS_AS_OF
@@ -31,9 +34,17 @@ def _(t: Tables) -> DataFrame:
     return pf.column_profile(t.service, distinct=False)
 
 
-@query("P1_column_profile_distinct")  # approximate distinct counts: engines differ in the sketch
+@query("P1_column_profile_distinct", "SELECT *, TRUE AS distinct_near FROM (" + " UNION ALL ".join(
+    [_column(c, False) for c in _SERVICE_TEXT] + [_column(c, True) for c in _SERVICE_ORDERED]
+) + ") p(column_name, type, row_count, null_pct, min_value, max_value)")
 def _(t: Tables) -> DataFrame:
-    return pf.column_profile(t.service)
+    """The profile, and whether the distinct values that merged sketches of all months estimate are within 5 % of the exact ones."""
+    profile = pf.column_profile(t.service, distinct=False)
+    names = [f.name for f in t.service.schema.fields]
+    estimates = sketches.distinct_estimates(sketches.distinct_parts(t.service, names, tm.month_number("created_on")))
+    exact = t.service.agg(F.array(*(F.struct(F.lit(c).alias("column_name"), F.countDistinct(F.col(c).cast("string")).alias("exact")) for c in names)).alias("s"))
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= 0.05 * F.col("exact")
+    return profile.join(estimates, "column_name").join(exact.select(F.inline("s")), "column_name").select(*profile.columns, near.alias("distinct_near"))
 
 
 @query("P2_top_values", "SELECT column_name, value, n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY n DESC, value NULLS FIRST) AS rn FROM (" + " UNION ALL ".join(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.operators import sketches
 from fleetlens.operators import uptime as up
 from fleetlens.plans.check_sql import stamp
 from fleetlens.plans.registry import query
@@ -30,6 +31,12 @@ def _(t: Tables) -> DataFrame:
     return up.island_downtime(up.merge_intervals(up.failure_intervals(t, TICKETS_AS_OF), "center_id"))
 
 
+@query("U3_downtime_by_words", """
+SELECT center_id, CAST(SUM(GREATEST(0, date_diff('hour', ss, se))) AS BIGINT) AS downtime_hrs FROM o_islands GROUP BY center_id""")
+def _(t: Tables) -> DataFrame:
+    return sketches.word_downtime(sketches.downtime_parts(up.failure_intervals(t, TICKETS_AS_OF)))
+
+
 @query("U4_births", f"SELECT center_id, {stamp('birth')} AS birth FROM o_births")
 def _(t: Tables) -> DataFrame:
     return up.births(t)
