@@ -12,7 +12,7 @@ from fleetlens.functions import time as tm
 from fleetlens.functions.text import digits_only
 from fleetlens.operators import tickets as tk
 from fleetlens.operators.explore import RAW_SOURCES, raw_rows, side_by_side
-from fleetlens.operators.sketches import HLL_BITS
+from fleetlens.operators.sketches import values_sketch
 from fleetlens.sources.tables import Tables
 
 _NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType, T.BinaryType)
@@ -64,7 +64,7 @@ def frequent_items(df: DataFrame, columns: list[str], part: Column | None = None
     each = F.array(*(
         F.struct(
             F.lit(c).alias("column_name"), F.expr(sketch.format(c=c, n=TRACKED)).alias("sketch"),
-            F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), F.lit(HLL_BITS)).alias("values"),
+            values_sketch(c).alias("values"),
         ) for c in columns
     ))
     keyed = df.groupBy((F.lit(0) if part is None else part).alias("part"))

@@ -25,9 +25,14 @@ WORD = 64  # hours
 # Distinct values of every column
 
 
+def values_sketch(c: str) -> Column:
+    """The sketch of a column's values. Sketches pass over empty text, which is a value here, so all are marked."""
+    return F.hll_sketch_agg(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit(HLL_BITS))
+
+
 def distinct_parts(df: DataFrame, columns: Sequence[str], part: Column) -> DataFrame:
     """(part, column_name, sketch) from one pass over the rows."""
-    sketches = F.array(*(F.struct(F.lit(c).alias("column_name"), F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), F.lit(HLL_BITS)).alias("sketch")) for c in columns))
+    sketches = F.array(*(F.struct(F.lit(c).alias("column_name"), values_sketch(c).alias("sketch")) for c in columns))
     return df.groupBy(part.alias("part")).agg(sketches.alias("s")).select("part", F.inline("s"))
 
 

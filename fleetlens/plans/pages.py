@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.filters import Filters
+from fleetlens.filters import Filters, where
 from fleetlens.functions.classify import segment_group
 from fleetlens.operators import centers as ct
 from fleetlens.operators import devices as dv
@@ -128,3 +131,29 @@ def center_detail(t: Tables, as_of: datetime, center_id: int) -> Page:
         "all_tickets": tk.center_tickets(t, center_id),
         "assets": dv.center_devices(t, as_of, center_id),
     }
+
+
+def section_health(sections: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(section, row_count, ok) of each section; one that cannot be put together is reported, without a count, beside the
+    others. All counts are one query."""
+    report = None
+    for name, make in sections.items():
+        try:
+            counted = make().agg(F.count("*").alias("row_count"))
+        except PySparkException:
+            counted = None
+        spark = SparkSession.active()
+        row = spark.range(1).select(F.lit(None).cast("bigint").alias("row_count")) if counted is None else counted
+        row = row.select(F.lit(name).alias("section"), "row_count", F.lit(counted is not None).alias("ok"))
+        report = row if report is None else report.unionAll(row)
+    return report
+
+
+def health(t: Tables, as_of: datetime, filters: Filters, mart: DataFrame, located: DataFrame) -> DataFrame:
+    """Every section of the dashboard, the center mart, the map's centers and those still without a place, by rows."""
+    page = dashboard(t, as_of, filters, mart)
+    sections: dict[str, Callable[[], DataFrame]] = {name: lambda df=df: df for name, df in page.items()}
+    return section_health(sections | {
+        "center_360": lambda: where(mart, filters.center_row()), "map_points": lambda: geo.map_points(located, None, filters),
+        "unlocated_centers": lambda: where(located, filters.center_attributes()).filter("lat IS NULL"),
+    })

@@ -468,18 +468,21 @@ def _(t: Tables) -> DataFrame:
     return found.select("ticket_id", "contact_person_name")
 
 
-@query("X1_search_by_scan", """
-SELECT ticket_id, representative FROM field_service
-WHERE LOWER(COALESCE(ticket_id, '')) LIKE '%nt%' OR LOWER(COALESCE(representative, '')) LIKE '%nt%'""")
+_TWO = "SELECT ticket_id, contact_person_name FROM field_service WHERE LOWER(COALESCE(ticket_id, '')) LIKE '%t9%' OR LOWER(COALESCE(contact_person_name, '')) LIKE '%t9%' OR LOWER(COALESCE(ticket_id, '')) LIKE '%99%'"
+
+
+@query("X1_search_by_scan", _TWO)
 def _(t: Tables) -> DataFrame:
-    return where(t.service, contains_text(("ticket_id", "representative"), "nT")).select("ticket_id", "representative")
+    fields = ("ticket_id", "contact_person_name")
+    return where(t.service, contains_text(fields, "T9") | contains_text(("ticket_id",), "99")).select(*fields)
 
 
 @query("X1_search_two_characters", """
-SELECT ticket_id, representative FROM field_service
-WHERE LOWER(COALESCE(ticket_id, '')) LIKE '%nt%' OR LOWER(COALESCE(representative, '')) LIKE '%nt%'""")
+SELECT ticket_id, contact_person_name FROM field_service
+WHERE LOWER(COALESCE(ticket_id, '')) LIKE '%99%' OR LOWER(COALESCE(contact_person_name, '')) LIKE '%99%'""")
 def _(t: Tables) -> DataFrame:
-    return service_index(t).search("nT", ("ticket_id", "representative")).select("ticket_id", "representative")
+    fields = ("ticket_id", "contact_person_name")
+    return service_index(t).search("99", fields).select(*fields)
 
 
 @query("X2_page", """

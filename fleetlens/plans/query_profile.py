@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.filters import Filters
 from fleetlens.functions import time as tm
 from fleetlens.operators import profile as pf
 from fleetlens.operators import sketches
+from fleetlens.plans import pages
+from fleetlens.plans.marts import center_mart, located_mart, with_ticket_marts
 from fleetlens.plans.query_tickets import WORKLIST_SQL
-from fleetlens.plans.registry import query
-from fleetlens.sources.proxy import TICKETS_AS_OF
+from fleetlens.plans.registry import QUERIES, query
+from fleetlens.sources.proxy import EVENTS_AS_OF, TICKETS_AS_OF
 from fleetlens.sources.tables import Tables
 
 _SERVICE_TEXT = (
@@ -148,3 +151,30 @@ SELECT 'center_details' AS source, COUNT(*) AS row_count FROM center_details UNI
 UNION ALL SELECT 'support_tickets', COUNT(*) FROM support_tickets UNION ALL SELECT 'device_register', COUNT(*) FROM device_register""")
 def _(t: Tables) -> DataFrame:
     return pf.source_health(t)
+
+
+# Section of the dashboard -> the query whose check says how many rows it has.
+_SECTIONS = {
+    "reliability": "U7_reliability", "uptime_fleet": "U8_fleet_uptime", "asset_health": "U9_health_watchlist", "center_kpis": "N1_center_kpis",
+    "geo": "N2_centers_by_state", "geo_customers": "N3_centers_by_state_or_city", "deployment_age": "N4_deployment_age", "segments": "N5_centers_by_segment",
+    "ticket_kpis": "T2_ticket_kpis", "sla_kpis": "T3_sla_kpis", "sla_by_type": "T4_breach_by_category", "sla_risk": "T5_open_risk_by_category",
+    "ticket_trend": "T7_monthly_trend", "open_by_status": "T8_open_by_status", "ticket_categories": "T9_recent_categories", "open_age": "T10_open_age_bands",
+    "ticket_segments": "T11_recent_segments", "segment_options": "N7_segment_options", "state_options": "N7_state_options", "city_options": "N7_city_options",
+    "country_options": "N7_country_options", "machine_type_options": "N7_machine_type_options", "device_type_options": "N7_device_type_options",
+    "device_status_options": "N7_device_status_options", "assets": "D4_status_and_type_counts", "cohort_reliability": "D5_batch_cohorts", "fleet": "D3_fleet_stats",
+    "fleet_status": "D3_fleet_status", "fleet_age_bands": "D3_fleet_age_bands", "center_360": "N11_center_360", "map_points": "G4_map_points",
+}
+
+
+def _counted(section: str, sql: str) -> str:
+    return f"SELECT '{section}' AS section, (SELECT COUNT(*) FROM ({sql})) AS row_count, TRUE AS ok"
+
+
+def section_health_sql() -> str:
+    known = [_counted(section, QUERIES[name].sql) for section, name in _SECTIONS.items()]
+    return " UNION ALL ".join([*known, _counted("unlocated_centers", "SELECT * FROM o_placed WHERE lat IS NULL")])
+
+
+def section_health(t: Tables) -> DataFrame:
+    marts = with_ticket_marts(t)
+    return pages.health(marts, TICKETS_AS_OF, Filters(), center_mart(t, TICKETS_AS_OF, EVENTS_AS_OF), located_mart(t, TICKETS_AS_OF, EVENTS_AS_OF))

@@ -65,6 +65,9 @@ def load() -> dict[str, Query]:
         query_tickets, query_uptime,
     )
 
+    if "P8_section_health" not in QUERIES:  # its check is made of the others'
+        query("P8_section_health", query_profile.section_health_sql())(query_profile.section_health)
+
     def place(name: str) -> tuple[str, int, str]:
         letter, number = re.match(r"([A-Z])(\d+)", name).groups()
         return letter, int(number), name

@@ -38,12 +38,12 @@ def test_downtime_words(spark):
 
 
 def test_distinct_sketches_merge(spark):
-    df = spark.range(60_000).selectExpr("id", "IF(id % 3 = 0, 7, id % 9000) AS hot", "CAST(NULL AS STRING) AS none", "id % 11 AS few", "id % 13 AS part")
-    names = ["id", "hot", "none", "few"]
+    df = spark.range(60_000).selectExpr("id", "IF(id % 3 = 0, 7, id % 9000) AS hot", "CAST(NULL AS STRING) AS none", "id % 11 AS few", "IF(id % 2 = 0, '', 'x') AS blank", "id % 13 AS part")
+    names = ["id", "hot", "none", "few", "blank"]
     parts = sk.distinct_parts(df, names, F.col("part"))
-    assert parts.count() == 13 * 4
+    assert parts.count() == 13 * 5
     got = dict(rows(sk.distinct_estimates(parts)))
-    assert got["none"] == 0 and got["few"] == 11 and abs(got["id"] - 60_000) <= 3000 and abs(got["hot"] - 6001) <= 300
+    assert got["none"] == 0 and got["few"] == 11 and got["blank"] == 2 and abs(got["id"] - 60_000) <= 3000 and abs(got["hot"] - 6001) <= 300
     some = dict(rows(sk.distinct_estimates(parts.filter("part < 3"))))
     exact = df.filter("part < 3").select("hot").distinct().count()
     assert abs(some["hot"] - exact) <= 0.05 * exact
