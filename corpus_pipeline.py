@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import decontaminate, mixing, quality_classifier, secret_scan, simhash
-from fleetlens.llm.common import cut, unused
+from fleetlens.llm.common import cut, keep_rows, unused, with_row_place
 from fleetlens.llm.queries import KEEP_FROM, graded, table
 
 
@@ -25,10 +25,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies one row: the smallest id's, NULL ids last; of repeated ids the first as written."""
-    row = unused(docs, "_row")
-    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-keyed")
-    first = simhash.first_rows(keyed, row).withColumnRenamed("key", row)
-    return keyed.join(first, row, "left_semi").select(*docs.columns)
+    place = unused(docs, "_place")
+    placed = with_row_place(docs, place)
+    first = simhash.first_rows(placed, place)
+    return keep_rows(placed, place, first.select("key.file", "key.row")).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
