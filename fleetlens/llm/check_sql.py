@@ -64,17 +64,10 @@ share AS (
            sum(target) OVER () + rest AS all_rest FROM share)
   WHERE round < 60 AND rest > 1e-9),
 final AS (SELECT rank, n, target FROM share WHERE round = (SELECT max(round) FROM share)),
-facts AS (SELECT sum(target) AS total, min(target) FILTER (target > 0) AS least FROM final),
-unit AS (SELECT total, least(4096, greatest(1, floor((least + 1e-6) / 50), floor((SELECT avg(size) FROM d WHERE size > 0) / 16)))::BIGINT AS block FROM facts),
-arcs AS (SELECT rank, sum(target) OVER (ORDER BY rank) / (SELECT total FROM unit) AS high, max(rank) OVER () AS last FROM final WHERE target > 0),
-slots AS (SELECT unnest(range(floor((SELECT total / block FROM unit) + 0.5)::BIGINT)) AS slot),
-points AS (SELECT slot, (slot * 1327217885 % 2147483648) / 2147483648.0::DOUBLE AS u FROM slots),
-drawn AS (SELECT slot, (SELECT min(rank) FROM arcs WHERE u < high OR rank = last) AS rank FROM points),
-runs AS (SELECT rank, count(*) AS blocks FROM drawn GROUP BY 1),
 stream AS (
   SELECT doc_id, rank, size, sum(size) OVER (PARTITION BY rank ORDER BY pass, md5('0:' || pass || ':' || doc_id)) - size AS place
   FROM d JOIN weighed ON d.source IS NOT DISTINCT FROM weighed.source, (VALUES (0), (1)) p(pass) WHERE size > 0),
-taken AS (SELECT doc_id, sum(greatest(0, least(place + size, blocks * (SELECT block FROM unit)) - place)) AS taken FROM stream JOIN runs USING (rank) GROUP BY 1)
+taken AS (SELECT doc_id, sum(greatest(0, least(place + size, floor(target + 0.499999)::BIGINT) - place)) AS taken FROM stream JOIN final USING (rank) GROUP BY 1)
 SELECT doc_id, size, n::BIGINT AS source_size, round(target, 6) AS target, coalesce(taken, 0)::BIGINT AS taken
 FROM d JOIN weighed ON d.source IS NOT DISTINCT FROM weighed.source JOIN (SELECT rank, target FROM final) USING (rank) LEFT JOIN taken USING (doc_id)
 """

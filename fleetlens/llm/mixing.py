@@ -5,6 +5,10 @@ stretch of the schedule holds the sources in proportion. The k-th slot of a sour
 from the source's shuffled stream: its documents in hash order, once as they are and once more in another order. The
 stream ends after two passes, so no document is taken more than twice over.
 
+The schedule draws a source's slots in proportion, but whole blocks and the points' discrepancy would leave small sources
+short or over. So each source has as many slots as its own target fills: slots drawn beyond them are left out, missing
+ones follow at the schedule's end, and the last block is cut where the target is met, to a word.
+
 No source is gathered in one task: positions are prefix sums over hash buckets within a source first, then inside
 each bucket; slots are ranked the same way over ranges of the schedule.
 
@@ -35,7 +39,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 @dataclass(frozen=True)
 class Mix:
-    """``sizes``: key, id, source, size; ``targets``: source, rank, weight, source_size, target; ``schedule``: slot, source,
+    """``sizes``: key, id, source, size; ``targets``: source, rank, weight, source_size, target, words; ``schedule``: slot, source,
     block; ``pieces``: key, block, pass, start, words (of the document); ``taken``: key, taken."""
 
     sizes: DataFrame
@@ -65,7 +69,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     # The first source that the level before it does not fill sets the level of all after it.
     settled = leveled.withColumn("final", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "rank", "level"))).over(everything)["level"])
     target = F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight")))
-    return settled.select("source", "rank", "weight", "source_size", target.alias("target"))
+    # Whole words; just short of a half, where rounding would hang on the last bit of the sums above.
+    words = F.floor(F.col("target") + 0.499999)
+    return settled.select("source", "rank", "weight", "source_size", target.alias("target")).withColumn("words", words)
 
 
 def _offsets(rows: DataFrame, key: str, bucket: str, amount: Column) -> DataFrame:
@@ -93,24 +99,35 @@ def schedule_slots(spark, targets: DataFrame, slots: int) -> DataFrame:
     return ranked.select("slot", "rank", (F.col("offset") + F.col("n")).alias("block"))
 
 
+def wanted_slots(drawn: DataFrame, targets: DataFrame, slots: int, block: int) -> DataFrame:
+    """The slots that targets fill: those drawn, without what is beyond a target, and those that were not drawn."""
+    wanted = targets.filter("words > 0").select("rank", F.ceil(F.col("words") / block).alias("blocks"))
+    kept = drawn.join(wanted, "rank").filter("block < blocks").select("slot", "rank", "block")
+    have = drawn.groupBy("rank").agg(F.count(F.lit(1)).alias("have"))
+    short = wanted.join(have, "rank", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter("have < blocks")
+    more = short.select("rank", "have", F.explode(F.sequence(F.col("have"), F.col("blocks") - 1)).alias("block"))
+    sources = targets.agg(F.count(F.lit(1))).scalar()
+    return kept.unionAll(more.select((F.lit(slots) + (F.col("block") - F.col("have")) * sources + F.col("rank")).alias("slot"), "rank", "block"))
+
+
 def shuffled_stream(sizes: DataFrame, passes: int = PASSES, digits: int = DIGITS, seed: int = 0) -> DataFrame:
-    """(rank, pass, key, size, at): where each document starts in its source's stream of ``passes`` shuffled passes."""
-    again = sizes.filter("size > 0").select("rank", "key", "id", "size", "source_size", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
+    """(rank, pass, key, size, upto, at): where each document starts in its source's stream of ``passes`` shuffled passes."""
+    again = sizes.filter("size > 0").select("rank", "key", "id", "size", "upto", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
     mixed = again.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), "pass", F.coalesce(F.col("id").cast("string"), F.lit("")))))
     mixed = mixed.withColumn("group", F.concat_ws(":", "pass", F.substring("h", 1, digits)))
     placed = _offsets(mixed, "rank", "group", F.col("size"))
     inside = Window.partitionBy("rank", "group").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, -1)
     located = mixed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(placed, ["rank", "group"])
-    return located.select("rank", "pass", "key", "size", (F.col("offset") + F.col("inside")).alias("at"))
+    return located.select("rank", "pass", "key", "size", "upto", (F.col("offset") + F.col("inside")).alias("at"))
 
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS,
     share: float = SHARE, passes: int = PASSES, block: int | None = None, digits: int = DIGITS, seed: int = 0,
 ) -> Mix:
-    """The mix of all documents. ``block`` is its words per slot; by default a fiftieth of the smallest source, so that rounding
-    to whole blocks stays near the targets, but at most 4,096 words and at least a sixteenth of the mean document, which
-    keeps slots and pieces in proportion to the documents."""
+    """The mix of all documents. ``block`` is its words per slot; by default a fiftieth of the smallest target, but at most
+    4,096 words and at least a sixteenth of the mean document, which keeps slots and pieces in proportion to the documents.
+    What a source takes does not hang on it."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("key", F.monotonically_increasing_id()), "mix-sizes")
@@ -122,13 +139,14 @@ def mix(
         mean = sizes.agg(F.avg(F.when(F.col("size") > 0, F.col("size")))).first()[0] or 1
         block = int(min(4096, max(1, (facts["least"] or 1) // 50, mean // 16)))
     slots = int((facts["all"] or 0) / block + 0.5)
-    schedule = schedule_slots(spark, targets, slots)
-    ranked = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select("key", "id", "size", "rank", "source_size")
+    schedule = wanted_slots(schedule_slots(spark, targets, slots), targets, slots, block)
+    ranked = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select("key", "id", "size", "rank", targets["words"].alias("upto"))
     stream = shuffled_stream(ranked, passes, digits, seed)
-    touched = F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))
-    pieces = stream.withColumn("block", F.explode(touched))
+    last = F.least(F.col("at") + F.col("size"), "upto")  # the stream is used up to the source's target
+    touched = F.sequence(F.floor(F.col("at") / block), F.floor((F.col("last") - 1) / block))
+    pieces = stream.filter("at < upto").withColumn("last", last).withColumn("block", F.explode(touched))
     start = F.greatest(F.col("at"), F.col("block") * block)
-    end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
+    end = F.least(F.col("last"), (F.col("block") + 1) * block)
     pieces = pieces.select("rank", "block", "pass", "key", (start - F.col("at")).alias("start"), (end - start).alias("words"))
     used = pieces.join(schedule, ["rank", "block"])
     taken = used.groupBy("key").agg(F.sum("words").alias("taken"))
