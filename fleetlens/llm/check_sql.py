@@ -100,11 +100,11 @@ p(phrase, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), ([
 starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM w WHERE contains({lower("t")}, 'license') OR contains({lower("t")}, 'cc')),
 places AS (SELECT doc_id, k - 1 AS k, label FROM starts JOIN p ON ws[k] = phrase[1] AND ws[k : k + len(phrase) - 1] = phrase),
 base AS (SELECT doc_id, count(*) AS n, min(k) AS first, max(k) AS last, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY 1),
-tpl AS (SELECT label, list_distinct(string_split(text, ' ')) AS words FROM (VALUES {_TEMPLATES}) v(label, text)),
-clean AS (SELECT label, list_distinct(regexp_extract_all(array_to_string(words, ' '), '{ALNUM}')) AS words FROM tpl),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(line), '{ALNUM}')) AS words FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-met AS (SELECT doc_id, label, len(list_intersect(blocks.words, clean.words)) / len(clean.words)::DOUBLE AS c, len(clean.words) AS size,
-               len(list_intersect(blocks.words, clean.words)) AS common FROM blocks, clean WHERE len(blocks.words) >= 0.8 * len(clean.words)),
+tpl AS (SELECT label, regexp_extract_all(text, '{ALNUM}') AS ws FROM (VALUES {_TEMPLATES}) v(label, text)),
+clean AS (SELECT label, list_distinct(ws) AS words, 5 * ceil(2 * len(ws) / 5)::BIGINT AS width FROM tpl),
+near AS (SELECT doc_id, ws, label, words, width FROM w, clean WHERE 10 * len(list_intersect(list_distinct(ws), words)) >= 8 * len(words)),
+blocks AS (SELECT doc_id, label, words, list_distinct(ws[k : k + width - 1]) AS held FROM (SELECT *, unnest(range(1, len(ws) + 1, 5)) AS k FROM near)),
+met AS (SELECT doc_id, label, len(list_intersect(held, words)) / len(words)::DOUBLE AS c, len(words) AS size, len(list_intersect(held, words)) AS common FROM blocks),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM met WHERE 10 * common >= 8 * size GROUP BY 1)
 SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, first AS first_word, last AS last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,

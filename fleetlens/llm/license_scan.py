@@ -1,10 +1,12 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block (a line) matches a template if it holds at least ``threshold`` of the template's distinct words. Words are
-ordered by how many documents hold them, rarest first. With an overlap of o needed out of t words, one of the first
-t - o + 1 words of the template must be in the block (prefix filter); blocks with fewer than o of the words that occur
-in templates are out (length filter); and where the first shared word stands, enough words must be left on either side
-(positional filter). What is left is compared in full, so no match is missed.
+A block is a window of words, over line ends: one starts every ``CHUNK`` words and is at least twice as long as the
+template it is compared with, so a passage as long as the template lies in one block, however it is wrapped. A block
+matches a template if it holds at least ``threshold`` of the template's distinct words. Words are ordered by how many
+documents hold them, rarest first. With an overlap of o needed out of t words, one of the first t - o + 1 words of the
+template must be in the block (prefix filter); blocks with fewer than o of the words that occur in templates are out
+(length filter; documents first, so that blocks are formed of few); and where the first shared word stands, enough words
+must be left on either side (positional filter). What is left is compared in full, so no match is missed.
 
 The templates are given by the caller and bounded (``max_template_words`` in all), so their word counts and their prefix
 index are small whatever the corpus; the texts are read once.
@@ -16,12 +18,12 @@ other. No templates, no phrases or an empty table give no labels or no rows. Onl
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import cut
+from fleetlens.llm.common import ascii_lower, cut
 
 GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
 WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
@@ -42,6 +44,7 @@ TEMPLATES = (
     ("cc-by", "available under a creative commons cc by license"),
 )
 THRESHOLD = 0.8
+CHUNK = 5  # words from one block's start to the next one's
 
 
 def words_of(text: str) -> list[str]:
@@ -72,27 +75,59 @@ def phrase_columns(text: Column, phrases: Mapping[str, str]) -> dict[str, Column
     }
 
 
-def scan_texts(docs: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str], least_overlap: int, id_col: str, text_col: str) -> DataFrame:
-    """One pass over the texts, written: phrase columns, the template words of each text, and those of each block that
-    has enough of them (length filter)."""
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased. Only of two other characters does lower() make ASCII letters."""
+    return F.when(text.contains("\u212a") | text.contains("\u0130"), ascii_lower(text)).otherwise(F.lower(text))
+
+
+def span_of(template: str) -> int:
+    """Chunks in a block for a template: twice its words at least."""
+    return -(-2 * len([w for w in words_of(template) if w]) // CHUNK)
+
+
+def scan_texts(docs: DataFrame, phrases: Mapping[str, str], sets: Sequence[tuple[set[str], int]], id_col: str, text_col: str) -> DataFrame:
+    """One pass over the texts, written: phrase columns, the template words of each text (``present``) and, of texts
+    that have enough of them for one of ``sets`` (words, how many are needed), those of each chunk of words."""
     text = F.coalesce(F.col("_text"), F.lit(""))
+    vocabulary = sorted(set().union(*(ws for ws, _ in sets)))
     known = F.array(*(F.lit(w) for w in vocabulary)) if vocabulary else F.array().cast("array<string>")
-    blocks = F.transform(F.split(F.lower(text), "\n", -1), lambda line: F.array_intersect(F.regexp_extract_all(line, F.lit(WORD + "+"), F.lit(0)), known))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     if vocabulary:
-        base = base.withColumn("_blocks", blocks)
+        pieces = F.regexp_extract_all(lowered(text), F.lit(f"(?:{WORD}++{GAP}*+){{1,{CHUNK}}}+"), F.lit(0))
+        words = F.transform(pieces, lambda piece: F.array_intersect(F.regexp_extract_all(piece, F.lit(WORD + "+"), F.lit(0)), known))
     else:
-        base = base.withColumn("_blocks", F.array().cast("array<array<string>>"))
+        words = F.array().cast("array<array<string>>")
+    base = base.withColumn("_chunks", words)
     columns = phrase_columns(text, phrases) if phrases else {
         "n_base": F.lit(0).cast("long"), "first_word": F.lit(None).cast("long"), "last_word": F.lit(None).cast("long"), "base_labels": F.array().cast("array<string>"),
     }
     scanned = base.select(
         "id", F.regexp_count(text, F.lit(WORD + "+")).cast("long").alias("n_words"), *(c.alias(n) for n, c in columns.items()),
-        F.array_distinct(F.flatten("_blocks")).alias("present"), F.filter("_blocks", lambda b: F.size(b) >= least_overlap).alias("blocks"),
+        F.array_distinct(F.flatten("_chunks")).alias("present"), "_chunks",
     )
+    enough = F.lit(False)
+    for ws, need in sets:
+        enough = enough | (F.size(F.array_intersect("present", F.array(*(F.lit(w) for w in sorted(ws))))) >= need)
+    scanned = scanned.withColumn("chunks", F.when(enough, F.col("_chunks"))).drop("_chunks")
     return cut(scanned.withColumn("row", F.monotonically_increasing_id()), "license-scan")
 
 
+def text_blocks(scanned: DataFrame, spans: Mapping[int, int]) -> DataFrame:
+    """(row, span, block, found): the template words of each block of ``span`` chunks that has enough of them."""
+    none = F.array().cast("array<string>")
+    rows = scanned.filter(F.size("chunks") > 0)
+
+    def block_at(span: int) -> Callable[[Column], Column]:
+        return lambda i: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda j: F.coalesce(F.get("chunks", i + j), none))))
+
+    every = None
+    for span, least in sorted(spans.items()):
+        made = F.transform(F.sequence(F.lit(0), F.size("chunks") - 1), block_at(span))
+        part = rows.select("row", F.lit(span).alias("span"), F.posexplode(made).alias("block", "found")).filter(F.size("found") >= least)
+        every = part if every is None else every.unionAll(part)
+    return every
+
+
 def similar_blocks(scanned: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
     """(row, block, label, containment) of every block and template at or above the threshold."""
     spark = scanned.sparkSession
@@ -104,13 +139,16 @@ def similar_blocks(scanned: DataFrame, templates: Sequence[tuple[str, str]], thr
     index = []
     for n, (label, ws) in enumerate(sets):
         need = math.ceil(threshold * len(ws) - 1e-9)
-        index += [(w, n, label, place, len(ws), need, ws) for place, w in enumerate(ws[: len(ws) - need + 1])]
-    prefixes = spark.createDataFrame(index, "token string, template int, label string, t_place int, t_size int, need int, words array<string>")
+        index += [(w, span_of(templates[n][1]), n, label, place, len(ws), need, ws) for place, w in enumerate(ws[: len(ws) - need + 1])]
+    prefixes = spark.createDataFrame(index, "token string, span int, template int, label string, t_place int, t_size int, need int, words array<string>")
     ranks = F.create_map(*(F.lit(x) for w, i in rank.items() for x in (w, i)))
-    blocks = scanned.select("row", F.posexplode("blocks").alias("block", "found"))
+    spans: dict[int, int] = {}
+    for _, span, _, _, _, _, need, _ in index:
+        spans[span] = min(need, spans.get(span, need))
+    blocks = text_blocks(scanned, spans)
     ordered = blocks.withColumn("found", F.transform(F.array_sort(F.transform("found", lambda w: F.struct(ranks[w].alias("rank"), w.alias("token")))), lambda s: s["token"]))
-    probes = ordered.select("row", "block", "found", F.posexplode("found").alias("b_place", "token"))
-    met = probes.join(F.broadcast(prefixes), "token")  # bounded by the templates
+    probes = ordered.select("row", "span", "block", "found", F.posexplode("found").alias("b_place", "token"))
+    met = probes.join(F.broadcast(prefixes), ["token", "span"])  # bounded by the templates
     # The first shared word of a pair in the common order; what can still follow bounds the overlap.
     first = met.groupBy("row", "block", "template").agg(F.min_by(F.struct("found", "label", "b_place", "t_place", "t_size", "need", "words"), "b_place").alias("m")).select("row", "block", "m.*")
     open_pairs = first.filter(F.least(F.col("t_size") - F.col("t_place"), F.size("found") - F.col("b_place")) >= F.col("need"))
@@ -129,9 +167,8 @@ def license_scan(
         raise ValueError("too many template words for a broadcast index; scan with parts of the templates and unite the labels")
     if not 0 < threshold <= 1 or not all(sets):
         raise ValueError("the threshold is a share above 0, and templates have words")
-    least = min((math.ceil(threshold * len(s) - 1e-9) for s in sets), default=1)
-    scanned = scan_texts(docs, phrases, sorted(set().union(*sets)), least, id_col, text_col)
-    joined = scanned.drop("present", "blocks")
+    scanned = scan_texts(docs, phrases, [(s, math.ceil(threshold * len(s) - 1e-9)) for s in sets], id_col, text_col)
+    joined = scanned.drop("present", "chunks")
     if not sets:
         return joined.select("row", "id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.col("base_labels").alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0).alias("score"))
     matches = similar_blocks(scanned, templates, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
