@@ -25,7 +25,7 @@ rep AS (SELECT doc_id, count(*) AS n_rep FROM (SELECT DISTINCT doc_id, unnest(ra
 norm AS (SELECT doc_id, source, t, translate(array_to_string(lw, ' '), '{UPPER}0123456789', '{LOWER}0000000000') AS line, len(lw) AS n FROM real),
 freq AS (SELECT source, line, count(DISTINCT t) AS n_docs FROM norm GROUP BY ALL),
 host AS (SELECT source, count(DISTINCT t) AS n_host FROM d GROUP BY 1),
-bad AS (SELECT f.source, f.line FROM freq f JOIN host h ON f.source IS NOT DISTINCT FROM h.source WHERE n_docs > 20 AND n_docs > 0.05 * n_host),
+bad AS (SELECT f.source, f.line FROM freq f JOIN host h ON f.source IS NOT DISTINCT FROM h.source WHERE n_docs > 20 AND n_docs > least(0.05 * n_host, 1000)),
 gone AS (SELECT doc_id, sum(n) AS n FROM norm JOIN bad ON norm.source IS NOT DISTINCT FROM bad.source AND norm.line = bad.line GROUP BY 1),
 base AS (
   SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
