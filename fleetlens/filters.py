@@ -168,9 +168,12 @@ DEFAULT_FILTERS = Filters(
 
 
 def by_center(facts: DataFrame, tables: Tables, filters: Filters) -> DataFrame:
-    """Keep fact rows whose center passes the center attributes; a no-op without such a filter."""
+    """Keep fact rows whose center passes the center attributes; a no-op without such a filter.
+
+    A semi join takes each row once however often its center is listed. The centers are left as a filtered scan, without
+    a distinct, so that large facts are thinned by a runtime Bloom filter of the passing ids before their shuffle.
+    """
     condition = filters.center()
     if condition is None:
         return facts
-    passing = tables.centers.filter(condition).select("CenterID").distinct()
-    return facts.join(passing, "CenterID", "left_semi")
+    return facts.join(tables.centers.filter(condition).select("CenterID"), "CenterID", "left_semi")

@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Facts of this size are thinned by a Bloom filter of the keys a filtered side has left, up to that size of the side.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "256m",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "64m",
     # Recording the Python line of every column costs several driver round trips each.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
