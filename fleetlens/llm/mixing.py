@@ -139,7 +139,8 @@ def mix(
         mean = sizes.agg(F.avg(F.when(F.col("size") > 0, F.col("size")))).first()[0] or 1
         block = int(min(4096, max(1, (facts["least"] or 1) // 50, mean // 16)))
     slots = int((facts["all"] or 0) / block + 0.5)
-    schedule = wanted_slots(schedule_slots(spark, targets, slots), targets, slots, block)
+    # Written in two steps: what is drawn is used twice, and the plan of the whole mix stays small on the driver.
+    schedule = cut(wanted_slots(cut(schedule_slots(spark, targets, slots), "mix-drawn"), targets, slots, block), "mix-schedule")
     ranked = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select("key", "id", "size", "rank", targets["words"].alias("upto"))
     stream = shuffled_stream(ranked, passes, digits, seed)
     last = F.least(F.col("at") + F.col("size"), "upto")  # the stream is used up to the source's target
