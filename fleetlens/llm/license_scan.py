@@ -92,23 +92,18 @@ def scan_texts(docs: DataFrame, phrases: Mapping[str, str], sets: Sequence[tuple
     vocabulary = sorted(set().union(*(ws for ws, _ in sets)))
     known = F.array(*(F.lit(w) for w in vocabulary)) if vocabulary else F.array().cast("array<string>")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    if vocabulary:
-        pieces = F.regexp_extract_all(lowered(text), F.lit(f"(?:{WORD}++{GAP}*+){{1,{CHUNK}}}+"), F.lit(0))
-        words = F.transform(pieces, lambda piece: F.array_intersect(F.regexp_extract_all(piece, F.lit(WORD + "+"), F.lit(0)), known))
-    else:
-        words = F.array().cast("array<array<string>>")
-    base = base.withColumn("_chunks", words)
+    base = base.withColumn("_words", F.regexp_extract_all(lowered(text), F.lit(WORD + "+"), F.lit(0)))
     columns = phrase_columns(text, phrases) if phrases else {
         "n_base": F.lit(0).cast("long"), "first_word": F.lit(None).cast("long"), "last_word": F.lit(None).cast("long"), "base_labels": F.array().cast("array<string>"),
     }
-    scanned = base.select(
-        "id", F.regexp_count(text, F.lit(WORD + "+")).cast("long").alias("n_words"), *(c.alias(n) for n, c in columns.items()),
-        F.array_distinct(F.flatten("_chunks")).alias("present"), "_chunks",
-    )
+    scanned = base.select("id", "_text", F.size("_words").cast("long").alias("n_words"), *(c.alias(n) for n, c in columns.items()), F.array_intersect("_words", known).alias("present"))
     enough = F.lit(False)
     for ws, need in sets:
         enough = enough | (F.size(F.array_intersect("present", F.array(*(F.lit(w) for w in sorted(ws))))) >= need)
-    scanned = scanned.withColumn("chunks", F.when(enough, F.col("_chunks"))).drop("_chunks")
+    # Only these few texts are cut into chunks.
+    pieces = F.regexp_extract_all(lowered(text), F.lit(f"(?:{WORD}++{GAP}*+){{1,{CHUNK}}}+"), F.lit(0))
+    chunks = F.transform(pieces, lambda piece: F.array_intersect(F.regexp_extract_all(piece, F.lit(WORD + "+"), F.lit(0)), known))
+    scanned = scanned.withColumn("chunks", F.when(enough, chunks)).drop("_text")
     return cut(scanned.withColumn("row", F.monotonically_increasing_id()), "license-scan")
 
 
