@@ -42,3 +42,31 @@ def test_row_differences_count_as_except_all(spark):
     assert rows(row_differences(built, built)) == [(0, 0)]
     plan = row_differences(built, kept)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Aggregate") == 2
+
+
+def test_lines_and_orders_of_large_tables_are_dealt_to_small_tasks(spark, tables, monkeypatch):
+    monkeypatch.setattr(proxy, "DEALT_FROM", 0)
+    monkeypatch.setattr(proxy, "JOINED_BYTES", 1 << 14)
+    dealt = proxy_tables(spark, SMALL).tickets
+    parts = -(-proxy._file_bytes(spark, f"{SMALL}/lineitem.parquet") // (1 << 14))
+    assert parts > 2
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {parts}), REPARTITION_BY_NUM") == 2
+    assert dealt.exceptAll(tables.tickets).count() == 0 and tables.tickets.exceptAll(dealt).count() == 0
+
+
+@pytest.mark.parametrize("name", ["R6_account_totals", "P8_section_health"])
+def test_the_center_mart_reads_the_cleaned_tickets_at_hand(tables, monkeypatch, name):
+    from fleetlens.plans import marts, query_profile, query_rollups
+    from fleetlens.plans.registry import load
+
+    asked = []
+
+    def remembered(t, *_):
+        asked.append(t.mart("cleaned_tickets") is not None)
+        return marts.located_mart(t, *_)
+
+    monkeypatch.setattr(query_rollups, "located_mart", remembered)
+    monkeypatch.setattr(query_profile, "located_mart", remembered)
+    load()[name].build(tables)
+    assert asked == [True]
