@@ -177,4 +177,4 @@ def section_health_sql() -> str:
 
 def section_health(t: Tables) -> DataFrame:
     marts = with_ticket_marts(t)
-    return pages.health(marts, TICKETS_AS_OF, Filters(), center_mart(t, TICKETS_AS_OF, EVENTS_AS_OF), located_mart(t, TICKETS_AS_OF, EVENTS_AS_OF))
+    return pages.health(marts, TICKETS_AS_OF, Filters(), center_mart(marts, TICKETS_AS_OF, EVENTS_AS_OF), located_mart(marts, TICKETS_AS_OF, EVENTS_AS_OF))
