@@ -17,8 +17,13 @@ from fleetlens.sources.bucketed import Bucketed
 
 def json_scalar(text: Column | str, key: str | None = None) -> Column:
     """A scalar of a JSON text by key (or the text's own root); NULL for an object, an array or broken JSON."""
+    return parsed_scalar(F.try_parse_json(col(text)), key)
+
+
+def parsed_scalar(parsed: Column, key: str | None = None) -> Column:
+    """``json_scalar`` of a JSON that is parsed already."""
     path = f"$['{key}']" if key is not None else "$"
-    value = F.try_variant_get(F.try_parse_json(col(text)), path, "variant")
+    value = F.try_variant_get(parsed, path, "variant")
     nested = F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
     return F.when(~nested, F.try_variant_get(value, "$", "string"))
 
@@ -86,6 +91,14 @@ def center_kinds(centers: DataFrame, today: date) -> DataFrame:
     return centers.select("CenterID", *kind_columns(today))
 
 
+def with_parsed_fields(centers: DataFrame) -> DataFrame:
+    """Center rows with their custom fields parsed, once for all keys, as ``_fields``.
+
+    A small file holds very many centers, and parsing takes far longer than reading: rows are dealt to all tasks first.
+    """
+    return centers.repartition("CenterID", "customfields").withColumn("_fields", F.try_parse_json("customfields"))
+
+
 # Keys of the custom-field JSON.
 CUSTOM_FIELDS = {
     "Is Bulk Download Enable": "is_bulk_download_enable", "Customer Status": "customer_status", "Master Segment": "master_segment",
@@ -96,15 +109,17 @@ CUSTOM_FIELDS = {
 
 
 def custom_field_columns() -> list[Column]:
+    """Columns of rows ``with_parsed_fields``."""
+    fields = F.col("_fields")
     return [
-        *(json_scalar("customfields", k).alias(n) for k, n in CUSTOM_FIELDS.items()),
-        json_scalar(json_scalar("customfields", "Webhook")).alias("webhook"),
+        *(parsed_scalar(fields, k).alias(n) for k, n in CUSTOM_FIELDS.items()),
+        json_scalar(parsed_scalar(fields, "Webhook")).alias("webhook"),
     ]
 
 
 def custom_fields(centers: DataFrame) -> DataFrame:
     """Typed columns from the custom-field JSON; the webhook is a JSON text held inside it."""
-    return centers.select("CenterID", *custom_field_columns())
+    return with_parsed_fields(centers).select("CenterID", *custom_field_columns())
 
 
 CONFIG_NAMES = ("CASE_SUBMISSION", "ENABLE_CASES_TYPE", "PRODUCT_OFFERING", "REPORT_TEMPLATE")
@@ -132,20 +147,25 @@ HUB_ATTRIBUTES = SPOKE_ATTRIBUTES | {"hardware_sale_type": "Hardware Sale Type"}
 
 def segment_overrides(centers: DataFrame, spoke_sheet: DataFrame, hub_sheet: DataFrame) -> DataFrame:
     """Attributes from a center's own JSON, else the curated sheet; for the center and for its hub."""
-    hubs = centers.select(F.col("CenterID").alias("HubID"), F.col("customfields").alias("hub_fields"))
+    rows = with_parsed_fields(centers.select("CenterID", "HubID", "customfields"))
+
+    def own_values(prefix: str, attributes: dict[str, str]) -> list[Column]:
+        return [parsed_scalar(F.col("_fields"), k).alias(f"{prefix}_own_{c}") for c, k in attributes.items()]
+
+    hubs = rows.select(F.col("CenterID").alias("HubID"), *own_values("h", HUB_ATTRIBUTES))
 
     def sheet(df: DataFrame, key: str, to: str, prefix: str, attributes: dict[str, str]) -> DataFrame:
         return df.select(F.col(key).alias(to), *(F.col(c).alias(f"{prefix}_{c}") for c in attributes))
 
-    def chosen(fields: str, prefix: str, shown: str, attributes: dict[str, str]) -> list[Column]:
-        return [F.coalesce(json_scalar(fields, k), f"{prefix}_{c}").alias(f"{shown}_{c}") for c, k in attributes.items()]
+    def chosen(prefix: str, shown: str, attributes: dict[str, str]) -> list[Column]:
+        return [F.coalesce(f"{prefix}_own_{c}", f"{prefix}_{c}").alias(f"{shown}_{c}") for c in attributes]
 
-    own = centers.select("CenterID", "HubID", "customfields").join(
+    own = rows.select("CenterID", "HubID", *own_values("s", SPOKE_ATTRIBUTES)).join(
         sheet(spoke_sheet, "centerid", "CenterID", "s", SPOKE_ATTRIBUTES), "CenterID", "left"
     )
     with_hub_fields = left_join_spread(own, hubs, "HubID")
     return left_join_spread(with_hub_fields, sheet(hub_sheet, "hubid", "HubID", "h", HUB_ATTRIBUTES), "HubID").select(
-        "CenterID", *chosen("customfields", "s", "spk", SPOKE_ATTRIBUTES), *chosen("hub_fields", "h", "hub", HUB_ATTRIBUTES)
+        "CenterID", *chosen("s", "spk", SPOKE_ATTRIBUTES), *chosen("h", "hub", HUB_ATTRIBUTES)
     )
 
 
@@ -189,7 +209,7 @@ def build_center_details(
     calls meet on that key, so they share one partitioning.
     """
     replaced = {"type", "customfields", *(c.lower() for c in RENAMED_CENTER_COLUMNS)}
-    own = centers.select(
+    own = with_parsed_fields(centers).select(
         *(c for c in centers.columns if c.lower() not in replaced), *(F.col(c).alias(n) for c, n in RENAMED_CENTER_COLUMNS.items()),
         *kind_columns(today), *custom_field_columns(),
     )

@@ -70,3 +70,17 @@ def test_the_center_mart_reads_the_cleaned_tickets_at_hand(tables, monkeypatch,
     monkeypatch.setattr(query_profile, "located_mart", remembered)
     load()[name].build(tables)
     assert asked == [True]
+
+
+def test_custom_fields_are_parsed_once_by_tasks_of_few_centers(spark):
+    from fleetlens.operators import lineage
+
+    texts = ['{"Master Segment":"A","Webhook":"{\\"url\\":\\"u\\"}"}', '{"Master Segment":null,"Service Type":{"a":1},"Webhook":"\\"hook\\""}', "broken {", None]
+    centers = spark.createDataFrame([(i, 7, x) for i, x in enumerate(texts * 2)], "CenterID bigint, HubID bigint, customfields string")
+    found = lineage.custom_fields(centers)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.count("parseJson") < 6
+    assert rows(found, "CenterID", "master_segment", "webhook")[:2] == [(0, "A", None), (1, None, "hook")]
+    sheets = spark.createDataFrame([], "centerid bigint, hubid bigint, master_segment string, service_type string, hardware_type string, hardware_sale_type string")
+    chosen = lineage.segment_overrides(centers.withColumn("HubID", (F.col("CenterID") * 0)), sheets, sheets)
+    assert chosen.filter("hub_master_segment = 'A'").count() == 8 and chosen.filter("spk_master_segment = 'A'").count() == 2
