@@ -1,10 +1,11 @@
 """Substring search over an inverted index of trigrams, kept beside the marts.
 
-Every row gets a number, and every three neighbouring characters of its searched texts lead to a list of row numbers. A
-query's trigrams are looked up, their lists intersected, and what is left is read and verified with ``contains``. So a
-search reads the posting lists of its trigrams and the parts of the table that hold candidates, not all rows. A query of
-one or two characters takes the lists of all trigrams that begin with it: texts end in two marks, so that every character
-begins one. The rows found are those ``contains_text`` finds by a scan, whatever the query.
+Every row gets a number, and every three neighbouring bytes of its searched texts (as UTF-8, each byte shown as the
+character of its number) lead to a list of row numbers. A query's trigrams are looked up, their lists intersected, and what
+is left is read and verified with ``contains``. So a search reads the posting lists of its trigrams and the parts of the
+table that hold candidates, not all rows. A query of one or two bytes takes the lists of all trigrams that begin with it:
+texts end in two marks, so that every byte begins one. The rows found are those ``contains_text`` finds by a scan, whatever
+the query.
 
 Lists hold at most 65,536 rows of one part of the table, however common a trigram is, and parts are intersected apart.
 """
@@ -32,16 +33,30 @@ def numbered_rows(df: DataFrame) -> DataFrame:
     return df.withColumn(_ROW, F.monotonically_increasing_id()).withColumn(_PART, F.shiftright(_ROW, _BITS))
 
 
+def shown_bytes(text: Column) -> Column:
+    """The UTF-8 bytes of a text, each as the character of its number."""
+    return F.decode(text.cast("binary"), "ISO-8859-1")
+
+
 def postings(rows: DataFrame, texts: Mapping[str, Column]) -> DataFrame:
-    """(field, gram, part, places): per searched text and trigram the rows that hold it, ordered by trigram."""
-    found = F.explode(F.array(*(
-        F.struct(F.lit(name).alias("field"), F.concat(F.lower(F.coalesce(c.cast("string"), F.lit(""))), F.lit(_END)).alias("text")) for name, c in texts.items()
-    )))
+    """(field, gram, part, places): per searched text and trigram the rows that hold it, ordered by trigram.
+
+    Rows are grouped by one number that holds part, field and trigram: Spark sorts such a key by its digits, while a key
+    of several columns, texts among them, is compared row by row.
+    """
+    names = list(texts)
+    found = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), shown_bytes(F.concat(F.lower(F.coalesce(c.cast("string"), F.lit(""))), F.lit(_END))).alias("text")) for i, c in enumerate(texts.values()))))
     fields = rows.select(_ROW, _PART, found.alias("f")).select(_ROW, _PART, "f.field", "f.text").filter(F.length("text") > len(_END))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - len(_END)), lambda i: F.substring(F.col("text"), i, F.lit(3))))
+    each = fields.select("*", F.explode(F.sequence(F.lit(1), F.length("text") - len(_END))).alias("at"))
+    number = F.col(_PART).cast("bigint") * len(names) + F.col("field")
+    for i in range(3):
+        number = F.shiftleft(number, 8) + F.ascii(F.substring(F.col("text"), F.col("at") + i, F.lit(1)))
     place = F.col(_ROW).bitwiseAND((1 << _BITS) - 1).cast("int")
-    each = fields.select("field", F.explode(grams).alias("gram"), _PART, place.alias("place"))
-    lists = each.groupBy("field", "gram", _PART).agg(F.sort_array(F.collect_list("place")).alias("places"))
+    lists = each.select(number.alias("number"), place.alias("place")).groupBy("number").agg(F.array_distinct(F.sort_array(F.collect_list("place"))).alias("places"))
+    where_from = F.shiftright("number", 24)
+    gram = F.concat(*(F.chr(F.shiftright("number", shift).bitwiseAND(255)) for shift in (16, 8, 0)))
+    named = F.element_at(F.array(*map(F.lit, names)), (where_from % len(names) + 1).cast("int"))
+    lists = lists.select(named.alias("field"), gram.alias("gram"), F.expr(f"number div {len(names) << 24}L").alias(_PART), "places")
     order = ["gram", "field", _PART]
     return lists.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -56,6 +71,7 @@ class TextIndex:
 
     def candidates(self, query: str, fields: Sequence[str]) -> DataFrame:
         """(part, row number) of rows one of whose ``fields`` holds all trigrams of a lower-case query."""
+        query = query.encode().decode("latin-1")
         mine = self.lists.filter(F.col("field").isin(list(fields)))
         if len(query) < 3:
             places = mine.filter(F.col("gram").startswith(query)).select(_PART, F.explode("places").alias("place"))

@@ -84,3 +84,16 @@ def test_custom_fields_are_parsed_once_by_tasks_of_few_centers(spark):
     sheets = spark.createDataFrame([], "centerid bigint, hubid bigint, master_segment string, service_type string, hardware_type string, hardware_sale_type string")
     chosen = lineage.segment_overrides(centers.withColumn("HubID", (F.col("CenterID") * 0)), sheets, sheets)
     assert chosen.filter("hub_master_segment = 'A'").count() == 8 and chosen.filter("spk_master_segment = 'A'").count() == 2
+
+
+def test_postings_are_grouped_by_one_number(spark):
+    from fleetlens.operators import search
+
+    rows = search.numbered_rows(spark.createDataFrame([("aé",), ("AÉ aé",), ("b",)], "t string").coalesce(1)).persist()
+    lists = search.postings(rows, {"n": F.lit(None).cast("string"), "t": F.col("t")})
+    assert "Aggregate [number#" in lists._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r["field"], r["gram"]): r["places"] for r in lists.collect()}
+    assert found["t", "aé".encode().decode("latin-1")] == [0, 1] and found["t", "b\x00\x00"] == [2] and not any(f == "n" for f, _ in found)
+    index = search.TextIndex(rows, lists, {"t": F.col("t")})
+    assert sorted(r["t"] for r in index.search("é", min_length=1).collect()) == ["AÉ aé", "aé"]
+    rows.unpersist()
