@@ -20,6 +20,7 @@ from fleetlens.functions import time as tm
 HLL_BITS = 14  # registers of a sketch as a power of two: a standard error of 0.8 %
 KLL_SIZE = 400  # error of rank under 0.01
 WORD = 64  # hours
+WORD_TASKS = 256  # tasks at least over which centers are dealt before their hours are spread to words
 
 
 # Distinct values of every column
@@ -77,9 +78,14 @@ def bitmap_counts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def downtime_words(intervals: DataFrame) -> DataFrame:
     """(center_id, word, mask): the hours in which a center was down, 64 to a word. Intervals that end before they start
-    or within the hour cover none, yet their center has a row."""
+    or within the hour cover none, yet their center has a row.
+
+    Intervals are dealt by center before they are spread: a task holds the words of its own centers, in a number of tasks
+    that adaptive execution leaves alone. Words compress so well that those of a task of usual size would fill its memory.
+    """
     start, end = tm.hour_number("start"), F.greatest(tm.hour_number("end"), tm.hour_number("start"))
-    hours = intervals.select("center_id", start.alias("s"), end.alias("e"))
+    tasks = max(WORD_TASKS, int(intervals.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hours = intervals.select("center_id", start.alias("s"), end.alias("e")).repartition(tasks, "center_id")
     first, last = F.floor(F.col("s") / WORD), F.floor(F.greatest(F.col("e") - 1, F.col("s")) / WORD)
     spread = hours.select("center_id", "s", "e", F.explode(F.sequence(first, last)).alias("word"))
     low = F.greatest(F.col("s") - F.col("word") * WORD, F.lit(0))

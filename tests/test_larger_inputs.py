@@ -97,3 +97,14 @@ def test_postings_are_grouped_by_one_number(spark):
     index = search.TextIndex(rows, lists, {"t": F.col("t")})
     assert sorted(r["t"] for r in index.search("é", min_length=1).collect()) == ["AÉ aé", "aé"]
     rows.unpersist()
+
+
+def test_intervals_are_dealt_by_center_before_they_are_spread_to_words(spark):
+    from fleetlens.operators import sketches
+
+    intervals = spark.sql("SELECT id % 5 AS center_id, TIMESTAMP_NTZ '2000-01-01 00:00:00' + (id * 50) * INTERVAL '1' HOUR AS start, "
+                          "TIMESTAMP_NTZ '2000-01-01 00:00:00' + (id * 50 + 300) * INTERVAL '1' HOUR AS `end` FROM range(40)")
+    found = sketches.word_downtime(sketches.downtime_parts(intervals))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(center_id#" in plan and f", {sketches.WORD_TASKS}), REPARTITION_BY_NUM" in plan
+    assert rows(found) == [(c, 7 * 250 + 300) for c in range(5)]
