@@ -186,8 +186,14 @@ def build_marts(
     index = write("device_index", dv.device_index(tables, as_of))
     write("center_360", ct.center_360(tables, as_of, heartbeats_as_of, stats=stats, devices=index))
     write("scores", up.scored(tables, as_of, filters, stats))
-    for name, (_, build) in _DERIVED.items():
-        write(name, build(lambda mart: spark.read.parquet(paths[mart]), tables, as_of, filters))
+    # Centers are placed once for the marts that show coordinates; this table is theirs and no mart of its own.
+    placed = f"{folder}/_located"
+    geo.with_coordinates(spark.read.parquet(paths["center_360"]), tables.geo_store).write.mode("overwrite").parquet(placed)
+    whole = (tables, dict(paths))
+    on_map = (tables.replacing({"geo_store": None}), paths | {"center_360": placed})
+    for name, (sources, build) in _DERIVED.items():
+        known, places = on_map if "geo_store" in sources else whole
+        write(name, build(lambda mart, places=places: spark.read.parquet({**paths, **places}[mart]), known, as_of, filters))
     return paths
 
 

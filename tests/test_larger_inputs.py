@@ -108,3 +108,18 @@ def test_intervals_are_dealt_by_center_before_they_are_spread_to_words(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "hashpartitioning(center_id#" in plan and f", {sketches.WORD_TASKS}), REPARTITION_BY_NUM" in plan
     assert rows(found) == [(c, 7 * 250 + 300) for c in range(5)]
+
+
+def test_marts_place_centers_once(tables, monkeypatch, tmp_path):
+    from datetime import datetime
+
+    from fleetlens.operators import geo
+    from fleetlens.plans import marts
+
+    placed, store = [], geo.store_by_key
+    monkeypatch.setattr(geo, "store_by_key", lambda df: (placed.append(1), store(df))[1])
+    paths = marts.build_marts(tables, datetime(2001, 8, 2), str(tmp_path / "marts"), datetime(2024, 1, 31))
+    assert len(placed) == 1 and len(paths) == 14 and "_located" not in paths
+    points = tables.spark.read.parquet(paths["map_points"])
+    again = geo.map_points(tables.spark.read.parquet(paths["center_360"]), tables.geo_store, marts.DEFAULT_FILTERS)
+    assert points.count() == again.count() > 0
